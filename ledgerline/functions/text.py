@@ -31,7 +31,8 @@ def minutes_seconds_text(seconds: Column) -> Column:
     """'{m}m {s}s' of whole seconds, with floor-division semantics."""
     s = seconds.cast("bigint")
     rem = F.pmod(s, F.lit(60))
-    return F.format_string(DURATION_FORMAT, ((s - rem) / 60).cast("bigint"), rem)
+    text = F.format_string(DURATION_FORMAT, ((s - rem) / 60).cast("bigint"), rem)
+    return F.when(s.isNotNull(), text)
 
 
 def duration_text(duration_ms: Column) -> Column:

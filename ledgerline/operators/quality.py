@@ -35,7 +35,7 @@ def quality_report(
     check_unique_ids: bool = True,
     schema=S.ORDERS_RAW,
 ) -> DataFrame:
-    """One row per check: ``check`` name and number of ``failures``.
+    """One row per check: ``check_name`` and number of ``failures``.
 
     Checks: nulls per column; duplicate ``order_id`` (count - count distinct);
     prices with more than 2 decimals or <= 0; discounts with more than 4
@@ -61,15 +61,15 @@ def quality_report(
         dup = orders.agg((F.count("order_id") - F.count_distinct("order_id")).cast("bigint")
                          .alias("duplicate_order_id"))
         names = [name for name, _ in checks]
-        long_flat = row.unpivot([], names, "check", "failures")
-        long_dup = dup.unpivot([], ["duplicate_order_id"], "check", "failures")
+        long_flat = row.unpivot([], names, "check_name", "failures")
+        long_dup = dup.unpivot([], ["duplicate_order_id"], "check_name", "failures")
         return long_flat.unionByName(long_dup)
-    return row.unpivot([], [name for name, _ in checks], "check", "failures")
+    return row.unpivot([], [name for name, _ in checks], "check_name", "failures")
 
 
 def assert_clean(report: DataFrame) -> None:
     """Raise :class:`QualityError` listing every check with failures."""
     bad = report.filter(F.col("failures") > 0).collect()  # at most one row per check
     if bad:
-        detail = ", ".join(f"{r['check']}={r['failures']}" for r in bad)
+        detail = ", ".join(f"{r['check_name']}={r['failures']}" for r in bad)
         raise QualityError(f"batch refused: {detail}")

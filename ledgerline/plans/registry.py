@@ -1,21 +1,37 @@
 """Named queries over the test tables: ``name -> f(spark, base_dir) -> DataFrame``.
 
 Every query reads the given tables (through the bindings in
-``ledgerline.sources.bindings``) and runs over them whole.
+``ledgerline.sources.bindings``) and runs over them whole.  Queries that write
+tables do so in a fresh schema under the shared work folder and return what
+they read back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline import schemas as S
+from ledgerline.functions.text import deployed_base, tail
+from ledgerline.operators import names as name_ops
+from ledgerline.operators import quality
+from ledgerline.operators import runs as run_ops
 from ledgerline.operators import sales as sales_ops
+from ledgerline.operators.summaries import flatten_summary
+from ledgerline.plans import tables
+from ledgerline.plans.pipeline import run_pipeline
 from ledgerline.sources import bindings as B
+from ledgerline.sources.generate import synthetic_orders
+from ledgerline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# --- fixed values: publish time used by the checked publish queries -------------
+AS_OF = "2025-01-01 00:00:00"
+TAIL_LENGTHS = [4000, 2000, 800]
+
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -29,6 +45,247 @@ def flagship(spark: SparkSession, base_dir: str) -> DataFrame:
     return sales_ops.sales_by_region(B.orders_raw(spark, base_dir))
 
 
+def _ntz(df: DataFrame, cols) -> DataFrame:
+    """Timestamps as wall-clock NTZ values for zone-free comparison."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+# ---- generated source -------------------------------------------------------------
+
+def _generated(spark, base_dir):
+    n = read_table(spark, base_dir, "lineitem").count()
+    return synthetic_orders(spark, n)
+
+
+@register("gen_orders")
+def q_gen_orders(spark, base_dir):
+    """One generated order per line item (the feed is as large as the fact table)."""
+    return _generated(spark, base_dir)
+
+
+@register("gen_profile")
+def q_gen_profile(spark, base_dir):
+    """Profile of the generated batch: size, unique ids, domain coverage, range checks."""
+    g = _generated(spark, base_dir)
+    start = F.lit(S.ORDER_START).cast("timestamp_ntz")
+    end = F.timestamp_add("HOUR", F.lit(S.ORDER_HOURS), start)
+    price, date = F.col("unit_price"), F.col("order_date")
+    flat = g.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("quantity").cast("bigint").alias("min_quantity"),
+        F.max("quantity").cast("bigint").alias("max_quantity"),
+        F.count_if((price < S.ORDER_PRICE_MIN) | (price > S.ORDER_PRICE_MAX)).alias("price_out_of_range"),
+        F.count_if(F.round(price, 2) != price).alias("price_decimals"),
+        F.count_if((date < start) | (date > end)).alias("date_out_of_range"),
+        F.count_if(F.date_format(date, "mm:ss.SSSSSS") != F.lit("00:00.000000")).alias("off_hour"),
+    )
+    ids = g.agg(F.count_distinct("order_id").alias("distinct_ids"))
+    # Domain sizes from the (small) set of value combinations, so no row is expanded.
+    combos = g.groupBy("region", "product", "channel", "status", "discount_pct").count()
+    doms = combos.agg(*[F.count_distinct(c).alias(f"{c}_values") for c in
+                        ["region", "product", "channel", "status", "discount_pct"]])
+    parts = [flat, ids, doms]
+    out = None
+    for p in parts:
+        longp = p.select(*[F.col(c).cast("bigint").alias(c) for c in p.columns]).unpivot(
+            [], p.columns, "metric", "value")
+        out = longp if out is None else out.unionByName(longp)
+    return out
+
+
+# ---- order checks, landing, publish --------------------------------------------------
+
+@register("conform_orders")
+def q_conform_orders(spark, base_dir):
+    """Input-check report of the bound orders (status domain checked)."""
+    batch = quality.conform(B.orders_raw(spark, base_dir))
+    return quality.quality_report(batch, {"status": S.ORDER_STATUSES}, check_unique_ids=True)
+
+
+@register("scan_orders")
+def q_scan_orders(spark, base_dir):
+    return B.orders_raw(spark, base_dir)
+
+
+@register("land_orders")
+def q_land_orders(spark, base_dir):
+    schema = tables.scratch_schema(spark)
+    raw = tables.table_name(schema, S.RAW_TABLE)
+    return tables.land(quality.conform(B.orders_raw(spark, base_dir)), raw)
+
+
+def _publish(spark, base_dir) -> str:
+    schema = tables.scratch_schema(spark)
+    report = tables.table_name(schema, S.REPORT_TABLE)
+    sales = sales_ops.sales_by_region(B.orders_raw(spark, base_dir), as_of=AS_OF)
+    tables.publish(sales, report)
+    return report
+
+
+@register("publish_sales")
+def q_publish_sales(spark, base_dir):
+    report = _publish(spark, base_dir)
+    return _ntz(spark.table(report), {"latest_order", "ingested_at"})
+
+
+@register("published_count")
+def q_published_count(spark, base_dir):
+    return tables.published_count(spark, _publish(spark, base_dir))
+
+
+@register("contract_schema")
+def q_contract_schema(spark, base_dir):
+    return tables.describe_contract(spark, _publish(spark, base_dir))
+
+
+@register("pipeline_sales")
+def q_pipeline_sales(spark, base_dir):
+    """Run the two-step job on the bound orders; reconcile raw and published tables."""
+    schema = tables.scratch_schema(spark)
+    res = run_pipeline(spark, schema, source=B.orders_raw(spark, base_dir), as_of=AS_OF,
+                       domains={"status": S.ORDER_STATUSES}, check_unique_ids=False)
+    money = "decimal(20,2)"
+    raw = spark.table(res.raw_table).agg(
+        F.count(F.lit(1)).cast(money).alias("landed_rows"),
+        F.count_if(F.col("status") == F.lit(S.COMPLETED)).cast(money).alias("completed_rows"))
+    rep = spark.table(res.report_table).agg(
+        F.count(F.lit(1)).cast(money).alias("published_groups"),
+        F.sum("order_count").cast(money).alias("published_orders"),
+        F.sum("gross_revenue").cast(money).alias("published_gross"),
+        F.sum("net_revenue").cast(money).alias("published_net"))
+    return (raw.unpivot([], raw.columns, "metric", "value")
+            .unionByName(rep.unpivot([], rep.columns, "metric", "value")))
+
+
+# ---- rollup pieces ---------------------------------------------------------------------
+
+@register("preview_orders")
+def q_preview_orders(spark, base_dir):
+    return sales_ops.preview_orders(B.orders_raw(spark, base_dir))
+
+
+@register("completed_orders")
+def q_completed_orders(spark, base_dir):
+    return sales_ops.completed_orders(B.orders_raw(spark, base_dir))
+
+
+@register("priced_orders")
+def q_priced_orders(spark, base_dir):
+    return sales_ops.priced_orders(B.orders_raw(spark, base_dir)).select(
+        "order_id", "region", "product", "gross_revenue", "net_revenue")
+
+
 @register("sales_by_region")
 def q_sales_by_region(spark, base_dir):
     return sales_ops.sales_by_region(B.orders_raw(spark, base_dir), with_ingested_at=False)
+
+
+@register("sales_ranked")
+def q_sales_ranked(spark, base_dir):
+    return sales_ops.sales_ranked(
+        sales_ops.sales_by_region(B.orders_raw(spark, base_dir), with_ingested_at=False))
+
+
+# ---- names -------------------------------------------------------------------------------
+
+@register("normalize_name")
+def q_normalize_name(spark, base_dir):
+    return name_ops.normalize_names(B.jobs(spark, base_dir))
+
+
+@register("match_names")
+def q_match_names(spark, base_dir):
+    m = name_ops.match_names(B.jobs(spark, base_dir), B.name_requests(spark).select("wanted"))
+    return m.select("wanted", "job_id", "name")
+
+
+@register("resolve_jobs")
+def q_resolve_jobs(spark, base_dir):
+    return name_ops.resolve_jobs(B.jobs(spark, base_dir), B.name_requests(spark))
+
+
+@register("ambiguous_names")
+def q_ambiguous_names(spark, base_dir):
+    return name_ops.ambiguous_candidates(B.jobs(spark, base_dir), B.name_requests(spark))
+
+
+# ---- runs ----------------------------------------------------------------------------------
+
+@register("allowed_requests")
+def q_allowed_requests(spark, base_dir):
+    return run_ops.allowed_requests(B.job_requests(spark, base_dir), B.runs(spark, base_dir))
+
+
+@register("blocked_requests")
+def q_blocked_requests(spark, base_dir):
+    return run_ops.blocked_requests(B.job_requests(spark, base_dir), B.runs(spark, base_dir))
+
+
+@register("run_eta")
+def q_run_eta(spark, base_dir):
+    return run_ops.run_eta(B.runs(spark, base_dir))
+
+
+@register("duration_text")
+def q_duration_text(spark, base_dir):
+    return run_ops.run_durations(B.runs(spark, base_dir))
+
+
+@register("latest_run")
+def q_latest_run(spark, base_dir):
+    return run_ops.latest_run(B.runs(spark, base_dir))
+
+
+@register("cancel_candidates")
+def q_cancel_candidates(spark, base_dir):
+    return run_ops.cancel_candidates(B.runs(spark, base_dir))
+
+
+@register("run_status")
+def q_run_status(spark, base_dir):
+    return run_ops.run_status(B.runs(spark, base_dir), B.jobs(spark, base_dir))
+
+
+@register("run_started")
+def q_run_started(spark, base_dir):
+    return run_ops.run_started(B.runs(spark, base_dir))
+
+
+@register("classify_runs")
+def q_classify_runs(spark, base_dir):
+    return run_ops.classify_runs(B.runs(spark, base_dir))
+
+
+def _failed_tasks(spark, base_dir):
+    return run_ops.failed_tasks(B.failed_parent_runs(spark, base_dir), B.run_tasks(spark, base_dir))
+
+
+@register("failed_tasks")
+def q_failed_tasks(spark, base_dir):
+    return _failed_tasks(spark, base_dir)
+
+
+@register("termination_text")
+def q_termination_text(spark, base_dir):
+    return run_ops.termination_text(B.runs(spark, base_dir))
+
+
+@register("task_errors")
+def q_task_errors(spark, base_dir):
+    return run_ops.task_errors(_failed_tasks(spark, base_dir), B.task_outputs(spark, base_dir))
+
+
+@register("text_tail")
+def q_text_tail(spark, base_dir):
+    d = read_table(spark, base_dir, "documents")
+    return d.select("doc_id", *[tail(F.col("text"), n).alias(f"tail_{n}") for n in TAIL_LENGTHS],
+                    F.char_length(tail(F.col("text"), TAIL_LENGTHS[0])).cast("bigint").alias("tail_chars"))
+
+
+@register("flatten_summary")
+def q_flatten_summary(spark, base_dir):
+    return flatten_summary(B.deploy_summaries(spark, base_dir))
+
+
+__all__ = ["QUERIES", "flagship", "register", "deployed_base"]
