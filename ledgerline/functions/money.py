@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
-PRICE = DecimalType(12, 2)
-QUANTITY = DecimalType(10, 0)
+# Line-level types are chosen so every product stays within 18 digits, where
+# Spark keeps decimals in a long (price(10,2) x qty(7,0) -> (18,2); gross(11,2)
+# x rate(6,4) -> (18,6)); wider operands fall back to BigDecimal per row.
+# Values beyond these bounds (unit price >= 1e8, line gross >= 1e9) raise
+# under ANSI casts rather than lose digits.
+PRICE = DecimalType(10, 2)
+QUANTITY = DecimalType(7, 0)
 RATE = DecimalType(5, 4)
-LINE_GROSS = DecimalType(18, 2)
+LINE_GROSS = DecimalType(11, 2)
 LINE_NET = DecimalType(18, 6)
 REPORT_MONEY = DecimalType(12, 2)
 

@@ -28,8 +28,8 @@ orders_raw AS (
 PRICED = ORDERS_RAW + """,
 priced AS (
   SELECT *,
-         CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(18,2)) AS gross_revenue,
-         CAST(CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(18,2))
+         CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(11,2)) AS gross_revenue,
+         CAST(CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(11,2))
               * (CAST(1 AS DECIMAL(5,4)) - CAST(discount_pct AS DECIMAL(5,4))) AS DECIMAL(18,6)) AS net_revenue
   FROM orders_raw WHERE status = 'completed'
 )"""
