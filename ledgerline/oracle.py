@@ -226,6 +226,7 @@ def oracle_sql() -> dict[str, str]:
         " AS net_rank FROM sales")
     q["publish_sales"] = _with(SALES) + (
         "SELECT *, TIMESTAMP '2025-01-01 00:00:00' AS ingested_at FROM sales")
+    q["stream_sales"] = q["publish_sales"]
     q["published_count"] = _with(SALES) + "SELECT count(*) AS published_rows FROM sales"
     q["contract_schema"] = (
         "SELECT * FROM (VALUES "

@@ -24,6 +24,7 @@ from ledgerline.plans.pipeline import run_pipeline
 from ledgerline.sources import bindings as B
 from ledgerline.sources.generate import synthetic_orders
 from ledgerline.sources.tables import read_table
+from ledgerline.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +135,20 @@ def q_published_count(spark, base_dir):
     return tables.published_count(spark, _publish(spark, base_dir))
 
 
+@register("stream_sales")
+def q_stream_sales(spark, base_dir):
+    """The rollup published by the streaming job from a folder of landed order files."""
+    from ledgerline.streaming.feed import land_order_files, stream_sales_rollup
+
+    schema = tables.scratch_schema(spark)
+    source = land_order_files(quality.conform(B.orders_raw(spark, base_dir)),
+                              f"{work_dir(spark)}/{schema}_feed")
+    report = tables.table_name(schema, S.REPORT_TABLE)
+    query = stream_sales_rollup(spark, source, report, as_of=AS_OF)
+    query.awaitTermination()
+    return _ntz(spark.table(report), {"latest_order", "ingested_at"})
+
+
 @register("contract_schema")
 def q_contract_schema(spark, base_dir):
     return tables.describe_contract(spark, _publish(spark, base_dir))

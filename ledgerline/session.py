@@ -49,19 +49,22 @@ def work_dir(spark: SparkSession) -> str:
     visible to executors on other hosts.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no local SparkContext
+        sc = None
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf_dir:
         return conf_dir.rstrip("/")
-    ctx_dir = spark.sparkContext.getCheckpointDir()
-    if ctx_dir:
-        return ctx_dir.rstrip("/")
-    master = spark.sparkContext.master
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a folder shared by all "
             "executors (e.g. on the cluster's distributed file system)"
         )
     local_dir = tempfile.mkdtemp(prefix="ledgerline-work-")
-    spark.sparkContext.setCheckpointDir(local_dir)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if sc is None:
+        return local_dir
+    sc.setCheckpointDir(local_dir)
+    return sc.getCheckpointDir().rstrip("/")
