@@ -36,12 +36,17 @@ def stream_sales_rollup(
     as_of=None,
     available_now: bool = True,
     processing_time: str | None = None,
+    state_partitions: int | None = 16,
 ):
     """Start the streaming publish; returns the ``StreamingQuery``.
 
     ``available_now`` processes what is in the folder and stops (batch-like
     runs on a schedule); otherwise ``processing_time`` (e.g. "1 minute") keeps
-    the query running.
+    the query running.  ``state_partitions`` sizes the aggregation state: it
+    holds one row per (region, product) group whatever the input volume, so a
+    handful of partitions is right (the session default, often 200, would run
+    that many near-empty state tasks per micro-batch).  The value is fixed in
+    the checkpoint on the first run.
     """
     if checkpoint is None:
         name = report_table.replace("`", "").replace(".", "_")
@@ -58,7 +63,17 @@ def stream_sales_rollup(
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    # The query runs in a clone of the session taken at start(), so the setting
+    # applies to this query only and the session is restored right after.
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, previous)
 
 
 def land_order_files(orders: DataFrame, path: str) -> str:
