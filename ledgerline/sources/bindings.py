@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.time import epoch_millis
-from ledgerline.sources.tables import read_table
+from ledgerline.sources.tables import literal_table, read_table
 
 # --- fixed values: status and state maps of the bindings ------------------------
 ORDER_STATUS_BY_CODE = {"F": "completed", "P": "pending", "O": "cancelled"}
@@ -106,9 +106,8 @@ def jobs(spark: SparkSession, base_dir: str) -> DataFrame:
 def name_requests(spark: SparkSession, names=None, principal: str | None = PRINCIPAL) -> DataFrame:
     """Requests to resolve: one row per wanted name, with the caller's principal."""
     names = WANTED_NAMES if names is None else names
-    return spark.createDataFrame(
-        [(w, principal) for w in names], "wanted string, principal string"
-    )
+    return literal_table(spark, [(w, principal) for w in names],
+                         [("wanted", "string"), ("principal", "string")])
 
 
 def job_requests(spark: SparkSession, base_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ itself, so readers return the plain scan and callers select what they need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table_path(base_dir: str, name: str) -> str:
@@ -16,3 +16,20 @@ def table_path(base_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """One parquet table ``<base_dir>/<name>.parquet``."""
     return spark.read.parquet(table_path(base_dir, name))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """A small parameter table (e.g. request lists) built JVM-side from literals.
+
+    ``spark.createDataFrame`` on a Python list plans as a scan of a Python RDD:
+    it needs Python workers and carries no size statistics, so Spark will not
+    broadcast it.  An inline array of literal structs is a JVM-only relation
+    with a known (tiny) size.
+    """
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, columns)])
+        for row in rows
+    ]
+    empty = F.array().cast(f"array<struct<{','.join(f'{n}:{t}' for n, t in columns)}>>")
+    arr = F.array(*structs) if structs else empty
+    return spark.range(1).select(F.inline(arr))
