@@ -38,6 +38,9 @@ WANTED_NAMES = ["cold", "small_widget", "nope", "large"]
 PRINCIPAL = "Brand#13"
 TASK_SAMPLE_MOD = 7
 TASK_SAMPLE_BELOW = 2
+# Largest order dimension (rows) that is broadcast; beyond it the join shuffles.
+# ~60 bytes a row, so the bound keeps the broadcast well under 100 MB.
+ORDER_DIM_BROADCAST_ROWS = 1_000_000
 
 
 def _map_value(col: Column, mapping: dict) -> Column:
@@ -53,7 +56,11 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
 
     Join order: the order dimension (orders -> customer -> nation -> region) is
     built first, so at scale the line items are shuffled once by order key and
-    once by part key, never by customer key.
+    once by part key, never by customer key.  The dimension has one row per
+    order; it is broadcast only when the orders table is proven small (a row
+    count against ``ORDER_DIM_BROADCAST_ROWS``), otherwise the join shuffles.
+    Without the check the static planner, which sizes a join as the product of
+    its inputs, would broadcast the *fact* side on small inputs.
     """
     li = read_table(spark, base_dir, "lineitem")
     o = read_table(spark, base_dir, "orders")
@@ -68,6 +75,8 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
         .select(o.o_orderkey, geo.r_name, c.c_mktsegment,
                 _map_value(o.o_orderstatus, ORDER_STATUS_BY_CODE).alias("status"), o.o_orderdate)
     )
+    if o.count() <= ORDER_DIM_BROADCAST_ROWS:
+        order_dim = F.broadcast(order_dim)
     return (
         li.join(order_dim, li.l_orderkey == order_dim.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
