@@ -1,11 +1,12 @@
 """Flatten deploy-summary JSON ``{"resources": {"jobs": {key: info}}}`` into rows.
 
-Two-stage parse: the jobs object becomes ``MAP<STRING,STRING>`` whose values
-are raw JSON text, and each value is then read as ``STRUCT<name, id>``.  A
-single-stage ``MAP<STRING,STRUCT>`` would null the whole map as soon as one
-value is a scalar.  Per entry: name = ``info.name`` unless empty, else the
-key; id omitted when falsy; a non-object ``info`` gives (key, null); text that
-is not JSON, or whose ``jobs`` is not an object, gives no rows.
+Two-stage parse: the document is read once with the jobs object typed as
+``MAP<STRING,STRING>`` (values kept as raw JSON text), and each value is then
+read as ``STRUCT<name, id>``.  Typing the map values as structs directly would
+null the whole map as soon as one value is a scalar.  Per entry: name =
+``info.name`` unless empty, else the key; id omitted when falsy; a non-object
+``info`` gives (key, null); text that is not JSON, or whose ``jobs`` is not an
+object, gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerline.functions.text import truthy_text
 
 INFO_SCHEMA = "struct<name:string,id:string>"
-JOBS_PATH = "$.resources.jobs"
+SUMMARY_SCHEMA = "struct<resources:struct<jobs:map<string,string>>>"
 # --- fixed values: JSON scalars that read as false ------------------------------
 FALSY_ID_TEXT = ["", "false", "[]", "{}"]
 
@@ -28,7 +29,7 @@ def _falsy_id(id_text):
 def flatten_summary(summaries: DataFrame, json_col: str = "summary_json") -> DataFrame:
     """``<other columns>, job_key, job_name, job_id`` per job entry of each summary."""
     keep = [c for c in summaries.columns if c != json_col]
-    jobs = F.from_json(F.get_json_object(F.col(json_col), JOBS_PATH), "map<string,string>")
+    jobs = F.from_json(F.col(json_col), SUMMARY_SCHEMA).getField("resources").getField("jobs")
     entries = summaries.select(*keep, F.explode(jobs).alias("job_key", "_info"))
     info = F.from_json(F.col("_info"), INFO_SCHEMA)
     parsed = entries.select(*keep, "job_key", info.alias("_i"))
