@@ -47,7 +47,7 @@ sales AS (
 
 
 
-JOBS = r"""
+JOBS_B = r"""
 jobs_b AS (
   SELECT p_partkey AS job_id,
          COALESCE(CASE WHEN p_partkey % 3 = 0 THEN '[dev u' || CAST(p_size AS VARCHAR) || '] ' END, '')
@@ -56,11 +56,26 @@ jobs_b AS (
          p_brand AS creator_user_name,
          CASE WHEN p_size % 2 = 0 THEN upper(p_brand) END AS run_as_user_name
   FROM part
-),
+)"""
+
+WANTED_FIXED = r"""
 wanted AS (
   SELECT * FROM (VALUES ('cold', 'Brand#13'), ('small_widget', 'Brand#13'),
                         ('nope', 'Brand#13'), ('large', 'Brand#13')) AS t(wanted, principal)
-),
+)"""
+
+WANTED_DERIVED = r"""
+wanted AS (
+  SELECT wanted, 'Brand#13' AS principal FROM (
+    SELECT name AS wanted FROM jobs_b
+    UNION
+    SELECT regexp_replace(name, '^\[[^\]]*\]\s*', '') AS wanted FROM jobs_b
+    UNION
+    SELECT * FROM (VALUES ('cold'), ('small_widget'), ('nope'), ('large')) AS v(wanted)
+  )
+)"""
+
+NARROW = r"""
 matched AS (
   SELECT w.wanted, w.principal, j.*
   FROM wanted w
@@ -81,6 +96,19 @@ s2 AS (SELECT *, count(*) OVER (PARTITION BY wanted) AS c2,
               bool_or(owned) OVER (PARTITION BY wanted) AS any_o FROM f1),
 f2 AS (SELECT *, count(*) OVER (PARTITION BY wanted) AS c3 FROM s2 WHERE c2 <= 1 OR NOT any_o OR owned)"""
 
+RESOLVE = """
+agg AS (SELECT wanted, count(*) AS n, min(job_id) AS jid, min(name) AS nm FROM f2 GROUP BY wanted),
+res AS (
+  SELECT w.wanted,
+         CASE WHEN agg.n IS NULL THEN 'NOT_FOUND' WHEN agg.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status,
+         CAST(COALESCE(agg.n, 0) AS BIGINT) AS n_candidates,
+         CASE WHEN agg.n = 1 THEN agg.jid END AS job_id,
+         CASE WHEN agg.n = 1 THEN agg.nm END AS job_name
+  FROM wanted w LEFT JOIN agg ON w.wanted = agg.wanted
+)"""
+
+JOBS = JOBS_B + "," + WANTED_FIXED + "," + NARROW
+
 FAILED_STATES = "('FAILED', 'TIMEDOUT', 'SUCCESS_WITH_FAILURES', 'UPSTREAM_FAILED')"
 ACTIVE_STATES = "('QUEUED', 'PENDING', 'RUNNING', 'TERMINATING', 'BLOCKED', 'WAITING_FOR_RETRY')"
 TERMINAL_STATES = "('TERMINATED', 'SKIPPED', 'INTERNAL_ERROR')"
@@ -274,14 +302,7 @@ UNION ALL SELECT metric, CAST(value AS BIGINT) FROM (VALUES
     q["normalize_name"] = _with(JOBS) + (
         "SELECT job_id, name, regexp_replace(name, '^\\[[^\\]]*\\]\\s*', '') AS base_name FROM jobs_b")
     q["match_names"] = _with(JOBS) + "SELECT wanted, job_id, name FROM matched"
-    q["resolve_jobs"] = _with(JOBS, """
-agg AS (SELECT wanted, count(*) AS n, min(job_id) AS jid, min(name) AS nm FROM f2 GROUP BY wanted)""") + """
-SELECT w.wanted,
-       CASE WHEN agg.n IS NULL THEN 'NOT_FOUND' WHEN agg.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status,
-       CAST(COALESCE(agg.n, 0) AS BIGINT) AS n_candidates,
-       CASE WHEN agg.n = 1 THEN agg.jid END AS job_id,
-       CASE WHEN agg.n = 1 THEN agg.nm END AS job_name
-FROM wanted w LEFT JOIN agg ON w.wanted = agg.wanted"""
+    q["resolve_jobs"] = _with(JOBS, RESOLVE) + "SELECT * FROM res"
     q["ambiguous_names"] = _with(JOBS) + (
         "SELECT wanted, job_id, name, '     - ' || name || ' (ID: ' || CAST(job_id AS VARCHAR) || ')'"
         " AS candidate_line FROM f2 WHERE c3 > 1")
@@ -330,6 +351,48 @@ SELECT j.job_id, CAST(COALESCE(e.runs_used, 0) AS BIGINT) AS runs_used, e.eta_se
 FROM jobs_b j LEFT JOIN eta_t e ON j.job_id = e.job_id
 WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.job_id = j.job_id)"""
     q["failed_tasks"] = _with(TASKS) + "SELECT * FROM selected"
+    # ---- request flows --------------------------------------------------------------
+    req = (JOBS_B, WANTED_DERIVED, NARROW, RESOLVE, RUNS, ETA)
+    q["run_requests"] = _with(*req) + """
+SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name,
+       CASE WHEN r.status <> 'RESOLVED' THEN r.status WHEN a.run_id IS NOT NULL THEN 'BLOCKED'
+            ELSE 'ALLOWED' END AS decision,
+       CASE WHEN r.status = 'RESOLVED' THEN a.run_id END AS active_run_id,
+       CASE WHEN r.status = 'RESOLVED' THEN epoch_ms(NULLIF(a.start_time, 0)) END AS active_started,
+       CASE WHEN r.status = 'RESOLVED' AND a.run_id IS NULL THEN CAST(COALESCE(e.runs_used, 0) AS BIGINT) END
+         AS runs_used,
+       CASE WHEN r.status = 'RESOLVED' AND a.run_id IS NULL THEN e.eta_seconds END AS eta_seconds,
+       CASE WHEN r.status = 'RESOLVED' AND a.run_id IS NULL THEN e.eta_text END AS eta_text
+FROM res r
+LEFT JOIN active a ON r.job_id = a.job_id AND a.rn = 1
+LEFT JOIN eta_t e ON r.job_id = e.job_id"""
+    q["status_requests"] = _with(*req, """
+newest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_time DESC NULLS LAST,
+                                                                     run_id DESC) AS rn
+                 FROM classified) WHERE rn = 1
+)""") + f"""
+SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name, n.run_id,
+       CASE WHEN n.run_id IS NOT NULL THEN COALESCE(NULLIF(n.run_name, ''), r.wanted) END AS run_label,
+       CASE WHEN n.run_id IS NOT NULL THEN COALESCE(n.life_cycle_state, 'UNKNOWN') END AS life_cycle,
+       n.result_state, epoch_ms(NULLIF(n.start_time, 0)) AS started,
+       NULLIF(COALESCE(NULLIF(n.execution_duration, 0), n.run_duration), 0) AS duration_ms,
+       {_mmss("NULLIF(COALESCE(NULLIF(n.execution_duration, 0), n.run_duration), 0) // 1000")} AS duration_text,
+       CASE WHEN n.run_id IS NOT NULL THEN NULLIF(n.run_page_url, '') END AS run_page_url,
+       CASE WHEN r.status <> 'RESOLVED' THEN NULL WHEN n.run_id IS NULL THEN 'NO_RUNS'
+            ELSE {OUTCOME.replace('is_failed', 'n.is_failed').replace('life_cycle_state', 'n.life_cycle_state')
+                  .replace('result_state', 'n.result_state')} END AS run_outcome,
+       CASE WHEN n.run_id IS NOT NULL AND n.is_failed THEN NULLIF(n.state_message, '') END AS failure_message,
+       CASE WHEN n.run_id IS NOT NULL AND n.is_failed
+            THEN NULLIF(concat_ws(' - ', NULLIF(n.term_code, ''), NULLIF(n.term_message, '')), '') END
+         AS termination_summary
+FROM res r LEFT JOIN newest n ON r.job_id = n.job_id"""
+    q["cancel_requests"] = _with(*req) + """
+SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name,
+       a.run_id AS cancel_run_id, epoch_ms(NULLIF(a.start_time, 0)) AS cancel_run_started,
+       CASE WHEN r.status <> 'RESOLVED' THEN r.status WHEN a.run_id IS NULL THEN 'NO_ACTIVE_RUN'
+            ELSE 'CANCEL' END AS action
+FROM res r LEFT JOIN active a ON r.job_id = a.job_id AND a.rn = 1"""
     q["task_errors"] = _with(TASKS, OUTPUTS) + """
 SELECT s.run_id, s.task_key, s.task_run_id, s.reason, o.error, o.trace_tail, o.notebook_result,
        o.task_run_id IS NOT NULL AS output_found,

@@ -225,6 +225,32 @@ def q_ambiguous_names(spark, base_dir):
     return name_ops.ambiguous_candidates(B.jobs(spark, base_dir), B.name_requests(spark))
 
 
+# ---- request flows (resolve -> act) --------------------------------------------------------
+
+@register("run_requests")
+def q_run_requests(spark, base_dir):
+    from ledgerline.operators.requests import run_requests
+
+    return run_requests(B.jobs(spark, base_dir), B.runs(spark, base_dir),
+                        B.derived_name_requests(spark, base_dir))
+
+
+@register("status_requests")
+def q_status_requests(spark, base_dir):
+    from ledgerline.operators.requests import status_requests
+
+    return status_requests(B.jobs(spark, base_dir), B.runs(spark, base_dir),
+                           B.derived_name_requests(spark, base_dir))
+
+
+@register("cancel_requests")
+def q_cancel_requests(spark, base_dir):
+    from ledgerline.operators.requests import cancel_requests
+
+    return cancel_requests(B.jobs(spark, base_dir), B.runs(spark, base_dir),
+                           B.derived_name_requests(spark, base_dir))
+
+
 # ---- runs ----------------------------------------------------------------------------------
 
 @register("allowed_requests")

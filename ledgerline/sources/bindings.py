@@ -119,6 +119,19 @@ def name_requests(spark: SparkSession, names=None, principal: str | None = PRINC
                          [("wanted", "string"), ("principal", "string")])
 
 
+def derived_name_requests(spark: SparkSession, base_dir: str, principal: str | None = PRINCIPAL) -> DataFrame:
+    """Requests for every distinct job name of B2 as deployed (raw) and as its base
+    name, plus the fixed wanted names."""
+    from ledgerline.functions.text import deployed_base
+
+    j = jobs(spark, base_dir)
+    raw = j.select(F.col("name").alias("wanted"))
+    bases = j.select(deployed_base(F.col("name")).alias("wanted"))
+    fixed = name_requests(spark, principal=principal).select("wanted")
+    return (raw.unionByName(bases).unionByName(fixed).distinct()
+            .withColumn("principal", F.lit(principal).cast("string")))
+
+
 def job_requests(spark: SparkSession, base_dir: str) -> DataFrame:
     """Run requests: one per job of B2."""
     return jobs(spark, base_dir).select("job_id")
