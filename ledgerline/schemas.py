@@ -25,9 +25,9 @@ ORDER_START = "2024-01-01 00:00:00"
 ORDER_HOURS = 8760
 COMPLETED = "completed"
 
-# --- fixed values: job parameters ---------------------------------------------
-DEFAULT_CATALOG = "bronze_sandbox"
-DEFAULT_SCHEMA = "mcp_jobs_demo"
+# --- job parameters (defaults; catalog/schema are arguments) -------------------
+DEFAULT_SCHEMA = "sales_reporting"
+# --- fixed values: table names ----------------------------------------------------
 RAW_TABLE = "orders_raw"
 REPORT_TABLE = "sales_by_region"
 
