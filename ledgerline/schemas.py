@@ -31,7 +31,7 @@ DEFAULT_SCHEMA = "sales_reporting"
 RAW_TABLE = "orders_raw"
 REPORT_TABLE = "sales_by_region"
 
-# --- fixed values: run states (public Jobs API names) -------------------------
+# --- fixed values: run life-cycle and result state names -----------------------
 FAILED_RESULT_STATES = ["FAILED", "TIMEDOUT", "SUCCESS_WITH_FAILURES", "UPSTREAM_FAILED"]
 INTERNAL_ERROR = "INTERNAL_ERROR"
 ACTIVE_LIFE_CYCLE_STATES = [
