@@ -33,7 +33,7 @@ def run_requests(jobs: DataFrame, runs: DataFrame, requests: DataFrame, principa
     """Per request: resolution, then ``decision`` (NOT_FOUND / AMBIGUOUS / BLOCKED /
     ALLOWED), the blocking active run, and the duration estimate of allowed runs."""
     res = resolve_jobs(jobs, requests, principal)
-    active = R._active_per_job(runs)
+    active = R.active_per_job(runs)
     eta = R.run_eta(runs, sample)
     j = res.join(active, "job_id", "left").join(eta, "job_id", "left")
     resolved = F.col("status") == F.lit(RESOLVED)
@@ -59,7 +59,7 @@ def status_requests(jobs: DataFrame, runs: DataFrame, requests: DataFrame,
     name falls back to the requested name when the run name is empty.
     """
     res = resolve_jobs(jobs, requests, principal)
-    newest = R._newest_per_job(runs, STATUS_FIELDS)
+    newest = R.newest_per_job(runs, STATUS_FIELDS)
     j = res.join(newest, "job_id", "left")
     resolved = F.col("status") == F.lit(RESOLVED)
     has_run = F.col("run_id").isNotNull()

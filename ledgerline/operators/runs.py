@@ -126,7 +126,8 @@ def run_status(runs: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
 
 # ---- per-job selections -------------------------------------------------------------
 
-def _newest_per_job(runs: DataFrame, fields: list[str]) -> DataFrame:
+def newest_per_job(runs: DataFrame, fields: list[str]) -> DataFrame:
+    """Newest run of every job by (start_time, run_id), carrying ``fields``."""
     top = F.max(F.struct(F.col("start_time"), F.col("run_id"), *[F.col(f) for f in fields]))
     return runs.groupBy("job_id").agg(top.alias("_top")).select(
         "job_id", F.col("_top.run_id").alias("run_id"), F.col("_top.start_time").alias("start_time"),
@@ -135,14 +136,14 @@ def _newest_per_job(runs: DataFrame, fields: list[str]) -> DataFrame:
 
 def latest_run(runs: DataFrame) -> DataFrame:
     """Newest run of every job (by start time, then run id)."""
-    return _newest_per_job(runs, ["life_cycle_state", "result_state"]).withColumn(
+    return newest_per_job(runs, ["life_cycle_state", "result_state"]).withColumn(
         "started", from_epoch_millis(F.col("start_time")))
 
 
 def cancel_candidates(runs: DataFrame) -> DataFrame:
     """Newest *active* run of every job: the run a cancel request would target."""
     active = runs.filter(is_active(F.col("life_cycle_state")))
-    return _newest_per_job(active, ["life_cycle_state"]).withColumn(
+    return newest_per_job(active, ["life_cycle_state"]).withColumn(
         "started", from_epoch_millis(F.col("start_time")))
 
 
@@ -168,7 +169,8 @@ def run_eta(runs: DataFrame, sample: int = S.ETA_SAMPLE_RUNS, only_success: bool
                                              minutes_seconds_text(F.col("eta_seconds").cast("bigint"))))
 
 
-def _active_per_job(runs: DataFrame) -> DataFrame:
+def active_per_job(runs: DataFrame) -> DataFrame:
+    """Per job with active runs: the newest active run, its start, and how many are active."""
     active = runs.filter(is_active(F.col("life_cycle_state")))
     return active.groupBy("job_id").agg(
         F.max(F.struct("start_time", "run_id")).alias("_top"),
@@ -179,7 +181,7 @@ def _active_per_job(runs: DataFrame) -> DataFrame:
 
 def blocked_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
     """Requests refused as duplicates: their job has an active run (newest reported)."""
-    return requests.join(_active_per_job(runs), "job_id", "inner")
+    return requests.join(active_per_job(runs), "job_id", "inner")
 
 
 def allowed_requests(requests: DataFrame, runs: DataFrame, sample: int = S.ETA_SAMPLE_RUNS) -> DataFrame:

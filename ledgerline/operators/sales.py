@@ -31,7 +31,8 @@ def priced_orders(orders: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def _as_of(as_of) -> Column:
+def ingest_time(as_of) -> Column:
+    """The ``ingested_at`` value: the query's current time, or a pinned ``as_of``."""
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
@@ -69,7 +70,7 @@ def sales_by_region(
     columns = [name for name, _, _ in S.SALES_COLUMNS]
     if not with_ingested_at:
         return sales.select(*[c for c in columns if c != "ingested_at"])
-    return sales.withColumn("ingested_at", _as_of(as_of)).select(*columns)
+    return sales.withColumn("ingested_at", ingest_time(as_of)).select(*columns)
 
 
 def sales_ranked(sales: DataFrame) -> DataFrame:

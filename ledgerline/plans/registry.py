@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline import schemas as S
-from ledgerline.functions.text import deployed_base, tail
+from ledgerline.functions.text import tail
 from ledgerline.operators import names as name_ops
 from ledgerline.operators import quality
 from ledgerline.operators import runs as run_ops
@@ -329,4 +329,4 @@ def q_flatten_summary(spark, base_dir):
     return flatten_summary(B.deploy_summaries(spark, base_dir))
 
 
-__all__ = ["QUERIES", "flagship", "register", "deployed_base"]
+__all__ = ["QUERIES", "flagship", "register"]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline import schemas as S
-from ledgerline.operators.sales import _as_of, sales_by_region
+from ledgerline.operators.sales import ingest_time, sales_by_region
 from ledgerline.plans import tables
 from ledgerline.session import work_dir
 
@@ -54,7 +54,7 @@ def stream_sales_rollup(
     rollup = sales_by_region(order_stream(spark, source_path), exact=exact, with_ingested_at=False)
 
     def publish_batch(batch: DataFrame, _epoch_id: int) -> None:
-        tables.publish(batch.withColumn("ingested_at", _as_of(as_of)), report_table)
+        tables.publish(batch.withColumn("ingested_at", ingest_time(as_of)), report_table)
 
     writer = (rollup.writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint)
