@@ -84,3 +84,14 @@ def test_pipeline_refuses_bad_source(spark, sf001):
     bad = B.orders_raw(spark, sf001).withColumn("quantity", F.lit(0))
     with pytest.raises(QualityError):
         run_pipeline(spark, schema, source=bad, check_unique_ids=False)
+
+
+def test_landing_replaces_schema_and_schema_creation_is_idempotent(spark):
+    schema = tables.scratch_schema(spark)
+    tables.ensure_schema(spark, schema)  # again: no error
+    raw = tables.table_name(schema, S.RAW_TABLE)
+    first = spark.range(3).select(F.col("id").alias("a"), F.lit("x").alias("b"))
+    assert tables.land(first, raw).columns == ["a", "b"]
+    second = spark.range(5).select(F.col("id").cast("string").alias("c"))
+    landed = tables.land(second, raw)
+    assert landed.columns == ["c"] and landed.count() == 5
