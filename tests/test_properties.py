@@ -39,3 +39,17 @@ def test_equi_join_equals_theta_on_random_names(spark):
     want = sorted((w, i) for w in wanted for i, n in enumerate(job_names) if theta_match(n, w))
     assert got == want
     assert len(want) > 50
+
+
+def test_prefix_strip_whitespace_equals_python_over_the_bmp(spark):
+    """After '[x]', exactly the characters Python's re treats as whitespace are stripped."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions.text import deployed_base
+
+    cps = [c for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    names = spark.createDataFrame([(c, "[x]" + chr(c) + "a") for c in cps], "cp int, name string")
+    got = {r.cp for r in names.select("cp", deployed_base(F.col("name")).alias("b"))
+           .filter(F.col("b") == "a").collect()}
+    want = {c for c in cps if _PREFIX.sub("", "[x]" + chr(c) + "a") == "a"}
+    assert got == want
