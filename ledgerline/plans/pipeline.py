@@ -1,6 +1,6 @@
 """The two-step order job: land the raw batch, then publish the rollup.
 
-ensure schema -> source (generated or given) -> conform + checks -> land raw
+ensure schema -> source (generated or given) -> conform -> checks (refuse before any write) -> land raw
 -> read raw table -> rollup -> declare contract -> staged publish -> count.
 The two steps hand data over through the landed table only, as two separate
 tasks of a scheduled job would; the landed table also cuts the lineage.
@@ -40,10 +40,10 @@ def ingest(spark: SparkSession, schema: str, catalog: str | None = None,
             domains = {"region": S.ORDER_REGIONS, "product": S.ORDER_PRODUCTS,
                        "channel": S.ORDER_CHANNELS, "status": S.ORDER_STATUSES}
     batch = quality.conform(source)
-    # Land first, check the landed files: the checks then read parquet, not the
-    # (possibly expensive) source plan a second time.
+    # Check before landing (one aggregate pass over the batch), so a refused
+    # batch never replaces the previously landed one.
+    quality.assert_clean(quality.quality_report(batch, domains, check_unique_ids))
     landed = tables.land(batch, raw_table)
-    quality.assert_clean(quality.quality_report(landed, domains, check_unique_ids))
     return raw_table, landed.count()
 
 

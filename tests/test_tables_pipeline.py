@@ -81,9 +81,11 @@ def test_pipeline_refuses_bad_source(spark, sf001):
     from ledgerline.sources import bindings as B
 
     schema = tables.scratch_schema(spark)
+    good = run_pipeline(spark, schema, n=500)
     bad = B.orders_raw(spark, sf001).withColumn("quantity", F.lit(0))
     with pytest.raises(QualityError):
         run_pipeline(spark, schema, source=bad, check_unique_ids=False)
+    assert spark.table(good.raw_table).count() == 500  # the refused batch was not landed
 
 
 def test_landing_replaces_schema_and_schema_creation_is_idempotent(spark):
