@@ -1,7 +1,8 @@
 """The two-step order job: land the raw batch, then publish the rollup.
 
-ensure schema -> source (generated or given) -> conform -> checks (refuse before any write) -> land raw
--> read raw table -> rollup -> declare contract -> staged publish -> count.
+ensure schema -> source (generated or given) -> conform -> checks (a refused
+batch is never written) -> land raw -> read raw table -> rollup -> declare
+contract -> staged publish -> count.
 The two steps hand data over through the landed table only, as two separate
 tasks of a scheduled job would; the landed table also cuts the lineage.
 """
