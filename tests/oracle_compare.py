@@ -44,3 +44,14 @@ def assert_same(df, con, sql):
     want = rows_of(ocols, orows)
     assert len(got) == len(want)
     assert got == want
+
+
+def plan_text(df, mode: str = "formatted") -> str:
+    """The physical plan as printed by the public ``DataFrame.explain``."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode=mode)
+    return buf.getvalue()

@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerline.operators import names
+from tests.oracle_compare import plan_text
 
 JOBS_SCHEMA = ("job_id bigint, name string, deployment_kind string, "
                "creator_user_name string, run_as_user_name string")
@@ -35,7 +36,7 @@ def test_match_is_equi_join_without_duplicates(spark):
     r = requests(spark, ["a", "a_b", "a_b_c", "b", ""]).select("wanted")
     pairs = sorted((x.wanted, x.job_id) for x in names.match_names(j, r).collect())
     assert pairs == [("a", 1), ("a", 2), ("a", 3), ("a_b", 1), ("a_b_c", 1)]
-    plan = names.match_names(j, r)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(names.match_names(j, r))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 

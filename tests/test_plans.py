@@ -6,13 +6,14 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from tests.oracle_compare import plan_text
 
 QUERIES = E.queries()
 WRITERS = {"land_orders", "publish_sales", "published_count", "contract_schema", "pipeline_sales"}
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return plan_text(df)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))

@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerline.operators import runs as R
+from tests.oracle_compare import plan_text
 
 RUN_SCHEMA = ("run_id bigint, job_id bigint, run_name string, life_cycle_state string, "
               "result_state string, state_message string, start_time bigint, "
@@ -123,5 +124,5 @@ def test_task_errors_tail_and_placeholder(spark):
 def test_run_eta_plan_limits_before_shuffle(spark, sf001):
     from ledgerline.sources import bindings as B
 
-    plan = R.run_eta(B.runs(spark, sf001))._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(R.run_eta(B.runs(spark, sf001)))
     assert "WindowGroupLimit" in plan
