@@ -186,7 +186,9 @@ def blocked_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
 
 def allowed_requests(requests: DataFrame, runs: DataFrame, sample: int = S.ETA_SAMPLE_RUNS) -> DataFrame:
     """Requests that may run (no active run), with their duration estimate."""
-    active_jobs = runs.filter(is_active(F.col("life_cycle_state"))).select("job_id")
+    # Distinct first: a hot job's active runs collapse to one row per task
+    # (partial aggregation) before the anti join sees them.
+    active_jobs = runs.filter(is_active(F.col("life_cycle_state"))).select("job_id").distinct()
     allowed = requests.join(active_jobs, "job_id", "left_anti")
     eta = run_eta(runs, sample)
     return allowed.join(eta, "job_id", "left").select(
@@ -227,7 +229,8 @@ def failed_tasks(failed_runs: DataFrame, tasks: DataFrame) -> DataFrame:
                 F.when(F.col("_any_failed"), F.lit("failed")).otherwise(F.lit("not_success"))
                 .alias("reason"))
     )
-    bare = runs_.join(tasks.select("run_id"), "run_id", "left_anti").select(
+    runs_with_tasks = tasks.select("run_id").distinct()
+    bare = runs_.join(runs_with_tasks, "run_id", "left_anti").select(
         "run_id", F.lit(None).cast("string").alias("task_key"), F.col("run_id").alias("task_run_id"),
         F.lit(None).cast("string").alias("result_state"), F.lit(None).cast("string").alias("state_message"),
         F.lit(None).cast("string").alias("termination_summary"), F.lit("no_tasks").alias("reason"))
