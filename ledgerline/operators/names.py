@@ -13,8 +13,9 @@ any match; then jobs owned by the caller win if any survive; one survivor is
 RESOLVED, none NOT_FOUND, more AMBIGUOUS.  Because each filter applies only
 if something survives it, the outcome follows from four per-name counts
 (all, managed, owned, managed-and-owned), so resolution is a single
-``groupBy(wanted)`` with map-side partial aggregation -- a name matching a
-third of all jobs costs one partial row per map task, not one hot reducer.
+``groupBy(wanted)`` hash aggregate with map-side partial aggregation -- a name
+matching a third of all jobs costs one partial row per map task, not one hot
+reducer.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def _narrowing(matches: DataFrame) -> DataFrame:
         return F.count_if(cond).cast("bigint")
 
     def pick_if(cond):
-        return F.min(F.when(cond, F.struct("job_id", "name")))
+        # A long, not a struct: keeps the aggregate a HashAggregate.
+        return F.min(F.when(cond, F.col("job_id")))
 
     managed, owned = F.col("managed"), F.col("owned")
     agg = matches.groupBy("wanted").agg(
@@ -103,18 +105,20 @@ def _narrowing(matches: DataFrame) -> DataFrame:
             .when(by_owned, F.col("pick_o"))
             .otherwise(F.col("pick_all")))
     return agg.select("wanted", by_managed.alias("by_managed"), by_owned.alias("by_owned"),
-                      survivors.alias("n_candidates"), pick.alias("pick"))
+                      survivors.alias("n_candidates"), pick.alias("pick_id"))
 
 
 def resolve_jobs(jobs: DataFrame, requests: DataFrame, principal: str | None = None) -> DataFrame:
     """One row per request: ``wanted, status, n_candidates, job_id, job_name``.
 
     ``principal`` (or a ``principal`` column on ``requests``) is the caller;
-    null or empty disables the ownership filter.
+    null or empty disables the ownership filter.  ``job_id`` is the key of
+    ``jobs``; the resolved job's name is attached by joining the (at most one
+    per request) resolved ids back to ``jobs``.
     """
     narrowed = _narrowing(_flagged_matches(jobs, requests, principal))
     resolved = F.col("n_candidates") == 1
-    return (
+    out = (
         requests.select("wanted")
         .join(narrowed, "wanted", "left")
         .select(
@@ -122,10 +126,12 @@ def resolve_jobs(jobs: DataFrame, requests: DataFrame, principal: str | None = N
             F.when(F.col("n_candidates").isNull(), F.lit(NOT_FOUND))
             .when(resolved, F.lit(RESOLVED)).otherwise(F.lit(AMBIGUOUS)).alias("status"),
             F.coalesce(F.col("n_candidates"), F.lit(0)).cast("bigint").alias("n_candidates"),
-            F.when(resolved, F.col("pick.job_id")).alias("job_id"),
-            F.when(resolved, F.col("pick.name")).alias("job_name"),
+            F.when(resolved, F.col("pick_id")).alias("job_id"),
         )
     )
+    job_names = jobs.select("job_id", F.col("name").alias("job_name"))
+    return out.join(job_names, "job_id", "left").select(
+        "wanted", "status", "n_candidates", "job_id", "job_name")
 
 
 def ambiguous_candidates(jobs: DataFrame, requests: DataFrame, principal: str | None = None) -> DataFrame:
