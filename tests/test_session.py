@@ -14,3 +14,16 @@ def test_scratch_schema_lives_under_work_dir(spark):
     loc = [r for r in spark.sql(f"DESCRIBE SCHEMA EXTENDED `{schema}`").collect()
            if r[0].lower() == "location"][0][1]
     assert work_dir(spark).split(":")[-1] in loc
+
+
+def test_literal_table_empty_and_typed(spark):
+    from ledgerline.sources.tables import literal_table
+
+    cols = [("wanted", "string"), ("principal", "string")]
+    empty = literal_table(spark, [], cols)
+    assert empty.columns == ["wanted", "principal"] and empty.count() == 0
+    two = literal_table(spark, [("a", None), ("b", "p")], cols)
+    assert sorted(map(tuple, two.collect())) == [("a", None), ("b", "p")]
+    from tests.oracle_compare import plan_text
+
+    assert "ExistingRDD" not in plan_text(two)  # JVM-side relation, no Python RDD scan
