@@ -130,6 +130,7 @@ RUNS = T.StructType([
     T.StructField("run_duration", T.LongType()),
     T.StructField("run_page_url", T.StringType()),
     T.StructField("termination", TERMINATION),
+    T.StructField("tasks", T.ArrayType(TASK)),
 ])
 RUN_TASKS = T.StructType([
     T.StructField("run_id", T.LongType()),

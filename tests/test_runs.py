@@ -126,3 +126,24 @@ def test_run_eta_plan_limits_before_shuffle(spark, sf001):
 
     plan = plan_text(R.run_eta(B.runs(spark, sf001)))
     assert "WindowGroupLimit" in plan
+
+
+def test_failed_tasks_from_nested_runs(spark):
+    from ledgerline import schemas as S
+
+    t = lambda key, rid, state: (key, rid, state, None, None)
+    rows = [
+        (1, 1, None, "TERMINATED", "FAILED", None, 1, None, None, None, None,
+         [t("A", 11, "FAILED"), t("B", 12, "SUCCESS"), t("C", 13, None)]),
+        (2, 1, None, "TERMINATED", "FAILED", None, 2, None, None, None, None,
+         [t("A", 21, "SUCCESS"), t("B", 22, None), t("C", 23, "CANCELED")]),
+        (3, 1, None, "INTERNAL_ERROR", None, None, 3, None, None, None, None, []),
+        (4, 1, None, "TERMINATED", "FAILED", None, 4, None, None, None, None, None),
+        (5, 1, None, "TERMINATED", "SUCCESS", None, 5, None, None, None, None, [t("A", 51, "SUCCESS")]),
+    ]
+    runs = spark.createDataFrame(rows, S.RUNS)
+    failed = R.classify_runs(runs).filter("is_failed")
+    out = sorted((r.run_id, r.task_key, r.task_run_id, r.reason)
+                 for r in R.failed_tasks(failed, R.explode_tasks(runs)).collect())
+    assert out == [(1, "A", 11, "failed"), (2, "B", 22, "not_success"), (2, "C", 23, "not_success"),
+                   (3, None, 3, "no_tasks"), (4, None, 4, "no_tasks")]
