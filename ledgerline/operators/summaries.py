@@ -6,7 +6,9 @@ read as ``STRUCT<name, id>``.  Typing the map values as structs directly would
 null the whole map as soon as one value is a scalar.  Per entry: name =
 ``info.name`` unless empty, else the key; id omitted when falsy; a non-object
 ``info`` gives (key, null); text that is not JSON, or whose ``jobs`` is not an
-object, gives no rows.
+object, gives no rows.  A key repeated inside one jobs object keeps its last
+value, as a JSON object read into a dict does (Spark's parsed map keeps every
+duplicate entry, so the entries are filtered per row before exploding).
 """
 
 from __future__ import annotations
@@ -30,7 +32,14 @@ def flatten_summary(summaries: DataFrame, json_col: str = "summary_json") -> Dat
     """``<other columns>, job_key, job_name, job_id`` per job entry of each summary."""
     keep = [c for c in summaries.columns if c != json_col]
     jobs = F.from_json(F.col(json_col), SUMMARY_SCHEMA).getField("resources").getField("jobs")
-    entries = summaries.select(*keep, F.explode(jobs).alias("job_key", "_info"))
+    all_entries = F.map_entries(jobs)
+    last_wins = F.filter(
+        all_entries,
+        lambda e, i: ~F.exists(F.slice(all_entries, i + 2, F.size(all_entries) + 1),
+                               lambda later: later["key"] == e["key"]),
+    )
+    entries = summaries.select(*keep, F.inline(last_wins)).withColumnsRenamed(
+        {"key": "job_key", "value": "_info"})
     info = F.from_json(F.col("_info"), INFO_SCHEMA)
     parsed = entries.select(*keep, "job_key", info.alias("_i"))
     return parsed.select(

@@ -20,3 +20,8 @@ def test_f6_mixed_entries(spark):
                                 '{"resources":{"jobs":null}}', '{"resources":{"jobs":[1]}}', None])
 def test_f6_no_rows(spark, js):
     assert flat(spark, js) == []
+
+
+def test_f6_duplicate_key_keeps_last_value(spark):
+    js = '{"resources":{"jobs":{"a":{"name":"x","id":1},"b":2,"a":{"name":"y","id":2}}}}'
+    assert flat(spark, js) == [("b", None), ("y", "2")]
