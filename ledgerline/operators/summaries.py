@@ -38,7 +38,11 @@ def flatten_summary(summaries: DataFrame, json_col: str = "summary_json") -> Dat
         lambda e, i: ~F.exists(F.slice(all_entries, i + 2, F.size(all_entries) + 1),
                                lambda later: later["key"] == e["key"]),
     )
-    entries = summaries.select(*keep, F.inline(last_wins)).withColumnsRenamed(
+    # The per-entry filter is an interpreted lambda; run it only on the rare
+    # objects that actually repeat a key.
+    repeats_key = F.size(F.array_distinct(F.map_keys(jobs))) < F.size(jobs)
+    chosen = F.when(repeats_key, last_wins).otherwise(all_entries)
+    entries = summaries.select(*keep, F.inline(chosen)).withColumnsRenamed(
         {"key": "job_key", "value": "_info"})
     info = F.from_json(F.col("_info"), INFO_SCHEMA)
     parsed = entries.select(*keep, "job_key", info.alias("_i"))
