@@ -147,3 +147,11 @@ def test_failed_tasks_from_nested_runs(spark):
                  for r in R.failed_tasks(failed, R.explode_tasks(runs)).collect())
     assert out == [(1, "A", 11, "failed"), (2, "B", 22, "not_success"), (2, "C", 23, "not_success"),
                    (3, None, 3, "no_tasks"), (4, None, 4, "no_tasks")]
+
+
+def test_eta_only_success_option(spark):
+    rows = [run(1, rs="SUCCESS", exe=10000), run(2, rs="FAILED", exe=50000), run(3, rs="SUCCESS", exe=20000)]
+    df = runs_df(spark, rows)
+    assert R.run_eta(df).first().eta_seconds == pytest.approx(80 / 3)
+    only = R.run_eta(df, only_success=True).first()
+    assert only.runs_used == 2 and only.eta_seconds == pytest.approx(15.0)
