@@ -53,3 +53,17 @@ def test_prefix_strip_whitespace_equals_python_over_the_bmp(spark):
            .filter(F.col("b") == "a").collect()}
     want = {c for c in cps if _PREFIX.sub("", "[x]" + chr(c) + "a") == "a"}
     assert got == want
+
+
+def test_duration_text_equals_python_divmod(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions.text import duration_text
+
+    rng = random.Random(11)
+    values = [0, 1, 999, 1000, 59999, 60000, 61000, 3599999, 10**12] + [rng.randint(1, 10**10) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "ms bigint")
+    got = {r.ms: r.t for r in df.select("ms", duration_text(F.col("ms")).alias("t")).collect()}
+    for v in values:
+        m, s = divmod(int(v / 1000), 60)
+        assert got[v] == f"{m}m {s}s"
