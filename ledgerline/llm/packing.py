@@ -205,9 +205,9 @@ _CUT = pa.schema([
 _CUT_DDL = "part int, length int, rank long, doc_id long, start long, doc_tokens long, ids binary"
 _OUT = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
-    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()),
 ])
-_OUT_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_OUT_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
 
 
 def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -240,7 +240,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -> I
             yield _batch(out, _CUT)
 
 
-def _place(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], plan: Plan, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in _OUT]
         columns = [batch.column(c) for c in ("length", "rank", "before", "doc_id", "start", "doc_tokens", "ids")]
@@ -252,17 +252,20 @@ def _place(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
                 places = plan.place(length, before + rank)
             at = 0
             for sequence, offset, n in places:
-                row = (doc_id, start + at, n, doc_tokens, sequence, offset, ids[2 * at : 2 * (at + n)])
+                part = ids[2 * at : 2 * (at + n)]
+                crc = zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes())
+                row = (doc_id, start + at, n, doc_tokens, sequence, offset, crc, part if with_ids else None)
                 for column, value in zip(out, row):
                     column.append(value)
                 at += n
         yield _batch(out, _OUT)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, *, path: str, end: int, size: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+def pack_documents(spark: SparkSession, docs: DataFrame, *, path: str, end: int, size: int = 1024, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids.
 
-    ``ids`` are 16-bit little-endian; ``end`` closes each document (null text: that id alone).
+    ``ids`` are 16-bit little-endian (null without ``with_ids``), ``ids_crc32`` is that of the ids
+    as 32-bit little-endian integers; ``end`` closes each document (null text: that id alone).
     Sequences are numbered from 0 without gaps, pieces of a sequence lie one after another from
     offset 0, and a sequence is padded to ``size`` unless its ids end at a power of two.  Rows
     that share a doc_id are packed as documents of their own.  Other columns are ignored; an
@@ -288,17 +291,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, path: str, end: int,
     wholes = F.broadcast(before.filter(F.col("length") == size).select("part", "before"))
     full = cut.filter(F.col("length") == size).join(wholes, "part")
     names = ["length", "rank", "before", "doc_id", "start", "doc_tokens", "ids"]
-    return items.select(*names).unionByName(full.select(*names)).mapInArrow(partial(_place, plan=plan), _OUT_DDL)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in batch.column("ids")]
-        names = [n for n in batch.schema.names if n != "ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 (of the ids as 32-bit little-endian integers) for their ids."""
-    ddl = ", ".join(x for x in _OUT_DDL.split(", ") if not x.startswith("ids")) + ", ids_crc32 long"
-    return pieces.mapInArrow(_digest, ddl)
+    return items.select(*names).unionByName(full.select(*names)).mapInArrow(partial(_place, plan=plan, with_ids=with_ids), _OUT_DDL)

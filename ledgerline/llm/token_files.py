@@ -165,36 +165,42 @@ def write_token_files(spark: SparkSession, docs: DataFrame, target: str, *, path
     scratch.drop("raw")
 
 
-def _decode(batches: Iterator[pa.RecordBatch], lengths: bytes) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], lengths: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
     book = Codebook(np.frombuffer(lengths, np.uint8))
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
         for k in range(batch.num_rows):
             row = {c: batch.column(c)[k] for c in batch.schema.names}
             ids = book.decode(row["payload"].as_buffer().to_pybytes(), row["n_ids"].as_py(), row["checkpoints"].values.to_numpy())
             shard, first, at = row["shard"].as_py(), row["first"].as_py(), 0
+            out: list[list] = [[] for _ in _PARTS]
             for ordinal, doc_id, n in zip(*(row[c].as_py() for c in ("ordinals", "doc_ids", "lengths"))):
-                for column, value in zip(out, (shard, ordinal, doc_id, first + at, ids[at : at + n].astype("<u4").tobytes())):
+                part = ids[at : at + n].astype("<u4").tobytes()
+                values = (shard, ordinal, doc_id, first + at, n, zlib.crc32(part), part if with_ids else None)
+                for column, value in zip(out, values):
                     column.append(value)
                 at += n
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS)], schema=_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS)], schema=_PARTS)
 
 
-_PARTS = pa.schema([("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
+_PARTS = pa.schema([
+    ("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()),
+    ("ids", pa.binary()),
+])
 
 
-def read_token_files(spark: SparkSession, target: str) -> DataFrame:
-    """(shard, ordinal, doc_id, at, ids): each document's ids (32-bit little-endian) in parts.
+def read_token_files(spark: SparkSession, target: str, *, with_ids: bool = True) -> DataFrame:
+    """(shard, ordinal, doc_id, at, n, crc, ids): each document's ids (32-bit little-endian) in parts.
 
     A document has a part in each block that holds some of its ids; ``at`` is the part's place
-    among the ids of all documents.
+    among the ids of all documents, ``n`` their number and ``crc`` their crc32.  Without
+    ``with_ids`` the ids are decoded all the same, but null takes their place in the result.
     """
     lengths = bytes(spark.read.schema("lengths binary").parquet(f"{target}/codebook").first()[0])
     parts = spark.read.schema(_BLOCK_DDL).parquet(f"{target}/blocks").mapInArrow(
-        partial(_decode, lengths=lengths), "shard int, ordinal long, doc_id long, at long, ids binary"
+        partial(_decode, lengths=lengths, with_ids=with_ids), "shard int, ordinal long, doc_id long, at long, n long, crc long, ids binary"
     )
     starts = spark.read.schema("shard int, start long").parquet(f"{target}/shards")
-    return parts.join(starts, "shard").select("shard", "ordinal", "doc_id", (F.col("at") + F.col("start")).alias("at"), "ids")
+    return parts.join(starts, "shard").select("shard", "ordinal", "doc_id", (F.col("at") + F.col("start")).alias("at"), "n", "crc", "ids")
 
 
 def _times(a: int, b: int) -> int:
@@ -219,17 +225,6 @@ def crc_join(left: int, right: int, right_bytes: int) -> int:
     return _times(left, shift) ^ right
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids")
-        crc = [zlib.crc32(x.as_buffer()) for x in ids]
-        size = [len(x.as_buffer()) // 4 for x in ids]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("shard", "ordinal", "doc_id", "at")), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
-            names=["shard", "ordinal", "doc_id", "at", "n", "crc"],
-        )
-
-
 def _join_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -245,8 +240,7 @@ def _join_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_digests(parts: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of ``read_token_files``."""
-    each = parts.mapInArrow(_digest, "shard int, ordinal long, doc_id long, at long, n long, crc long")
-    docs = each.groupBy("shard", "ordinal").agg(
+    docs = parts.groupBy("shard", "ordinal").agg(
         F.min("doc_id").alias("doc_id"), F.min("at").alias("start"), F.sum("n").alias("n_tokens"),
         F.count(F.lit(1)).alias("n_parts"), F.collect_list(F.struct("at", "n", "crc")).alias("parts"),
     )
