@@ -164,9 +164,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         for _, values in _rows(batch, width):
             if len(values):
                 cls.append(_class_of(values))
-                sets.append(values.tobytes())
-                held += len(sets[-1])
-            if held > 1 << 23:
+                sets.append(values.view(np.int64))
+                held += len(values)
+            if held > 1 << 18:
                 yield _set_batch(cls, sets)
                 cls, sets, held = [], [], 0
         if cls:
@@ -175,28 +175,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def _set_batch(cls: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "members"]
+        [pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"]
     )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = np.zeros(batch.num_rows, bool)
-        a, b = batch.column("set_a"), batch.column("set_b")
-        for k in range(batch.num_rows):
-            x = np.frombuffer(a[k].as_buffer(), np.uint64)
-            y = np.frombuffer(b[k].as_buffer(), np.uint64)
-            if len(y) < len(x):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "linked"]
-        )
-
-
 def choose_boundary(sizes: DataFrame, percent: int) -> int:
     """The boundary of least cost from counts of sets by size (a few dozen rows reach the driver)."""
     unit = -(-100 // (100 - percent))
@@ -253,7 +235,7 @@ def link_documents(
     own = F.coalesce(F.col("doc_id").cast("long"), none)
     near = with_maybe(base, own, key_filter(chosen, "doc_id"), "_maybe").filter("_maybe").select("text")
     known = scratch.save(
-        near.mapInArrow(partial(_sets, width=width), "cls long, members binary")
+        near.mapInArrow(partial(_sets, width=width), "cls long, members array<long>")
         .groupBy("cls").agg(F.first("members").alias("members")),
         "sets",
     )
@@ -261,8 +243,10 @@ def link_documents(
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = known.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
         b = known.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
-        full = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        return scratch.save(full.mapInArrow(partial(_verify, percent=percent), "a long, b long, linked boolean"), name)
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        union = F.size("set_a") + F.size("set_b") - F.col("both")
+        full = pairs.join(a, "a").join(b, "b").withColumn("both", both)
+        return scratch.save(full.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked")), name)
 
     first = lists.filter("cls <> rep").groupBy(F.col("cls").alias("b")).agg(F.min("rep").alias("a"))
     done = verified(first.select("a", "b"), "checked-0")
