@@ -28,7 +28,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = Scratch(spark, "op1").root
     token_files.write_token_files(spark, documents(spark, sf_dir), target, path=tokenizer_path("word_bpe_49k.json"), end=2)
-    return token_files.token_digests(token_files.read_token_files(spark, target))
+    return token_files.token_digests(token_files.read_token_files(spark, target, with_ids=False))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(spark, documents(spark, sf_dir), path=tokenizer_path("byte_bpe_50k.json"), end=0, size=1024)
-    return packing.piece_digests(pieces)
+    return packing.pack_documents(spark, documents(spark, sf_dir), path=tokenizer_path("byte_bpe_50k.json"), end=0, size=1024, with_ids=False).drop("ids")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ _U = np.uint64
 #: Bytes of a string that counts as a copy, and of the grams that are anchors.
 DEPTH, GRAM = 100, 24
 #: Different runs of an anchor that one task sorts; bytes of runs sorted together.
-GROUP, SORT_BYTES = 20_000, 1 << 22
+GROUP, SORT_BYTES = 20_000, 1 << 20
 
 _RUNS = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("later", pa.bool_())])
 _RUNS_DDL = "a long, c long, doc_id long, tie long, lo long, span int, later boolean"
@@ -115,7 +115,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(row):
                 parts.append((a, c, ids[rows[row]], ties[rows[row]], lo + places[row], span))
                 held += len(row)
-            if held > 1_000_000:
+            if held > 250_000:
                 yield _combine(parts)
                 parts, held = [], 0
     if held:
@@ -273,10 +273,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their spans to the bytes that stay."""
+    """Texts and their spans to the bytes that stay, a few megabytes at a time."""
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
-        kept, gone, runs = [], [], []
         texts, lists = batch.column("text"), batch.column("spans")
+        rest = [c for c in batch.schema.names if c not in ("text", "spans")]
+        out: list[list] = [[] for _ in range(5)]
+        done, held = 0, 0
         for k in range(batch.num_rows):
             raw = (texts[k].as_py() or "").encode()
             spans = lists[k]
@@ -288,19 +291,22 @@ def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(raw[at:lo])
                 at = hi
             parts.append(raw[at:])
-            kept.append(b"".join(parts))
-            gone.append(len(raw) - len(kept[-1]))
-            runs.append([{"start": a, "stop": b} for a, b in merged])
-        rest = [c for c in batch.schema.names if c not in ("text", "spans")]
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in rest), pa.array([a + len(b) for a, b in zip(gone, kept)], pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary())],
-            names=[*rest, "n_bytes", "n_removed", "removed", "kept"],
-        )
+            kept = b"".join(parts)
+            row = (len(raw), len(raw) - len(kept), [{"start": a, "stop": b} for a, b in merged], kept, hashlib.sha256(kept).hexdigest())
+            for column, value in zip(out, row):
+                column.append(value)
+            held += len(raw)
+            if held > 1 << 22 or k == batch.num_rows - 1:
+                types = (pa.int64(), pa.int64(), span_type, pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(done, k + 1 - done) for c in rest), *(pa.array(c, t) for c, t in zip(out, types))],
+                    names=[*rest, "n_bytes", "n_removed", "removed", "kept", "kept_sha256"],
+                )
+                out, done, held = [[] for _ in range(5)], k + 1, 0
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, _rest, n_bytes, n_removed, removed, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, _rest, n_bytes, n_removed, removed, kept, kept_sha256.
 
     ``removed`` lists the maximal removed runs (start, stop in bytes), ``kept`` holds the bytes
     that stay, ``_rest`` the table's other columns.  Null text is empty.  A null doc_id counts as
@@ -413,7 +419,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gone = later.withColumn("spans", all_of).select(*out)
     rest = packed.schema["_rest"].dataType.simpleString()
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {id_type}, _rest {rest}, n_bytes long, n_removed long, removed array<struct<start:bigint,stop:bigint>>, kept binary"
+    ddl = f"doc_id {id_type}, _rest {rest}, n_bytes long, n_removed long, removed array<struct<start:bigint,stop:bigint>>, kept binary, kept_sha256 string"
     return plain.unionByName(cut).unionByName(gone).mapInArrow(_trim, ddl)
 
 
@@ -436,17 +442,6 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), batch.column("n_removed"),
-             pa.array([len(r) for r in batch.column("removed")], pa.int64()),
-             pa.array([hashlib.sha256(k.as_buffer()).hexdigest() for k in batch.column("kept")], pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
-
-
 def repeat_digests(trimmed: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``remove_repeats``."""
-    id_type = trimmed.schema["doc_id"].dataType.simpleString()
-    return trimmed.drop("_rest").mapInArrow(_digest, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return trimmed.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
