@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 
 #: Pieces in the small first cache, and in the large second one (about 200 bytes each).
-FRONT, BACK = 1 << 15, 400_000
+FRONT, BACK = 1 << 15, 1_500_000
 #: Longer pieces aren't cached.
 LONGEST = 64
 
