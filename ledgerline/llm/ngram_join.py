@@ -17,9 +17,9 @@ A set posts to the classes of all partners' sizes that could link with it.
 The boundary ``x`` is chosen by cost: from the counts of sets by size, keys plus shingles scanned
 for each possible boundary (multiples of 100 / (100 - percent), where the subsets' sizes change).
 
-Work is done on classes of equal sets, so copies never multiply.  Every list names its smallest
-member; candidates are first checked against that one, the classes found linked are joined to
-components, and only pairs of a list that lie in different components are checked after that.
+Work is done on classes of equal sets, so copies never multiply.  In rounds, a class is checked
+against the heaviest member (the hub) of the lists it is in, and the classes found linked are
+joined to components; only pairs of a list that lie in different components then are checked.
 Components are whole: a pair left out joins two sets that are linked already.
 """
 
@@ -42,6 +42,8 @@ from ledgerline.llm.words import mix, shingles, text_chunks, word_hashes
 _U = np.uint64
 #: Boundaries that are compared, in units of 100 / (100 - percent) shingles.
 BOUNDARIES = (1, 2, 3)
+#: Rounds in which classes are checked against hubs before the remaining pairs are.
+HUB_ROUNDS = 4
 
 
 def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -248,10 +250,28 @@ def link_documents(
         full = pairs.join(a, "a").join(b, "b").withColumn("both", both)
         return scratch.save(full.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked")), name)
 
-    first = lists.filter("cls <> rep").groupBy(F.col("cls").alias("b")).agg(F.min("rep").alias("a"))
-    done = verified(first.select("a", "b"), "checked-0")
-    edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(spark, edges, scratch)
+    # A class's weight is the length of its lists: the original of a group of copies has the
+    # longest.  In each list the heaviest member is the hub, and each class of another component
+    # is checked against the hub it meets most often: one pair a class and round.
+    length = scratch.save(lists.groupBy("sig").agg(F.count(F.lit(1)).alias("length")), "lengths")
+    weights = scratch.save(lists.join(length, "sig").groupBy("cls").agg(F.sum("length").alias("weight")), "weights")
+    lists = scratch.save(lists.join(weights, "cls").select("sig", "cls", "n", "weight"), "weighed")
+    done = spark.createDataFrame([], "a long, b long, linked boolean")
+    roots = spark.createDataFrame([], "node long, root long")
+    for step in range(HUB_ROUNDS):
+        placed = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        placed = scratch.save(placed, f"placed-{step}")
+        hubs = placed.groupBy("sig").agg(F.max(F.struct("weight", "cls", "root")).alias("hub"))
+        met = placed.join(hubs, "sig").filter("root <> hub.root").select("cls", F.col("hub.cls").alias("other"))
+        pairs = met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"), "cls")
+        pairs = pairs.groupBy("cls", "a", "b").agg(F.count(F.lit(1)).alias("times")).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        best = pairs.groupBy("cls").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        found = verified(best, f"checked-{step}")
+        done = done.unionByName(found)
+        edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not found.filter("linked").limit(1).count():
+            break
+        roots = components(spark, edges, scratch)
 
     # The rest: pairs of a list in different components, the smaller side against the whole list.
     placed = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -266,7 +286,7 @@ def link_documents(
         .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
         .join(done.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more = verified(pairs, "checked-1")
+    more = verified(pairs, "checked-rest")
     again = edges.unionByName(more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(spark, again, scratch)
 
@@ -275,7 +295,7 @@ def link_documents(
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(rooted.join(named, "root").select("cls", "component_id"), "lookup")
-    for name in ("lists", "sets", "mixed", "chosen"):
+    for name in ("lists", "weighed", "sets", "mixed", "chosen"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(
