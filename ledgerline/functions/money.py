@@ -11,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
-# Line-level types are chosen so every product stays within 18 digits, where
-# Spark keeps decimals in a long (price(10,2) x qty(7,0) -> (18,2); gross(11,2)
-# x rate(6,4) -> (18,6)); wider operands fall back to BigDecimal per row.
-# Values beyond these bounds (unit price >= 1e8, line gross >= 1e9) raise
-# under ANSI casts rather than lose digits.
-PRICE = DecimalType(10, 2)
-QUANTITY = DecimalType(7, 0)
+# Line-level types hold every price and quantity whose sums fit the report, so no
+# legal line is refused; a value with more decimals than its type raises instead of
+# being rounded.
+PRICE = DecimalType(12, 2)
+QUANTITY = DecimalType(10, 0)
 RATE = DecimalType(5, 4)
-LINE_GROSS = DecimalType(11, 2)
-LINE_NET = DecimalType(18, 6)
+LINE_GROSS = DecimalType(23, 2)
+LINE_NET = DecimalType(29, 6)
 REPORT_MONEY = DecimalType(12, 2)
 
 
+def _exact(value: Column, kind: DecimalType) -> Column:
+    """The value as a decimal; an error when it has more decimals than ``kind``."""
+    fits = value.isNull() | (F.round(value, kind.scale) == value)
+    refused = F.raise_error(F.concat(F.lit("more decimals than allowed: "), value.cast("string")))
+    return F.when(fits, value.cast(kind)).otherwise(refused.cast(kind))
+
+
 def gross_amount(price: Column, quantity: Column, exact: bool = True) -> Column:
     """unit_price * quantity, exact to the cent (or the double product)."""
     if not exact:
         return price * quantity
-    return (price.cast(PRICE) * quantity.cast(QUANTITY)).cast(LINE_GROSS)
+    return (_exact(price, PRICE) * quantity.cast(QUANTITY)).cast(LINE_GROSS)
 
 
 def net_amount(gross: Column, discount: Column, exact: bool = True) -> Column:
     """gross * (1 - discount), exact to 1e-6 (or the double product)."""
     if not exact:
         return gross * (F.lit(1.0) - discount)
-    return (gross * (F.lit(1).cast(RATE) - discount.cast(RATE))).cast(LINE_NET)
+    return (gross * (F.lit(1).cast(RATE) - _exact(discount, RATE))).cast(LINE_NET)
 
 
 def money_sum(amount: Column) -> Column:

@@ -12,10 +12,9 @@ Resolution narrows each wanted name's candidates: bundle-managed jobs win if
 any match; then jobs owned by the caller win if any survive; one survivor is
 RESOLVED, none NOT_FOUND, more AMBIGUOUS.  Because each filter applies only
 if something survives it, the outcome follows from four per-name counts
-(all, managed, owned, managed-and-owned), so resolution is a single
-``groupBy(wanted)`` hash aggregate with map-side partial aggregation -- a name
-matching a third of all jobs costs one partial row per map task, not one hot
-reducer.
+(all, managed, owned, managed-and-owned), so resolution is a single hash
+aggregate.  Each request (wanted, principal) is resolved alone: requests that
+share a name never share candidates.
 """
 
 from __future__ import annotations
@@ -67,16 +66,16 @@ def _owned(principal: Column) -> Column:
 def _flagged_matches(jobs: DataFrame, requests: DataFrame, principal: str | None) -> DataFrame:
     req = requests if "principal" in requests.columns else requests.withColumn(
         "principal", F.lit(principal).cast("string"))
-    m = match_names(jobs, req.select("wanted", "principal"))
+    m = match_names(jobs, req.select("wanted", "principal").distinct())
     return m.select(
-        "wanted", "job_id", "name",
+        "wanted", "principal", "job_id", "name",
         F.col("deployment_kind").isNotNull().alias("managed"),
         _owned(F.col("principal")).alias("owned"),
     )
 
 
 def _narrowing(matches: DataFrame) -> DataFrame:
-    """Per wanted name: which filters apply and how many candidates survive."""
+    """Per request (wanted, principal): which filters apply and how many candidates survive."""
     def n_if(cond):
         return F.count_if(cond).cast("bigint")
 
@@ -85,7 +84,7 @@ def _narrowing(matches: DataFrame) -> DataFrame:
         return F.min(F.when(cond, F.col("job_id")))
 
     managed, owned = F.col("managed"), F.col("owned")
-    agg = matches.groupBy("wanted").agg(
+    agg = matches.groupBy("wanted", "principal").agg(
         F.count(F.lit(1)).alias("n_all"),
         n_if(managed).alias("n_m"),
         n_if(owned).alias("n_o"),
@@ -104,7 +103,7 @@ def _narrowing(matches: DataFrame) -> DataFrame:
             .when(by_managed, F.col("pick_m"))
             .when(by_owned, F.col("pick_o"))
             .otherwise(F.col("pick_all")))
-    return agg.select("wanted", by_managed.alias("by_managed"), by_owned.alias("by_owned"),
+    return agg.select("wanted", "principal", by_managed.alias("by_managed"), by_owned.alias("by_owned"),
                       survivors.alias("n_candidates"), pick.alias("pick_id"))
 
 
@@ -118,11 +117,15 @@ def resolve_jobs(jobs: DataFrame, requests: DataFrame, principal: str | None = N
     """
     narrowed = _narrowing(_flagged_matches(jobs, requests, principal))
     resolved = F.col("n_candidates") == 1
+    r = (requests if "principal" in requests.columns
+         else requests.withColumn("principal", F.lit(principal).cast("string"))).alias("r")
+    n = narrowed.alias("n")
     out = (
-        requests.select("wanted")
-        .join(narrowed, "wanted", "left")
+        r.select("wanted", "principal").alias("r")
+        .join(n, (F.col("r.wanted") == F.col("n.wanted"))
+              & F.col("r.principal").eqNullSafe(F.col("n.principal")), "left")
         .select(
-            "wanted",
+            F.col("r.wanted").alias("wanted"),
             F.when(F.col("n_candidates").isNull(), F.lit(NOT_FOUND))
             .when(resolved, F.lit(RESOLVED)).otherwise(F.lit(AMBIGUOUS)).alias("status"),
             F.coalesce(F.col("n_candidates"), F.lit(0)).cast("bigint").alias("n_candidates"),
@@ -143,8 +146,11 @@ def ambiguous_candidates(jobs: DataFrame, requests: DataFrame, principal: str |
     matches = _flagged_matches(jobs, requests, principal)
     narrowed = _narrowing(matches).filter(F.col("n_candidates") > 1)
     keep = ((~F.col("by_managed") | F.col("managed")) & (~F.col("by_owned") | F.col("owned")))
+    flags = narrowed.select(F.col("wanted").alias("_wanted"), F.col("principal").alias("_principal"),
+                            "by_managed", "by_owned")
     return (
-        matches.join(narrowed.select("wanted", "by_managed", "by_owned"), "wanted")
+        matches.join(flags, (F.col("wanted") == F.col("_wanted"))
+                     & F.col("principal").eqNullSafe(F.col("_principal")))
         .filter(keep)
         .select("wanted", "job_id", "name",
                 F.format_string(CANDIDATE_LINE, F.col("name"), F.col("job_id")).alias("candidate_line"))

@@ -31,7 +31,10 @@ def _falsy_id(id_text):
 def flatten_summary(summaries: DataFrame, json_col: str = "summary_json") -> DataFrame:
     """``<other columns>, job_key, job_name, job_id`` per job entry of each summary."""
     keep = [c for c in summaries.columns if c != json_col]
-    jobs = F.from_json(F.col(json_col), SUMMARY_SCHEMA).getField("resources").getField("jobs")
+    parsed_jobs = F.from_json(F.col(json_col), SUMMARY_SCHEMA).getField("resources").getField("jobs")
+    # A select of its own: inside the generator nothing would share the parsed map.
+    summaries = summaries.select(*keep, parsed_jobs.alias("_jobs"))
+    jobs = F.col("_jobs")
     all_entries = F.map_entries(jobs)
     last_wins = F.filter(
         all_entries,

@@ -180,14 +180,14 @@ active AS (
 
 TASKS = f"""
 tasks AS (
-  SELECT user_id AS run_id, 'task-' || CAST(event_id AS VARCHAR) AS task_key, event_id AS task_run_id,
+  SELECT event_id - event_id % 4 AS run_id, 'task-' || CAST(event_id AS VARCHAR) AS task_key, event_id AS task_run_id,
          CASE WHEN event_type = 'view' THEN NULL ELSE {RESULT_MAP} END AS result_state,
          CASE WHEN event_type IN ('error', 'click') THEN event_type || ' ' || props END AS state_message,
          {TERM_CODE} AS term_code,
          CASE WHEN {TERM_CODE} IS NOT NULL THEN {TERM_MESSAGE} END AS term_message
-  FROM events WHERE event_id % 7 < 2
+  FROM events
 ),
-failed_runs AS (SELECT DISTINCT user_id AS run_id FROM events),
+failed_runs AS (SELECT run_id FROM classified WHERE is_failed),
 tf AS (
   SELECT t.*, COALESCE(result_state IN {FAILED_STATES}, false) AS f,
          bool_or(COALESCE(result_state IN {FAILED_STATES}, false)) OVER (PARTITION BY run_id) AS anyf
@@ -350,7 +350,7 @@ FROM jobs_b j JOIN active a ON j.job_id = a.job_id AND a.rn = 1"""
 SELECT j.job_id, CAST(COALESCE(e.runs_used, 0) AS BIGINT) AS runs_used, e.eta_seconds, e.eta_text
 FROM jobs_b j LEFT JOIN eta_t e ON j.job_id = e.job_id
 WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.job_id = j.job_id)"""
-    q["failed_tasks"] = _with(TASKS) + "SELECT * FROM selected"
+    q["failed_tasks"] = _with(RUNS, TASKS) + "SELECT * FROM selected"
     # ---- request flows --------------------------------------------------------------
     req = (JOBS_B, WANTED_DERIVED, NARROW, RESOLVE, RUNS, ETA)
     q["run_requests"] = _with(*req) + """
@@ -393,7 +393,7 @@ SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name,
        CASE WHEN r.status <> 'RESOLVED' THEN r.status WHEN a.run_id IS NULL THEN 'NO_ACTIVE_RUN'
             ELSE 'CANCEL' END AS action
 FROM res r LEFT JOIN active a ON r.job_id = a.job_id AND a.rn = 1"""
-    q["task_errors"] = _with(TASKS, OUTPUTS) + """
+    q["task_errors"] = _with(RUNS, TASKS, OUTPUTS) + """
 SELECT s.run_id, s.task_key, s.task_run_id, s.reason, o.error, o.trace_tail, o.notebook_result,
        o.task_run_id IS NOT NULL AS output_found,
        CASE WHEN o.task_run_id IS NOT NULL AND o.error IS NULL AND o.trace_tail IS NULL
@@ -411,4 +411,6 @@ SELECT target, job_key,
                                  OR COALESCE(TRY_CAST(id_text AS DOUBLE) = 0, false))
             THEN id_text END AS job_id
 FROM ji"""
+    for name in ("gen_profile", "contract_schema"):  # library helpers, not registered
+        del q[name]
     return q

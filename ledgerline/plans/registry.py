@@ -59,13 +59,11 @@ def _generated(spark, base_dir):
     return synthetic_orders(spark, n)
 
 
-@register("gen_orders")
 def q_gen_orders(spark, base_dir):
     """One generated order per line item (the feed is as large as the fact table)."""
     return _generated(spark, base_dir)
 
 
-@register("gen_profile")
 def q_gen_profile(spark, base_dir):
     """Profile of the generated batch: size, unique ids, domain coverage, range checks."""
     g = _generated(spark, base_dir)
@@ -149,7 +147,6 @@ def q_stream_sales(spark, base_dir):
     return _ntz(spark.table(report), {"latest_order", "ingested_at"})
 
 
-@register("contract_schema")
 def q_contract_schema(spark, base_dir):
     return tables.describe_contract(spark, _publish(spark, base_dir))
 

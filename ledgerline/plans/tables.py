@@ -6,21 +6,24 @@ and an overwriting insert that fails half way leaves the table empty.  So a
 publish here
 
 1. checks the DataFrame's columns against the contract as a set,
-2. declares report and staging tables from the same contract,
+2. declares report and staging tables from the same contract, and refuses a report
+   table whose columns, types or order differ from it,
 3. overwrites the *staging* table by position after selecting the contract
    order -- every cast (and any DECIMAL overflow) happens in this step,
 4. checks the staged keys (non-null, unique) with one aggregate,
-5. overwrites the report from staging, where nothing is left to cast,
+5. overwrites the report from staging by name, where nothing is left to cast,
 6. returns the row count of the published table.
 
 A bad batch fails in 3 or 4 with the published rows untouched.  Step 5 is not
-atomic on plain parquet; staging still holds the batch, so it can be re-run.
+atomic on plain parquet; the publish is then run again.
 The staged table also cuts the lineage: step 5 reads files, not the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerline import schemas as S
 from ledgerline.session import work_dir
@@ -46,8 +49,6 @@ def ensure_schema(spark: SparkSession, schema: str, catalog: str | None = None,
 
 def scratch_schema(spark: SparkSession, prefix: str = "ledgerline") -> str:
     """A fresh schema located under the shared work folder."""
-    import uuid
-
     schema = f"{prefix}_{uuid.uuid4().hex[:12]}"
     ensure_schema(spark, schema, location=f"{work_dir(spark)}/{schema}.db")
     return schema
@@ -96,22 +97,38 @@ def publish(df: DataFrame, table: str, columns=S.SALES_COLUMNS, keys=S.SALES_KEY
     check_columns(df, columns)
     staging = _staging_name(table)
     declare_contract(spark, table, columns, comment)
+    check_table(spark, table, columns)
     declare_contract(spark, staging, columns, comment)
     names = [name for name, _, _ in columns]
-    df.select(*names).write.insertInto(staging, overwrite=True)
-    bad = key_violations(spark.table(staging), keys).first()
-    if bad["null_keys"] or bad["duplicate_keys"]:
-        raise ContractError(
-            f"staged batch has {bad['null_keys']} null and {bad['duplicate_keys']} duplicate keys")
-    spark.table(staging).select(*names).write.insertInto(table, overwrite=True)
+    try:
+        df.select(*names).write.insertInto(staging, overwrite=True)
+        bad = key_violations(spark.table(staging), keys).first()
+        if bad["null_keys"] or bad["duplicate_keys"]:
+            raise ContractError(
+                f"staged batch has {bad['null_keys']} null and {bad['duplicate_keys']} duplicate keys")
+        spark.sql(f"INSERT OVERWRITE {table} BY NAME SELECT {', '.join(names)} FROM {staging}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
     spark.catalog.refreshTable(table)
     return spark.table(table).count()
 
 
+def check_table(spark: SparkSession, table: str, columns=S.SALES_COLUMNS) -> None:
+    """An existing table must have the contract's columns, types and order."""
+    want = [(name, kind.lower()) for name, kind, _ in columns]
+    have = [(f.name, f.dataType.simpleString()) for f in spark.table(table).schema]
+    if [(n, _simple(k)) for n, k in want] != have:
+        raise ContractError(f"{table} differs from the contract: {have}")
+
+
+def _simple(kind: str) -> str:
+    return T.DataType.fromDDL(kind).simpleString()
+
+
 def _staging_name(table: str) -> str:
-    if table.endswith("`"):
-        return table[:-1] + "__staging`"
-    return table + "__staging"
+    """A name of its own for each publish, so that two publishes never share a staged batch."""
+    mark = f"__staging_{uuid.uuid4().hex[:12]}"
+    return table[:-1] + mark + "`" if table.endswith("`") else table + mark
 
 
 def published_count(spark: SparkSession, table: str) -> DataFrame:

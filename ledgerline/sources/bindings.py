@@ -5,7 +5,7 @@ These adapters give the operators realistic, scale-growing inputs:
 * B1 ``orders_raw``  <- lineitem, orders, customer, nation, region, part
 * B2 ``jobs``        <- part
 * B3 ``runs``        <- events (one run per event)
-* B4 ``run_tasks``   <- events (tasks grouped under runs = users)
+* B4 ``run_tasks``   <- events (four tasks under a run)
 * ``task_outputs``   <- documents (long texts as stack traces)
 * ``deploy_summaries`` <- events (JSON summaries incl. malformed ones)
 
@@ -36,11 +36,7 @@ MANAGED_MIN_SIZE = 25
 DEV_EVERY = 3
 WANTED_NAMES = ["cold", "small_widget", "nope", "large"]
 PRINCIPAL = "Brand#13"
-TASK_SAMPLE_MOD = 7
-TASK_SAMPLE_BELOW = 2
-# Largest order dimension (rows) that is broadcast; beyond it the join shuffles.
-# ~60 bytes a row, so the bound keeps the broadcast well under 100 MB.
-ORDER_DIM_BROADCAST_ROWS = 1_000_000
+TASKS_PER_RUN = 4
 
 
 def _map_value(col: Column, mapping: dict) -> Column:
@@ -56,11 +52,8 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
 
     Join order: the order dimension (orders -> customer -> nation -> region) is
     built first, so at scale the line items are shuffled once by order key and
-    once by part key, never by customer key.  The dimension has one row per
-    order; it is broadcast only when the orders table is proven small (a row
-    count against ``ORDER_DIM_BROADCAST_ROWS``), otherwise the join shuffles.
-    Without the check the static planner, which sizes a join as the product of
-    its inputs, would broadcast the *fact* side on small inputs.
+    once by part key, never by customer key.  There are no hints: the planner and
+    AQE broadcast a side only by its file statistics or its size at run time.
     """
     li = read_table(spark, base_dir, "lineitem")
     o = read_table(spark, base_dir, "orders")
@@ -75,8 +68,6 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
         .select(o.o_orderkey, geo.r_name, c.c_mktsegment,
                 _map_value(o.o_orderstatus, ORDER_STATUS_BY_CODE).alias("status"), o.o_orderdate)
     )
-    if o.count() <= ORDER_DIM_BROADCAST_ROWS:
-        order_dim = F.broadcast(order_dim)
     return (
         li.join(order_dim, li.l_orderkey == order_dim.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
@@ -183,11 +174,10 @@ def runs(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def run_tasks(spark: SparkSession, base_dir: str) -> DataFrame:
-    """B4: tasks = events with ``event_id % 7 < 2``, grouped under run = user."""
+    """B4: every event is a task; four neighbouring ids belong to the run of the first."""
     e = read_table(spark, base_dir, "events")
-    e = e.filter(F.pmod(e.event_id, F.lit(TASK_SAMPLE_MOD)) < TASK_SAMPLE_BELOW)
     return e.select(
-        e.user_id.alias("run_id"),
+        (e.event_id - F.pmod(e.event_id, F.lit(TASKS_PER_RUN))).alias("run_id"),
         F.concat(F.lit("task-"), e.event_id.cast("string")).alias("task_key"),
         e.event_id.alias("task_run_id"),
         F.when(e.event_type == F.lit("view"), F.lit(None).cast("string"))
@@ -199,9 +189,10 @@ def run_tasks(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def failed_parent_runs(spark: SparkSession, base_dir: str) -> DataFrame:
-    """B4 parent runs: every user is one failed run (tasks may be absent)."""
-    e = read_table(spark, base_dir, "events")
-    return e.select(e.user_id.alias("run_id")).distinct()
+    """B4 parent runs: the failed runs of B3; those that aren't the first of four have no tasks."""
+    from ledgerline.operators.runs import classify_runs
+
+    return classify_runs(runs(spark, base_dir)).filter("is_failed").select("run_id")
 
 
 def task_outputs(spark: SparkSession, base_dir: str) -> DataFrame:
