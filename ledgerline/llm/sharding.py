@@ -42,7 +42,7 @@ def _propagate(spark: SparkSession, pieces: DataFrame, quotas: list[int], scratc
             "homes": F.collect_list("shard").over(group.orderBy(F.desc("n"), "shard").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         }).withColumn("needs", F.ceil(F.col("total") / smallest).cast("int"))
         moving = ranked.filter("place > needs").withColumn(
-            "to", F.element_at("homes", ((F.col("place") - 1) % F.col("needs") + 1).cast("int"))
+            "to", F.element_at("homes", (F.col("needs") - (F.col("place") - 1) % F.col("needs")).cast("int"))  # the emptiest home first
         ).withColumn("bucket", F.pmod(F.xxhash64("g", "shard"), F.lit(buckets)).cast("int"))
         # Each bucket has its part of the shard's quota; the parts add up to it.
         part = F.floor((F.element_at(room, F.col("to") + 1) + F.col("bucket")) / buckets)
