@@ -31,52 +31,69 @@ PROJECTIONS, NEEDED, GROWTH = 64, 0.60, 1.25
 WIDTH = 1.10
 #: Vectors in a block, queries in a group.
 BLOCK, QUERIES = 8192, 2048
+#: Queries whose windows grow in step, and vectors of a block that set a query's first radius.
+TOGETHER, SAMPLE = 64, 256
 
 
 def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, ids, distances) of the k nearest that the collision counts find in a block."""
     n, d = data.shape
     axes = np.random.default_rng(seed).standard_normal((d, PROJECTIONS))
-    values = data @ axes
-    order = np.argsort(values, axis=0, kind="stable")
-    arrays = np.take_along_axis(values, order, axis=0)
-    centres = queries @ axes
+    values = np.ascontiguousarray((data @ axes).T)
+    order = np.argsort(values, axis=1, kind="stable")
+    arrays = np.take_along_axis(values, order, axis=1)
+    centres = np.ascontiguousarray((queries @ axes).T)
     needed = int(np.ceil(NEEDED * PROJECTIONS))
-    # A first radius from the data itself: windows that hold about 2k vectors of each array.
-    spread = np.maximum(arrays[-1] - arrays[0], 1e-12)
-    start = float(np.median(spread)) * max(k, 8) / max(n, 1) / WIDTH
-    for q in range(len(queries)):
-        counts = np.zeros(n, np.int32)
-        at_low = np.array([np.searchsorted(arrays[:, p], centres[q, p]) for p in range(PROJECTIONS)])
-        at_high = at_low.copy()
-        tested = ids == query_ids[q]
-        best_d, best_i = np.empty(0), np.empty(0, np.int64)
-        radius = start
-        while True:
-            met = []
-            for p in range(PROJECTIONS):
-                low = int(np.searchsorted(arrays[:, p], centres[q, p] - WIDTH * radius, side="left"))
-                high = int(np.searchsorted(arrays[:, p], centres[q, p] + WIDTH * radius, side="right"))
-                low, high = min(low, at_low[p]), max(high, at_high[p])
-                met.append(order[low : at_low[p], p])
-                met.append(order[at_high[p] : high, p])
-                at_low[p], at_high[p] = low, high
-            counts += np.bincount(np.concatenate(met), minlength=n).astype(np.int32)
-            new = np.flatnonzero((counts >= needed) & ~tested)
-            if len(new):
-                tested[new] = True
-                gap = data[new] - queries[q]
-                dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                best_d, best_i = np.concatenate([best_d, dist]), np.concatenate([best_i, ids[new]])
-                keep = np.lexsort((best_i, best_d))[:k]
-                best_d, best_i = best_d[keep], best_i[keep]
-            if (len(best_d) >= k and best_d[-1] <= radius) or tested.all():
-                break
-            if all(at_low == 0) and all(at_high == n):  # every array is open: nothing is left to meet
-                counts[:] = needed
-                continue
-            radius *= GROWTH
-        yield q, best_i, best_d
+    start = first_radii(data, queries, k, seed)
+    for first in range(0, len(queries), TOGETHER):
+        rows = np.arange(first, min(first + TOGETHER, len(queries)))
+        radius = start[rows]
+        low = np.stack([np.searchsorted(a, c) for a, c in zip(arrays, centres[:, rows])])
+        high = low.copy()
+        counts = np.zeros((len(rows), n), np.int32)
+        tested = ids[None, :] == query_ids[rows][:, None]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(rows)
+        active = np.arange(len(rows))
+        while len(active):
+            reach, at = WIDTH * radius[active], centres[:, rows[active]]
+            lower = np.stack([np.searchsorted(a, c - reach, side="left") for a, c in zip(arrays, at)])
+            upper = np.stack([np.searchsorted(a, c + reach, side="right") for a, c in zip(arrays, at)])
+            lower, upper = np.minimum(lower, low[:, active]), np.maximum(upper, high[:, active])
+            going = []
+            for column, q in enumerate(active):
+                old_low, old_high = low[:, q].tolist(), high[:, q].tolist()
+                new_low, new_high = lower[:, column].tolist(), upper[:, column].tolist()
+                met = [o[x:y] for o, x, y in zip(order, new_low, old_low)] + [o[x:y] for o, x, y in zip(order, old_high, new_high)]
+                counts[q] += np.bincount(np.concatenate(met), minlength=n).astype(np.int32)
+                new = np.flatnonzero((counts[q] >= needed) & ~tested[q])
+                if len(new):
+                    tested[q, new] = True
+                    gap = data[new] - queries[rows[q]]
+                    dist = np.concatenate([best[q][0], np.sqrt(np.einsum("ij,ij->i", gap, gap))])
+                    found = np.concatenate([best[q][1], ids[new]])
+                    keep = np.lexsort((found, dist))[:k]
+                    best[q] = dist[keep], found[keep]
+                full = len(best[q][0]) >= k and best[q][0][-1] <= radius[q]
+                # With every array open, every vector has met the query in all of them.
+                if not full and not tested[q].all():
+                    going.append(q)
+            low[:, active], high[:, active] = lower, upper
+            active = np.array(going, np.int64)
+            radius[active] *= GROWTH
+        for q, (dist, found) in enumerate(best):
+            yield int(rows[q]), found, dist
+
+
+def first_radii(data: np.ndarray, queries: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Each query's first radius: half its smallest positive distance to SAMPLE of the block's vectors.
+
+    Only where the windows start depends on it: they grow until the stopping rule holds.
+    """
+    n = len(data)
+    picked = data[np.random.default_rng([seed, 1]).choice(n, min(n, SAMPLE), replace=False)]
+    squares = (queries**2).sum(axis=1)[:, None] + (picked**2).sum(axis=1) - 2 * queries @ picked.T
+    least = np.finfo(np.float64).eps * 64 * np.maximum((queries**2).sum(axis=1)[:, None], (picked**2).sum(axis=1))
+    return 0.5 * np.sqrt(np.where(squares > least, squares, least + np.finfo(np.float64).tiny).min(axis=1))
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
