@@ -18,9 +18,12 @@ The boundary ``x`` is chosen by cost: from the counts of sets by size, keys plus
 for each possible boundary (multiples of 100 / (100 - percent), where the subsets' sizes change).
 
 Work is done on classes of equal sets, so copies never multiply.  Every list names its smallest
-member; candidates are first checked against that one, the classes found linked are joined to
-components, and only pairs of a list that lie in different components are checked after that.
-Components are whole: a pair left out joins two sets that are linked already.
+member and its hub, the member that meets most others in all its lists; candidates are first
+checked against these, the classes found linked are joined to components, and only pairs of a
+list that lie in different components are checked after that.  Of those, a pair leaves the join
+only if the odd sketches of its sets (parities of their elements in SKETCH cells) differ in no
+more cells than a linked pair has different elements: each of them flips one cell, so no linked
+pair is lost.  Components are whole: a pair left out joins two sets that are linked already.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ from ledgerline.llm.words import mix, shingles, text_chunks, word_hashes
 _U = np.uint64
 #: Boundaries that are compared, in units of 100 / (100 - percent) shingles.
 BOUNDARIES = (1, 2, 3)
+#: Cells of a set's odd sketch, in 64-bit words.
+SKETCH = 256
+WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,14 +69,22 @@ def _class_of(values: np.ndarray) -> int:
     return int(mix(np.array([(total + len(values)) & (2**64 - 1)], dtype=np.uint64))[0] >> _U(1))
 
 
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements in SKETCH cells, as 64-bit words."""
+    cell = (mix(values ^ _U(0xD6E8FEB86659FD93)) % _U(SKETCH)).astype(np.int64)
+    odd = np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        words = np.zeros((batch.num_rows, len(WORDS)), np.int64)
         for row, values in _rows(batch, width):
-            n[row], cls[row] = len(values), _class_of(values)
+            n[row], cls[row], words[row] = len(values), _class_of(values), _sketch(values)
         rest = [batch.column(c) for c in batch.schema.names if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(cls)], names=[*names, "n_shingles", "cls"])
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(cls), *map(pa.array, words.T)], names=[*names, "n_shingles", "cls", *WORDS])
 
 
 def allowed(n: int, percent: int) -> int:
@@ -214,8 +228,9 @@ def link_documents(
     scratch = scratch or Scratch(spark, "ngram-join")
     base = docs.select("doc_id", "text")
     keyed = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    words = ", ".join(f"{w} long" for w in WORDS)
     sizes = scratch.save(
-        keyed.mapInArrow(partial(_sizes, width=width), "doc_id long, text_key long, n_shingles long, cls long"), "sizes"
+        keyed.mapInArrow(partial(_sizes, width=width), f"doc_id long, text_key long, n_shingles long, cls long, {words}"), "sizes"
     )
     boundary = choose_boundary(sizes, percent)
     posted = base.select("text").mapInArrow(
@@ -223,7 +238,7 @@ def link_documents(
     )
     of_list = W.partitionBy("sig")
     lists = scratch.save(
-        posted.withColumns({"rep": F.min("cls").over(of_list), "top": F.max("cls").over(of_list)})
+        posted.withColumns({"rep": F.min("cls").over(of_list), "top": F.max("cls").over(of_list), "held": F.count("cls").over(of_list)})
         .filter("rep <> top").drop("top"),
         "lists",
     )
@@ -231,7 +246,7 @@ def link_documents(
 
     members = sizes.join(lists.select("cls").distinct(), "cls", "left_semi")
     none = F.lit(-(2**63))
-    chosen = scratch.save(members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), none).alias("doc_id")), "chosen")
+    chosen = scratch.save(members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), none).alias("doc_id"), *[F.max(w).alias(w) for w in WORDS]), "chosen")
     own = F.coalesce(F.col("doc_id").cast("long"), none)
     near = with_maybe(base, own, key_filter(chosen, "doc_id"), "_maybe").filter("_maybe").select("text")
     known = scratch.save(
@@ -249,7 +264,13 @@ def link_documents(
         return scratch.save(full.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked")), name)
 
     first = lists.filter("cls <> rep").groupBy(F.col("cls").alias("b")).agg(F.min("rep").alias("a"))
-    done = verified(first.select("a", "b"), "checked-0")
+    weights = scratch.save(lists.groupBy("cls").agg(F.sum("held").alias("weight")), "weights")
+    heaviest = F.max(F.struct("weight", "cls"))["cls"].alias("hub")
+    hubs = scratch.save(lists.join(weights, "cls").groupBy("sig").agg(heaviest), "hubs")
+    shared = lists.join(hubs, "sig").filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("lists"))
+    best = shared.groupBy("cls").agg(F.max(F.struct("lists", "hub"))["hub"].alias("hub"))
+    to_hub = best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+    done = verified(first.select("a", "b").unionByName(to_hub).distinct(), "checked-0")
     edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(spark, edges, scratch)
 
@@ -259,10 +280,16 @@ def link_documents(
     main = parts.groupBy("sig").agg(
         F.max(F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     ).filter("roots > 1").select("sig", F.col("main.root").alias("main"))
-    mixed = scratch.save(placed.join(main, "sig").select("sig", "cls", "n", "root", "main"), "mixed")
-    minor = mixed.filter("root <> main").select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "n", "root", "main"), "open")
+    mixed = scratch.save(open_lists.join(chosen.select("cls", *WORDS), "cls"), "mixed")
+    minor = mixed.filter("root <> main").select(
+        "sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(w).alias(f"x_{w}") for w in WORDS]
+    )
+    # A linked pair has at most (n + nx) * (100 - percent) / (100 + percent) different elements.
+    apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
+    near_enough = f"({apart}) * {100 + percent} <= (n + nx) * {100 - percent}"
     pairs = (
-        minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+        minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {near_enough}")
         .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
         .join(done.select("a", "b"), ["a", "b"], "left_anti")
     )
@@ -275,7 +302,7 @@ def link_documents(
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(rooted.join(named, "root").select("cls", "component_id"), "lookup")
-    for name in ("lists", "sets", "mixed", "chosen"):
+    for name in ("lists", "sets", "open", "mixed", "chosen", "weights", "hubs"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(
