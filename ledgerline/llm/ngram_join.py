@@ -246,7 +246,7 @@ def link_documents(
 
     members = sizes.join(lists.select("cls").distinct(), "cls", "left_semi")
     none = F.lit(-(2**63))
-    chosen = scratch.save(members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), none).alias("doc_id"), *[F.max(w).alias(w) for w in WORDS]), "chosen")
+    chosen = scratch.save(members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), none).alias("doc_id"), F.max("n_shingles").alias("n"), *[F.max(w).alias(w) for w in WORDS]), "chosen")
     own = F.coalesce(F.col("doc_id").cast("long"), none)
     near = with_maybe(base, own, key_filter(chosen, "doc_id"), "_maybe").filter("_maybe").select("text")
     known = scratch.save(
@@ -255,6 +255,12 @@ def link_documents(
         "sets",
     )
 
+    # A linked pair has at most (n + nx) * (100 - percent) / (100 + percent) different elements.
+    apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
+    near_enough = f"({apart}) * {100 + percent} <= (n + nx) * {100 - percent}"
+    marks = chosen.select("cls", "n", *WORDS)
+    x_marks = marks.select(F.col("cls").alias("x"), F.col("n").alias("nx"), *[F.col(w).alias(f"x_{w}") for w in WORDS])
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = known.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
         b = known.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
@@ -270,7 +276,14 @@ def link_documents(
     shared = lists.join(hubs, "sig").filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("lists"))
     best = shared.groupBy("cls").agg(F.max(F.struct("lists", "hub"))["hub"].alias("hub"))
     to_hub = best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-    done = verified(first.select("a", "b").unionByName(to_hub).distinct(), "checked-0")
+    asked = scratch.save(first.select("a", "b").unionByName(to_hub).distinct(), "asked")
+    close = asked.join(marks.withColumnRenamed("cls", "a"), "a").join(x_marks.withColumnRenamed("x", "b"), "b").filter(near_enough)
+    close = scratch.save(close.select("a", "b"), "close")
+    scratch.drop("weights")
+    scratch.drop("hubs")
+    scratch.release()
+    done = verified(close, "checked-0")
+    scratch.release()
     edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(spark, edges, scratch)
 
@@ -281,19 +294,24 @@ def link_documents(
         F.max(F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     ).filter("roots > 1").select("sig", F.col("main.root").alias("main"))
     open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "n", "root", "main"), "open")
-    mixed = scratch.save(open_lists.join(chosen.select("cls", *WORDS), "cls"), "mixed")
+    scratch.drop("lists")
+    scratch.release()
+    mixed = scratch.save(open_lists.join(marks.drop("n"), "cls"), "mixed")
+    scratch.drop("open")
+    scratch.release()
     minor = mixed.filter("root <> main").select(
         "sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(w).alias(f"x_{w}") for w in WORDS]
     )
-    # A linked pair has at most (n + nx) * (100 - percent) / (100 + percent) different elements.
-    apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
-    near_enough = f"({apart}) * {100 + percent} <= (n + nx) * {100 - percent}"
     pairs = (
         minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {near_enough}")
         .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
         .join(done.select("a", "b"), ["a", "b"], "left_anti")
     )
+    pairs = scratch.save(pairs, "pairs")
+    scratch.drop("mixed")
+    scratch.release()
     more = verified(pairs, "checked-1")
+    scratch.release()
     again = edges.unionByName(more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(spark, again, scratch)
 
@@ -302,7 +320,7 @@ def link_documents(
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(rooted.join(named, "root").select("cls", "component_id"), "lookup")
-    for name in ("lists", "sets", "open", "mixed", "chosen", "weights", "hubs"):
+    for name in ("sets", "chosen", "asked", "close", "pairs"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(
