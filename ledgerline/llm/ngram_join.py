@@ -23,7 +23,9 @@ checked against these, the classes found linked are joined to components, and on
 list that lie in different components are checked after that.  Of those, a pair leaves the join
 only if the odd sketches of its sets (parities of their elements in SKETCH cells) differ in no
 more cells than a linked pair has different elements: each of them flips one cell, so no linked
-pair is lost.  Components are whole: a pair left out joins two sets that are linked already.
+pair is lost.  In large sets most of these cells are even odds, so the pairs left are held against
+sketches of WIDE cells, by the same bound, before any whole set is sent for a pair.
+Components are whole: a pair left out joins two sets that are linked already.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ _U = np.uint64
 #: Boundaries that are compared, in units of 100 / (100 - percent) shingles.
 BOUNDARIES = (1, 2, 3)
 #: Cells of a set's odd sketch, in 64-bit words.
-SKETCH = 256
+SKETCH = 1024
+#: Cells of the sketch that pairs are held against before their sets are fetched (1 KB a set).
+WIDE = 8192
 WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
@@ -69,10 +73,10 @@ def _class_of(values: np.ndarray) -> int:
     return int(mix(np.array([(total + len(values)) & (2**64 - 1)], dtype=np.uint64))[0] >> _U(1))
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
-    """Parities of a set's elements in SKETCH cells, as 64-bit words."""
-    cell = (mix(values ^ _U(0xD6E8FEB86659FD93)) % _U(SKETCH)).astype(np.int64)
-    odd = np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1
+def _sketch(values: np.ndarray, wide: int = SKETCH) -> np.ndarray:
+    """Parities of a set's elements in so many cells, as 64-bit words."""
+    cell = (mix(values ^ _U(0xD6E8FEB86659FD93)) % _U(wide)).astype(np.int64)
+    odd = np.bincount(cell, minlength=wide).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
@@ -174,22 +178,26 @@ def _key_batch(sig: list, cls: list, size: list) -> pa.RecordBatch:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cls, sets, held = [], [], 0
+        cls, sets, wide, held = [], [], [], 0
         for _, values in _rows(batch, width):
             if len(values):
                 cls.append(_class_of(values))
                 sets.append(values.view(np.int64))
-                held += len(values)
+                wide.append(_sketch(values, WIDE))
+                held += len(values) + WIDE // 64
             if held > 1 << 18:
-                yield _set_batch(cls, sets)
-                cls, sets, held = [], [], 0
+                yield _set_batch(cls, sets, wide)
+                cls, sets, wide, held = [], [], [], 0
         if cls:
-            yield _set_batch(cls, sets)
+            yield _set_batch(cls, sets, wide)
 
 
-def _set_batch(cls: list, sets: list) -> pa.RecordBatch:
+def _set_batch(cls: list, sets: list, wide: list) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    size = [len(x) for x in sets]
     return pa.RecordBatch.from_arrays(
-        [pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"]
+        [pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sets, longs), pa.array(wide, longs)],
+        names=["cls", "n", "members", "wide"],
     )
 
 
@@ -250,18 +258,24 @@ def link_documents(
     own = F.coalesce(F.col("doc_id").cast("long"), none)
     near = with_maybe(base, own, key_filter(chosen, "doc_id"), "_maybe").filter("_maybe").select("text")
     known = scratch.save(
-        near.mapInArrow(partial(_sets, width=width), "cls long, members array<long>")
-        .groupBy("cls").agg(F.first("members").alias("members")),
+        near.mapInArrow(partial(_sets, width=width), "cls long, n long, members array<long>, wide array<long>")
+        .groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "members", "wide")]),
         "sets",
     )
 
     # A linked pair has at most (n + nx) * (100 - percent) / (100 + percent) different elements.
     apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
-    near_enough = f"({apart}) * {100 + percent} <= (n + nx) * {100 - percent}"
+    bound = f"* {100 + percent} <= (n + nx) * {100 - percent}"
+    near_enough = f"({apart}) {bound}"
+    still_near = f"aggregate(zip_with(wide, x_wide, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k) {bound}"
     marks = chosen.select("cls", "n", *WORDS)
     x_marks = marks.select(F.col("cls").alias("x"), F.col("n").alias("nx"), *[F.col(w).alias(f"x_{w}") for w in WORDS])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        wide_a = known.select(F.col("cls").alias("a"), "n", "wide")
+        wide_b = known.select(F.col("cls").alias("b"), F.col("n").alias("nx"), F.col("wide").alias("x_wide"))
+        pairs = scratch.save(pairs.join(wide_a, "a").join(wide_b, "b").filter(still_near).select("a", "b"), f"near-{name}")
+        scratch.release()
         a = known.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
         b = known.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b"))
@@ -305,7 +319,7 @@ def link_documents(
     pairs = (
         minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {near_enough}")
         .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-        .join(done.select("a", "b"), ["a", "b"], "left_anti")
+        .join(close, ["a", "b"], "left_anti")
     )
     pairs = scratch.save(pairs, "pairs")
     scratch.drop("mixed")
