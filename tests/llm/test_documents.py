@@ -121,6 +121,20 @@ def test_ngram_join_on_small_sets_and_every_boundary(spark, boundary, monkeypatc
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, sizes[k], smallest[root[k]]) for k in range(len(texts))]
 
 
+@pytest.mark.parametrize("wide", [ngram_join.SKETCH, ngram_join.WIDE])
+def test_sketches_never_differ_more_than_the_sets(wide):
+    rng = np.random.default_rng(wide)
+    for size in (1, 20, 700, 9000):
+        one = rng.integers(0, 2**63, size).astype(np.uint64)
+        for share in (0.0, 0.1, 0.6, 1.0):
+            cut = int(size * share)
+            other = np.concatenate((one[cut:], rng.integers(0, 2**63, cut // 2).astype(np.uint64)))
+            a, b = ngram_join._sketch(np.sort(one), wide), ngram_join._sketch(np.sort(other), wide)
+            assert len(a) == wide // 64
+            flipped = int(np.unpackbits((a ^ b).view(np.uint8)).sum())
+            assert flipped <= len(np.setxor1d(one, other))
+
+
 def test_keep_first_keeps_one_of_each_group(spark, clashing, rows, empty):
     kept = ngram_join.keep_first(spark, clashing)
     assert kept.columns == clashing.columns
