@@ -225,13 +225,15 @@ def choose_boundary(sizes: DataFrame, percent: int) -> int:
 def link_documents(
     spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80, scratch: Scratch | None = None
 ) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, text_key, cls, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_key, cls, n_shingles, component_id, root.
 
     ``component_id`` is the smallest doc_id reachable by links, its own included.  Null text is
     empty; a text without words has n_shingles 0 and links with nothing.  Repeated rows are
     documents like any other and link with each other.  A null doc_id never names a component
     unless all of its doc_ids are null.  Other columns are ignored.  ``text_key`` (xxhash64 of
-    the text) tells rows that share a doc_id apart.
+    the text) tells rows that share a doc_id apart.  ``root`` (the smallest class of the component)
+    tells components apart that share a component_id: those without an id, and unlinked texts
+    under one doc_id.
     """
     scratch = scratch or Scratch(spark, "ngram-join")
     base = docs.select("doc_id", "text")
@@ -333,32 +335,32 @@ def link_documents(
     rooted = by_class.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = scratch.save(rooted.join(named, "root").select("cls", "component_id"), "lookup")
+    lookup = scratch.save(rooted.join(named, "root").select("cls", "root", "component_id"), "lookup")
     for name in ("sets", "chosen", "asked", "close", "pairs"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(
         "doc_id", "text_key", "cls", "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root",
     )
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near duplicates: of each component the row of the smallest doc_id stays.
 
-    Rows without words all stay.  Of rows with the same doc_id and text, one stays.  A component
-    whose doc_ids are all null keeps one row of each text.
+    Nulls come last, and of texts that share the smallest doc_id the one of the smallest text_key
+    stays.  Of equal rows one stays.  Rows without words all stay.
     """
     scratch = Scratch(spark, "ngram-keep")
     linked = link_documents(spark, docs, width=width, percent=percent, scratch=scratch)
     doubled = linked.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(
-        F.min("component_id").alias("component_id"), F.min("cls").alias("cls"), F.count(F.lit(1)).alias("rows")
+        F.min("root").alias("root"), F.count(F.lit(1)).alias("rows")
     )
-    # Texts that share the smallest doc_id: the smallest text key stands for the component.
-    hold = doubled.filter("component_id <=> doc_id").groupBy("component_id").agg(F.min("text_key").alias("hold"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("hold")
+    hold = doubled.groupBy("root").agg(least)
     gone = scratch.save(
-        doubled.join(hold.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left")
-        .withColumn("keeps", F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("hold")))
+        doubled.join(hold, "root")
+        .withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("hold.doc_id")) & (F.col("text_key") == F.col("hold.text_key")))
         .filter("not keeps or rows > 1").select("doc_id", "text_key", "keeps"),
         "gone",
     )

@@ -150,6 +150,23 @@ def test_keep_first_keeps_one_of_each_group(spark, clashing, rows, empty):
     assert ngram_join.keep_first(spark, empty).count() == 0
 
 
+def test_keep_first_keeps_unrelated_groups_of_null_and_shared_ids(spark):
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))
+    rows = [(None, text()) for _ in range(12)] + [(7, text()) for _ in range(3)]
+    rows += [(None, rows[0][1] + " end"), (None, rows[0][1]), (None, rows[12][1] + " end"), (9, rows[13][1] + " end"), (5, rows[14][1] + " end")]
+    rows += [(None, ""), (None, " "), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_first(spark, df).collect())
+    sizes, root = brute.jaccard_groups([r[1] for r in rows], 5, 80)
+    for g, members in brute.grouped((root[k], k) for k in range(len(rows))).items():
+        alive = {rows[k] for k in members}
+        if sizes[members[0]]:
+            first = min((rows[k][0] for k in members if rows[k][0] is not None), default=None)
+            assert sum(got[a] for a in alive) == 1 and sum(got[a] for a in alive if a[0] == first) == 1
+    assert got.total() == 12 + 3 + 3
+
+
 # Sharding
 
 
