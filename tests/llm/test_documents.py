@@ -336,6 +336,21 @@ def test_language_id_learns_and_rejects(spark, docs, rows, clashing, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_id_tells_short_texts_and_keeps_clean_ones(spark, sf01):
+    import corpus_pipeline
+
+    docs = spark.read.schema("doc_id long, text string, lang string").parquet(f"{sf01}/documents.parquet").filter("text not like '%!!%'").cache()
+    truth = {r.doc_id: (r.lang, len((r.text or "").split())) for r in docs.collect()}
+    got = [(r, *truth[r.doc_id]) for r in langid.predict_languages(docs).collect() if r.held_out]
+    short = [r.lang_pred == lang for r, lang, n in got if 21 <= n <= 100]
+    longer = [r.lang_pred == lang for r, lang, n in got if n > 100]
+    assert len(short) > 20 and np.mean(short) >= 0.95
+    assert len(longer) > 150 and np.mean(longer) >= 0.98
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").select("doc_id").collect()}
+    clean = [d for d, (_, n) in truth.items() if n > 20]
+    assert sum(d not in kept for d in clean) <= len(clean) * 0.002
+
+
 # Mixing
 
 
