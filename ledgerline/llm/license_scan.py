@@ -9,7 +9,8 @@ CONTAINED * m / (m + s - 1 + (1 - CONTAINED) * m) for m shingles; there are as m
 MinHash value as give such a window a collision with probability GUARANTEE.  A window that
 collides is verified: the share of the template's shingles that it holds.
 
-Nothing moves between tasks: templates are a small checked table that goes with the function.
+Only rows that hold enough of a template's shingles anywhere are looked at in windows, which
+loses none: a window's shingles are the row's.  Nothing moves between tasks: templates are a small checked table that goes with the function.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from math import ceil, log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,14 @@ NOTICES = (
     ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 
+#: Whole licence texts and file headers, named by SPDX identifier (with -header).
+LICENSES = Path(__file__).parent / "licenses"
+
+
+def licences() -> list[tuple[str, str]]:
+    """The default templates: NOTICES and the texts of LICENSES."""
+    return [*NOTICES, *((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(LICENSES.glob("*.txt")))]
+
 
 @dataclass
 class Family:
@@ -126,35 +136,54 @@ def _matches(made: np.ndarray, f: Family) -> Iterator[tuple[int, int, float]]:
             yield start, k, share
 
 
+def _held(made: np.ndarray, starts: np.ndarray, group: list[Family]) -> list[np.ndarray]:
+    """For each family, the rows that hold at least the share CONTAINED of one of its templates."""
+    known = np.unique(np.concatenate([m for f in group for m in f.members]))
+    at = np.minimum(np.searchsorted(known, made), len(known) - 1)
+    hit = np.flatnonzero(known[at] == made)
+    owner = np.searchsorted(starts, hit, side="right") - 1
+    # (row, shingle) once each: a template needs so many different ones.
+    pairs = np.unique(owner * len(known) + at[hit])
+    owner, which = np.divmod(pairs, len(known))
+    out = []
+    for f in group:
+        rows: set[int] = set()
+        for m in f.members:
+            mine = np.zeros(len(known), bool)
+            mine[np.searchsorted(known, m)] = True
+            found, count = np.unique(owner[mine[which]], return_counts=True)
+            rows.update(found[count >= ceil(CONTAINED * len(m) - 1e-9)].tolist())
+        out.append(np.array(sorted(rows), np.int64))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    found = families(templates)
+    by_width: dict[int, list[Family]] = {}
+    for f in families(templates):
+        by_width.setdefault(f.width, []).append(f)
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
         for first, raw, offsets in text_chunks(batch.column("text")):
             hashes, firsts = word_hashes(raw, offsets, MARKS)
-            for f in found:
-                counts = np.diff(firsts)
-                if not (counts >= f.width).any():
-                    continue
-                made, starts = shingles(hashes, firsts, f.width)
-                # One pass over all rows' shingles tells which rows can match at all.
-                hit = np.flatnonzero(np.isin(made, np.concatenate(f.members)))
-                if not len(hit):
+            counts = np.diff(firsts)
+            for width, group in by_width.items():
+                if not (counts >= width).any():
                     continue
-                owner = np.searchsorted(starts, hit, side="right") - 1
-                for row in np.unique(owner):
-                    if counts[row] < f.width:
-                        continue
-                    best: dict[int, list] = {}
-                    for start, k, share in _matches(made[starts[row] : starts[row + 1]], f):
-                        best.setdefault(k, []).append((start, share))
-                    for k, windows in best.items():
-                        spans, at = 0, -f.words
-                        for start, _ in windows:
-                            if start - at >= f.words:
-                                spans, at = spans + 1, start
-                        for column, value in zip(out, (first + row, f.ids[k], spans, max(s for _, s in windows), windows[0][0])):
-                            column.append(value)
+                made, starts = shingles(hashes, firsts, width)
+                for f, rows in zip(group, _held(made, starts, group)):
+                    for row in rows:
+                        if counts[row] < width:
+                            continue
+                        best: dict[int, list] = {}
+                        for start, k, share in _matches(made[starts[row] : starts[row + 1]], f):
+                            best.setdefault(k, []).append((start, share))
+                        for k, windows in best.items():
+                            spans, at = 0, -f.words
+                            for start, _ in windows:
+                                if start - at >= f.words:
+                                    spans, at = spans + 1, start
+                            for column, value in zip(out, (first + row, f.ids[k], spans, max(s for _, s in windows), windows[0][0])):
+                                column.append(value)
         take = pa.array(out[0], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(take), batch.column("_rest").take(take), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int64())],
@@ -165,13 +194,13 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]]) -
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text) and template it holds: doc_id, _rest, template_id, n_spans, containment, first_word.
 
-    ``templates`` has (template_id, text), by default NOTICES; MAX_TEMPLATES and MAX_WORDS bound
+    ``templates`` has (template_id, text), by default ``licences()``; MAX_TEMPLATES and MAX_WORDS bound
     it, more is an error.  ``containment`` is the best window's share of the template's shingles,
     ``first_word`` where the first such window starts, ``n_spans`` counts places that lie apart.
     Null and empty texts and templates match nothing.  Repeated rows have rows of their own;
     ``_rest`` holds the table's other columns.
     """
-    rows = list(NOTICES)
+    rows = licences()
     if templates is not None:
         got = templates.select(F.col("template_id").cast("string"), "text").filter("text is not null").limit(MAX_TEMPLATES + 1).collect()
         rows = sorted((r[0] or "", r[1]) for r in got)

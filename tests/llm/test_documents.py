@@ -433,3 +433,13 @@ def test_license_scan_finds_planted_notices(spark, rows, docs, clashing, empty):
     assert license_scan.scan_licenses(spark, clashing).count() >= 0
     own = spark.createDataFrame([("t", rows[2][1]), ("none", None), ("blank", "  ")], "template_id string, text string")
     assert (rows[2][0], "t") in {(r.doc_id, r.template_id) for r in license_scan.scan_licenses(spark, docs, own).collect()}
+
+
+def test_license_scan_finds_whole_licences_without_the_notices(spark):
+    whole = dict(license_scan.licences())
+    names = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0", "MPL-2.0-header")
+    body = {n: " ".join(whole[n].split()[0 if n.endswith("header") else 10 :]) for n in names}
+    rows = [(k, f"some words before {body[n]} and some after") for k, n in enumerate(names)] + [(99, body["MIT"][:300])]
+    got = {(r.doc_id, r.template_id) for r in license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, n) for k, n in enumerate(names)} <= got
+    assert not {d for d, n in got if d == 99 and n == "MIT"}
