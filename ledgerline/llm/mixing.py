@@ -186,7 +186,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, *, seed: int = 42) ->
     """The rows that the mix takes, with the columns of ``docs``.
 
     A document taken whole n times has n rows; one taken in part has one more, whose text is the
-    first words taken, joined by single spaces.  Documents without words stay as they are, once.
+    original text up to the end of the last word taken.  Documents without words stay as they
+    are, once.
     """
     scratch = Scratch(spark, "mixed")
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
@@ -203,7 +204,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, *, seed: int = 42) ->
     )
     decided = plan.withColumn("take", F.explode(takes)).select("doc_key", "take")
     joined = keyed.join(decided, F.col("_doc_key") == F.col("doc_key"))
-    pieces = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    first = F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), " ")
+    # Each word with the white space before it.
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")
     shaped = joined.withColumn("text", F.when(F.col("take") > 0, first).otherwise(F.col("text")))
     return unpack(shaped, docs.columns, ["doc_id", "text", "source"])

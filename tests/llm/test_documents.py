@@ -381,6 +381,20 @@ def test_mixed_documents_hold_the_words_taken(spark, clashing, docs):
     assert sum(len(brute.WORD.findall(r.text or "")) for r in mixed.collect()) == want
 
 
+def test_mixed_documents_keep_white_space(spark):
+    rows = [(k, "\n".join(f" a{k}\tb{j}  c" for j in range(k % 9 + 3)) + "\n", f"s{k % 4}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.mix_sources(spark, df).collect()}
+    got = brute.grouped((r.doc_id, r.text) for r in mixing.mixed_documents(spark, df).collect())
+    cut = 0
+    for doc_id, text, _ in rows:
+        whole, part = divmod(plan[doc_id].taken, plan[doc_id]["size"])
+        ends = [m.end() for m in brute.WORD.finditer(text)]
+        assert sorted(got[doc_id]) == sorted([text] * whole + ([text[: ends[part - 1]]] if part else []))
+        cut += part > 0
+    assert cut
+
+
 def test_sainte_lague_gives_highest_quotients(spark):
     votes = {f"s{k:02d}": v for k, v in enumerate([53, 24, 23, 0, 1, 999, 7, 7, 7, 300])}
     df = spark.createDataFrame([(k, float(v)) for k, v in votes.items()], "key string, votes double")
