@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
-    collision_ann, langid, license_scan, mixing, ngram_join, packing, rabitq_dedup, sharding, suffix_dedup, token_files,
+    collision_ann, langid, license_scan, mixing, ngram_join, packing, rabitq_dedup, sharding, suffix_dedup, token_align, token_files,
 )
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.tokens import tokenizer_path
@@ -69,11 +69,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(spark, documents(spark, sf_dir)).drop("_rest")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(spark, documents(spark, sf_dir), a="byte_bpe_50k.json", b="piece_bpe_32k.model", with_groups=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_ngram_join, op3_sharding, op4_packing, op5_suffix_dedup, op6_collision_ann, op7_language_id,
-        op8_rabitq_dedup, op9_mixing, op10_license_scan,
+        op8_rabitq_dedup, op9_mixing, op10_license_scan, op11_token_alignment,
     )
 }
 

@@ -100,3 +100,35 @@ def grouped(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def alignments(path_a, path_b, texts):
+    """Per text: (ids of A, ids of B, groups as text, linked pairs), from whole texts by both tokenizers."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(path_a)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    chars = [c for c in range(256) if chr(c).isprintable() and c not in (32, 160, 173)]
+    table = {chr(c): c for c in chars}
+    for k, c in enumerate(c for c in range(256) if c not in chars):
+        table[chr(256 + k)] = c
+    out = []
+    for text in texts:
+        want = (" " + (text or "")).encode()
+        x, y = a.encode(" " + (text or ""), add_special_tokens=False).ids, b.encode(text or "")
+        raw_a = [bytes(table[c] for c in a.id_to_token(k)) for k in x]
+        raw_b = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in y]
+        if not text or b"".join(raw_a) != want or b"".join(raw_b) != want:
+            out.append(([], [], "", []))
+            continue
+        ends_a, ends_b = np.cumsum([len(r) for r in raw_a]).tolist(), np.cumsum([len(r) for r in raw_b]).tolist()
+        groups, links, i, j = [], [], 0, 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            m, n = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+            groups.append(",".join(map(str, x[i:m])) + "|" + ",".join(map(str, y[j:n])))
+            links.append((x[m - 1], y[n - 1]))
+            i, j = m, n
+        out.append((x, y, ";".join(groups), links))
+    return out
