@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +138,25 @@ def pack(docs: DataFrame, names: list[str]) -> DataFrame:
 def unpack(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     """The columns of the table that ``pack`` took, in their order."""
     return df.select(*[F.col(c) if c in names else F.col("_rest")[c].alias(c) for c in columns])
+
+
+def past_heads(heads: DataFrame, rows: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """Both tables dealt and sorted by ``keys``, each key's head before its rows; ``mark`` is a column that only heads have."""
+    return (
+        heads.unionByName(rows, allowMissingColumns=True).repartition(*keys)
+        .sortWithinPartitions(*keys, F.col(mark).isNull())
+    )
+
+
+def heads_first(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[tuple[dict, pa.RecordBatch | None]]:
+    """From the batches of ``past_heads``: (head, None) where a key begins, then (head, rows) for each run of its rows."""
+    head: dict = {}
+    for batch in batches:
+        first = np.flatnonzero(np.asarray(batch.column(mark).is_valid()))
+        edges = np.unique(np.concatenate([[0, batch.num_rows], first, first + 1]))
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if batch.column(mark)[low].is_valid:
+                head = {name: batch.column(name)[low].as_py() for name in batch.schema.names}
+                yield head, None
+            else:
+                yield head, batch.slice(low, high - low)

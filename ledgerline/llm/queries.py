@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
-    collision_ann, langid, license_scan, mixing, ngram_join, packing, rabitq_dedup, sharding, suffix_dedup, token_align, token_files,
+    collision_ann, langid, license_scan, metric_tree, mixing, ngram_join, packing, rabitq_dedup, sharding, suffix_dedup, token_align,
+    token_files, whitening,
 )
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.tokens import tokenizer_path
@@ -73,13 +74,37 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_documents(spark, documents(spark, sf_dir), a="byte_bpe_50k.json", b="piece_bpe_32k.model", with_groups=False)
 
 
+def op12_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_products(spark, embeddings(spark, sf_dir), where="vec_id % 20 = 0", k=20, factor=64)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = whitening.whiten(spark, embeddings(spark, sf_dir), k=8, factor=1024, offset=100_000)
+    return told.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_ngram_join, op3_sharding, op4_packing, op5_suffix_dedup, op6_collision_ann, op7_language_id,
-        op8_rabitq_dedup, op9_mixing, op10_license_scan, op11_token_alignment,
+        op8_rabitq_dedup, op9_mixing, op10_license_scan, op11_token_alignment, op12_metric_tree,
+        op13_whitening,
     )
 }
 
 #: The other queries have no SQL form that runs over whole tables; tests/llm holds them against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # Products of whole numbers below 2^53 are exact as doubles.
+    "op12_metric_tree": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, c -> floor(64 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20""",
+}

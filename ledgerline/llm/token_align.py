@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch
+from ledgerline.llm.common import Scratch, heads_first, past_heads
 from ledgerline.llm.words import mix
 
 #: Pairs in a bucket of the hash function, on average.
@@ -351,22 +351,6 @@ def _hash_bucket(table: pa.Table) -> pa.Table:
     })
 
 
-def _past_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], dict, pa.RecordBatch | None]]:
-    """Rows sorted by (bucket, share, bits nulls last): each bucket's own row first, then runs of the rows that look things up in it."""
-    at, function = None, None
-    for batch in batches:
-        bucket, share = batch.column("bucket").to_numpy(), batch.column("share").to_numpy()
-        heads = np.flatnonzero(np.asarray(batch.column("bits").is_valid()))
-        edges = np.unique(np.concatenate([[0, batch.num_rows], heads, heads + 1]))
-        for low, high in zip(edges[:-1], edges[1:]):
-            if batch.column("bits")[low].is_valid:
-                at = int(bucket[low]), int(share[low])
-                function = {name: batch.column(name)[low].as_py() for name in batch.schema.names}
-                yield at, function, None
-            else:
-                yield at, function, batch.slice(low, high - low)
-
-
 def _one_bucket(function: dict) -> Index:
     return Index([(function["levels"], function["bits"], function["keys"], function.get("counts") or bytes(len(function["keys"])))], {})
 
@@ -381,11 +365,11 @@ def _count_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
     now, index, vector = None, None, None
-    for at, function, rows in _past_buckets(batches):
+    for function, rows in heads_first(batches, "bits"):
         if rows is None:
             if now is not None:
                 yield told(now, vector)
-            now, index = at, _one_bucket(function)
+            now, index = (function["bucket"], function["share"]), _one_bucket(function)
             vector = np.zeros(len(index.keys), np.int64)
             continue
         pairs = rows.column("pair").to_numpy()
@@ -430,16 +414,12 @@ def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch, a: str,
     )
     rows = dealt(counted)
     shares = max(1, -(-counted.count() // (buckets * SHARE)))
-    heads = functions.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).select(
-        "bucket", "share", "levels", "bits", "keys", F.lit(None).cast("long").alias("pair"), F.lit(None).cast("long").alias("n")
-    )
-    tails = rows.select(
-        "bucket", F.pmod(F.xxhash64("pair", "n"), F.lit(shares)).alias("share"), F.lit(None).cast("array<long>").alias("levels"),
-        F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("keys"), "pair", "n",
-    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
     vectors = scratch.save(
-        heads.unionByName(tails).repartition("bucket", "share").sortWithinPartitions("bucket", "share", F.col("bits").isNull())
-        .mapInArrow(_count_vectors, "bucket long, share long, counts binary"),
+        past_heads(
+            functions.withColumn("share", every), rows.withColumn("share", F.pmod(F.xxhash64("pair", "n"), F.lit(shares))),
+            ["bucket", "share"], "bits",
+        ).mapInArrow(_count_vectors, "bucket long, share long, counts binary"),
         "vectors-0",
     )
     step = 0
@@ -503,7 +483,7 @@ _TOLD = (
 def _look_up(batches: Iterator[pa.RecordBatch], most: object) -> Iterator[pa.RecordBatch]:
     """Best links and counts of documents' pairs, summed by row as far as a run goes."""
     index = None
-    for _, function, rows in _past_buckets(batches):
+    for function, rows in heads_first(batches, "bits"):
         if rows is None:
             index = _one_bucket(function)
             index.most = most.value
@@ -557,20 +537,14 @@ def align_documents(
     asked = told.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("_link")).select(
         "row", F.col("_link.pairs").alias("pair"), F.col("_link.times").alias("n")
     ).mapInArrow(dealt, "row long, pair long, n long, bucket long")
-    void = {"levels": "array<long>", "bits": "binary", "keys": "binary", "counts": "binary"}
-    heads = index.select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), *void,
-        *[F.lit(None).cast("long").alias(c) for c in ("row", "pair", "n")],
-    )
-    tails = asked.select(
-        "bucket", F.pmod(F.xxhash64("row"), F.lit(shares)).alias("share"), *[F.lit(None).cast(t).alias(c) for c, t in void.items()],
-        "row", "pair", "n",
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
+    past = past_heads(
+        index.withColumn("share", every), asked.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(shares))), ["bucket", "share"], "bits"
     )
     most = np.zeros(max(best, default=0) + 1, np.int64)
     most[list(best)] = list(best.values())
     found = (
-        heads.unionByName(tails).repartition("bucket", "share").sortWithinPartitions("bucket", "share", F.col("bits").isNull())
-        .mapInArrow(partial(_look_up, most=spark.sparkContext.broadcast(most)), "row long, count_sum long, n_best long")
+        past.mapInArrow(partial(_look_up, most=spark.sparkContext.broadcast(most)), "row long, count_sum long, n_best long")
         .groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     )
     zero = F.lit(0).cast("long")
