@@ -3,21 +3,22 @@
 A text, with a space before it, is encoded by A (byte-level BPE) and B (BPE pieces).  Byte offsets
 where tokens of both end cut the tokens into groups, and the two tokens that end there are linked.
 
-First pass: every task counts its links by id pair and writes (pair, count) rows.  The distinct
-pairs get a *minimal perfect hash*: hash buckets of about BUCKET pairs, in each of which levels of
-bitmaps place a pair where it meets no other, the rest going to the next level; the rank of a
-pair's bit is its place among 0 .. n-1.  With each function goes its dense array of pairs, so a
-looked-up pair is *verified*.  Counts become *dense vectors* indexed by that place: one for every
-share of the rows of a bucket, summed in a *tree* of FAN vectors at a time until one is left.
-
-Second pass: the texts are aligned again, and their links' counts looked up in the vectors.  The
-index goes to the workers whole if it has at most ``lookup_bytes``; a larger one stays a table,
-and the documents' distinct pairs are dealt to its buckets, in salted shares, and streamed past
-them.  Both ways look every pair up in the same vectors.
-
-Texts are cut at places no token of A or B can cross (before white space that follows a visible
-character, and after a single line feed between two), and the alignment of a cut piece is cached.  The
-cache has a bound and drops no work: what isn't in it is encoded again.
+Texts are encoded once and their ids kept in a table.  First pass: every task aligns its ids, counts
+its links by id pair and writes (pair, count) rows.  The distinct pairs get a *minimal perfect hash*:
+hash buckets of about BUCKET pairs, in each of which levels of bitmaps place a pair where it meets no
+other, the rest going to the next level; the rank of a pair's bit is its place among 0 .. n-1.  With
+each function goes its dense array of pairs, so a looked-up pair is *verified*.  Counts become *dense
+vectors* indexed by that place: one for every share of the rows of a bucket, summed in a *tree* of FAN
+vectors at a time until one is left.
+
+Second pass: the ids are aligned again, and their links' counts looked up in the vectors.  The index
+goes to the workers whole if it has at most ``lookup_bytes``; a larger one stays a table, and the
+documents' distinct pairs are dealt to its buckets, in salted shares, and streamed past them.  Both
+ways look every pair up in the same vectors.
+
+Texts are cut at places no token of A or B can cross, before a space or line feed that follows a
+visible character.  B's ids of a cut piece are cached; the cache has a bound and drops no work, as
+what isn't in it is encoded again.  A long text is encoded and aligned in parts, cut the same way.
 """
 
 from __future__ import annotations
@@ -46,15 +47,17 @@ ROOM = 2.0
 SHARE, FAN = 1 << 16, 8
 #: The largest index, in bytes, that is sent to the workers whole.
 LOOKUP_BYTES = 48_000_000
-#: Aligned pieces a worker keeps (about 350 bytes each).
-CACHE = 500_000
-#: Characters of text aligned at a time, and distinct pairs a task holds before it writes them.
-WINDOW, HELD = 1 << 20, 1 << 20
+#: Pieces whose ids of B a worker keeps (about 200 bytes each).
+CACHE = 700_000
+#: Characters of text encoded at a time, tokens aligned at a time, and distinct pairs a task holds before it writes them.
+WINDOW, TOKENS, HELD = 1 << 20, 1 << 19, 1 << 20
 
 _U = np.uint64
-#: Before white space after a visible character, and after a single line feed between two.
-_CUT = re.compile("(?<=[!-~\u00a1-\u167f])(?=[ \\n])|(?<=[!-~\u00a1-\u167f]\\n)(?=[!-~\u00a1-\u167f])")
-_made: dict[tuple[str, str], Aligner] = {}
+_VISIBLE = "[!-~\u00a1-\u167f]"
+#: Before a space or line feed after a visible character, and such white space where that isn't so.
+_CUT = re.compile(f"(?<={_VISIBLE})(?=[ \\n])")
+_UNCUT = re.compile(f"(?<!{_VISIBLE})[ \\n]|\x00")
+_made: dict[tuple[str, str], Tokens] = {}
 
 
 def _file(name: str) -> str:
@@ -73,8 +76,8 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Aligner:
-    """Both tokenizers, the bytes of their ids, and a bounded cache of aligned pieces."""
+class Tokens:
+    """Both tokenizers, the bytes of their ids, and a bounded cache of B's ids of pieces."""
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,143 +95,148 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)
         ]
-        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << 32:
-            raise ValueError("ids of more than 32 bits")
+        self.kind = "<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4"
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.spelt = [f"{k}{end}" for k in range(len(self.bytes_a)) for end in ",|"]
         self.second = len(self.spelt)
         self.spelt += [f"{k}{end}" for k in range(len(self.bytes_b)) for end in ",;"]
-        # A cut is safe where A splits at white space by itself and no piece of B has a space or line feed inside.
         spec = json.loads(self.a.to_str())
         split = spec["pre_tokenizer"] or {}
+        level = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        # A cut is safe where A splits at white space by itself and no piece of B has a space or line feed inside.
         inner = any(" " in p.replace("\u2581", " ").lstrip(" ") or "\n" in p for p in pieces)
-        self.cuts = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not inner
-        self.index: Index | None = None
-        self.known: dict[str, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.groups: list[str] = []
-        self.pairs: list[bytes] = []
-        self.numbers = np.zeros((1024, 6), np.int64)
+        self.cuts = level and not split.get("add_prefix_space") and not inner
+        self.plain = self._by_ranks(spec) if level else None
+        self.known: dict[str, bytes | None] = {}
+
+    def _by_ranks(self, spec: dict):
+        """The same vocabulary for tiktoken, which is faster, if ids rise with the merges as its ranks have to."""
+        import public_tokenizers
+        import tiktoken
+
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(x >= y for x, y in zip(made, made[1:])):
+            return None
+        ranks = {self.bytes_a[k]: k for k in vocab.values() if self.bytes_a[k] and k not in {t["id"] for t in spec["added_tokens"]}}
+        return tiktoken.Encoding("A", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
-    def get(cls, a: str, b: str) -> Aligner:
+    def get(cls, a: str, b: str) -> Tokens:
         """One instance for each Python worker, kept over tasks."""
         if (a, b) not in _made:
             _made[a, b] = cls(a, b)
         return _made[a, b]
 
-    def use(self, index: Index | None) -> None:
-        """Look counts up in ``index`` from now on."""
-        if index is not self.index:
-            self.index = index
-            self.forget()
-
-    def windows(self, text: str) -> Iterator[list[str]]:
-        """Pieces of a space and the text, about WINDOW characters of them at a time."""
-        spaced = " " + text
-        if not self.cuts:
-            yield [spaced]
-            return
+    def parts(self, spaced: str) -> Iterator[str]:
+        """A text in parts of about WINDOW characters that tokens don't cross."""
         start = 0
         while start < len(spaced):
-            found = _CUT.search(spaced, start + WINDOW) if len(spaced) - start > WINDOW else None
+            found = _CUT.search(spaced, start + WINDOW) if self.cuts and len(spaced) - start > WINDOW else None
             end = found.start() if found else len(spaced)
-            yield _CUT.split(spaced[start:end])
+            yield spaced[start:end]
             start = end
 
-    def _encode_b(self, pieces: list[str]) -> list[list[int]]:
+    def pieces(self, part: str) -> list[str]:
         if not self.cuts:
-            return self.b.encode([p[1:] for p in pieces], num_threads=1)
-        # A piece needn't begin with a space; the one that B adds ends before the line feed put here.
-        return [ids[2:] for ids in self.b.encode(["\n" + p for p in pieces], num_threads=1)]
-
-    def align(self, pieces: list[str]) -> tuple[list[str], list[bytes], np.ndarray]:
-        """Of each piece: its groups as text, its links' pairs, and (ids of A, of B, groups, best links, count sum, whether bytes agree)."""
-        ids_a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        ids_b = self._encode_b(pieces)
-        agree = []
-        for piece, x, y in zip(pieces, ids_a, ids_b):
-            raw = piece.encode()
-            agree.append(b"".join([self.bytes_a[k] for k in x]) == raw and b"".join([self.bytes_b[k] for k in y]) == raw)
-        ids_a = [x if ok else [] for x, ok in zip(ids_a, agree)]
-        ids_b = [y if ok else [] for y, ok in zip(ids_b, agree)]
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
-        first_a, first_b = (np.cumsum([0] + [len(x) for x in ids]) for ids in (ids_a, ids_b))
+            return [part]
+        if _UNCUT.search(part, 1):
+            return _CUT.split(part)
+        return (part[0] + part[1:].replace(" ", "\x00 ").replace("\n", "\x00\n")).split("\x00")
+
+    def learn(self, pieces: Iterator[str]) -> None:
+        """B's ids of the pieces that aren't known; none where they don't give back the piece's bytes."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if not new:
+            return
+        if self.cuts:
+            # A piece needn't begin with a space; the one that B adds ends before the line feed put here.
+            other = [p for p in new if p[0] != " " or len(p) == 1]
+            new = [p for p in new if p[0] == " " and len(p) > 1]
+            told = self.b.encode([p[1:] for p in new], num_threads=1) + [ids[2:] for ids in self.b.encode(["\n" + p for p in other], num_threads=1)]
+            new += other
+        else:
+            told = self.b.encode([p[1:] for p in new], num_threads=1)
+        at = self.bytes_b.__getitem__
+        for piece, ids in zip(new, told):
+            right = b"".join(map(at, ids)) == piece.encode()
+            self.known[piece] = np.array(ids, self.kind).tobytes() if right else None
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[bytes], list[bytes]]]:
+        """Of each text, with a space before it, its parts' ids of A and of B; none unless both give back its bytes."""
+        cut = [[(part, self.pieces(part)) for part in self.parts(" " + text)] if text else [] for text in texts]
+        out = []
+        self.learn(chain.from_iterable(pieces for parts in cut for _, pieces in parts))
+        at, known = self.bytes_a.__getitem__, self.known.__getitem__
+        for parts in cut:
+            of_a, of_b = [], []
+            for part, pieces in parts:
+                ids = self.plain.encode_ordinary(part) if self.plain else self.a.encode(part, add_special_tokens=False).ids
+                second = list(map(known, pieces))
+                if None in second or b"".join(map(at, ids)) != part.encode():
+                    of_a, of_b = [], []
+                    break
+                of_a.append(np.array(ids, self.kind).tobytes())
+                of_b.append(b"".join(second))
+            out.append((of_a, of_b))
+        for _ in range(len(self.known) - CACHE):
+            self.known.popitem()
+        return out
+
+    def align(self, of_a: list[bytes], of_b: list[bytes]) -> Alignment:
+        """The alignment of parts of texts, each with the same bytes in A and in B."""
+        width = int(self.kind[-1])
+        a, b = (np.frombuffer(b"".join(x), self.kind).astype(np.int64) for x in (of_a, of_b))
+        first_a, first_b = (np.cumsum([0] + [len(x) // width for x in ids]) for ids in (of_a, of_b))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        cut_a, cut_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
+        at_b, at_a = np.searchsorted(end_b, end_a), np.searchsorted(end_a, end_b)
+        cut_a, cut_b = end_b[at_b] == end_a, end_a[at_a] == end_b
         last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
-        pairs = (a[last_a] << 32) | b[last_b]
-        # The tokens in the order of the text form: each group's ids of A, then those of B.
-        of_a, of_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.append(0, last_b + 1)[of_a]] = 2 * a + cut_a
-        order[np.arange(len(b)) + (last_a + 1)[of_b] if len(b) else []] = self.second + 2 * b + cut_b
-        spelt = list(map(self.spelt.__getitem__, order.tolist()))
-        groups = np.searchsorted(last_a, first_a)
-        counts, best = self.index.counts(pairs) if self.index is not None else (np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool))
-        total, won = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(best))
-        at = (first_a + first_b).tolist()
-        texts = ["".join(spelt[low:high])[:-1] for low, high in zip(at, at[1:])]
-        raw, at = pairs.tobytes(), (8 * groups).tolist()
-        numbers = np.stack([np.diff(x) for x in (first_a, first_b, groups, won[groups], total[groups])] + [np.array(agree, np.int64)], axis=1)
-        return texts, [raw[low:high] for low, high in zip(at, at[1:])], numbers
-
-    def places(self, pieces: list[str]) -> list[int]:
-        """Where the pieces' alignments stand in ``groups``, ``pairs`` and ``numbers``."""
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, f in zip(pieces, found) if f is None))
-            texts, pairs, numbers = self.align(new)
-            first, end = len(self.groups), len(self.groups) + len(new)
-            self.known.update(zip(new, range(first, end)))
-            self.groups += texts
-            self.pairs += pairs
-            if end > len(self.numbers):
-                self.numbers = np.concatenate([self.numbers, np.zeros((max(end, len(self.numbers)), 6), np.int64)])
-            self.numbers[first:end] = numbers
-            found = list(map(self.known.__getitem__, pieces))
-        return found
-
-    def trim(self) -> None:
-        """Back to the cache's bound."""
-        if len(self.known) > CACHE:
-            for piece in list(self.known)[CACHE:]:
-                del self.known[piece]
-            del self.groups[CACHE:], self.pairs[CACHE:]
-            self.numbers = self.numbers[: CACHE + 1024].copy()
-
-
-class Document:
-    """The alignment of one text, gathered window by window."""
-
-    def __init__(self, aligner: Aligner, text: str | None, spell: bool):
-        self.numbers = np.zeros(5, np.int64)
-        self.pairs: list[bytes] = []
-        self.groups: list[str] = []
-        self.agrees = bool(text)
-        if not text:
-            return
-        for pieces in aligner.windows(text):
-            at = aligner.places(pieces)
-            numbers = aligner.numbers[at]
-            self.agrees = bool(numbers[:, 5].all())
-            if not self.agrees:
-                break
-            self.numbers += numbers[:, :5].sum(axis=0)
-            self.pairs.append(b"".join([aligner.pairs[k] for k in at]))
-            if spell:
-                self.groups += [aligner.groups[k] for k in at if aligner.groups[k]]
-            aligner.trim()
-        if not self.agrees:
-            self.numbers[:] = 0
-            self.pairs, self.groups = [], []
-
-    def links(self) -> np.ndarray:
-        return np.frombuffer(b"".join(self.pairs), np.int64)
+        return Alignment(self, a, b, first_a, first_b, cut_a, cut_b, last_a, last_b)
+
+
+class Alignment:
+    """Parts' ids one after another, which of them end a group, and the links' pairs."""
+
+    def __init__(self, tokens, a, b, first_a, first_b, cut_a, cut_b, last_a, last_b):
+        self.tokens, self.a, self.b, self.first_a, self.first_b = tokens, a, b, first_a, first_b
+        self.cut_a, self.cut_b, self.last_a, self.last_b = cut_a, cut_b, last_a, last_b
+        self.pairs = (a[last_a] << 32) | b[last_b]
+        #: Each part's first link; one more ends the last.
+        self.links = np.searchsorted(last_a, first_a)
+
+    def spelt(self) -> list[str]:
+        """Each part's groups as text."""
+        of_a, of_b = np.cumsum(self.cut_a) - self.cut_a, np.cumsum(self.cut_b) - self.cut_b
+        order = np.empty(len(self.a) + len(self.b), np.int64)
+        order[np.arange(len(self.a)) + np.append(0, self.last_b + 1)[of_a]] = 2 * self.a + self.cut_a
+        order[np.arange(len(self.b)) + np.append(self.last_a + 1, 0)[of_b]] = self.tokens.second + 2 * self.b + self.cut_b
+        words = list(map(self.tokens.spelt.__getitem__, order.tolist()))
+        at = (self.first_a + self.first_b).tolist()
+        return ["".join(words[low:high])[:-1] for low, high in zip(at, at[1:])]
+
+
+def _runs(batch: pa.RecordBatch, tokens: Tokens) -> Iterator[tuple[list[int], Alignment, np.ndarray]]:
+    """(row of each part, their alignment, whether a part ends its row) of about TOKENS ids at a time, at least one part for each row."""
+    row_of: list[int] = []
+    of_a: list[bytes] = []
+    of_b: list[bytes] = []
+    ends: list[bool] = []
+    size = 0
+    for row, (parts_a, parts_b) in enumerate(zip(batch.column("a"), batch.column("b"))):
+        parts_a, parts_b = parts_a.as_py() or [b""], parts_b.as_py() or [b""]
+        for at, (x, y) in enumerate(zip(parts_a, parts_b)):
+            row_of.append(row)
+            of_a.append(x)
+            of_b.append(y)
+            ends.append(at + 1 == len(parts_a))
+            size += len(x) + len(y)
+            if size > 4 * TOKENS:
+                yield row_of, tokens.align(of_a, of_b), np.array(ends)
+                row_of, of_a, of_b, ends, size = [], [], [], [], 0
+    if row_of:
+        yield row_of, tokens.align(of_a, of_b), np.array(ends)
 
 
 class Index:
@@ -306,10 +314,29 @@ def perfect_hash(pairs: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     return levels, np.concatenate(bits + [np.zeros(0, bool)]), np.concatenate(placed + [np.zeros(0, np.int64)])
 
 
+def _encode(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
+    """Each document's ids of both tokenizers."""
+    tokens = Tokens.get(a, b)
+
+    def told(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        made = tokens.encode(texts)
+        kind = pa.list_(pa.binary())
+        return pa.RecordBatch.from_arrays([ids, pa.array([m[0] for m in made], kind), pa.array([m[1] for m in made], kind)], names=["doc_id", "a", "b"])
+
+    for batch in batches:
+        start, size = 0, 0
+        run: list[str | None] = []
+        for row, value in enumerate(batch.column("text")):
+            run.append(value.as_py())
+            size += len(run[-1] or "")
+            if size > WINDOW or row + 1 == batch.num_rows:
+                yield told(batch.column("doc_id").slice(start, row + 1 - start), run)
+                run, start, size = [], row + 1, 0
+
+
 def _count_links(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
     """The task's links counted by pair."""
-    aligner = Aligner.get(a, b)
-    aligner.use(None)
+    tokens = Tokens.get(a, b)
     held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     waiting: list[np.ndarray] = []
 
@@ -326,10 +353,9 @@ def _count_links(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[
 
     size = 0
     for batch in batches:
-        for text in batch.column("text"):
-            links = Document(aligner, text.as_py(), False).links()
-            waiting.append(links)
-            size += len(links)
+        for _, alignment, _ in _runs(batch, tokens):
+            waiting.append(alignment.pairs)
+            size += len(alignment.pairs)
             if size > 4 * HELD:
                 held, counts = fold()
                 size = 0
@@ -396,9 +422,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(n)], names=["a", "b", "n"])
 
 
-def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch, a: str, b: str) -> DataFrame:
+def encode_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
+    """(doc_id, a, b): the ids of each document's parts, as little-endian 16-bit numbers (32-bit ones for larger vocabularies)."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(partial(_encode, a=a, b=b), "doc_id long, a array<binary>, b array<binary>")
+
+
+def build_index(encoded: DataFrame, scratch: Scratch, a: str, b: str) -> DataFrame:
     """(bucket, levels, bits, keys, counts): the hash functions of all pairs and the counts in their order."""
-    counted = scratch.save(docs.select("text").mapInArrow(partial(_count_links, a=a, b=b), "pair long, n long"), "counted")
+    counted = scratch.save(encoded.select("a", "b").mapInArrow(partial(_count_links, a=a, b=b), "pair long, n long"), "counted")
     pairs = scratch.save(counted.select("pair").distinct(), "pairs")
     buckets = -(-pairs.count() // BUCKET) or 1
 
@@ -444,23 +476,34 @@ def _align_documents(
     batches: Iterator[pa.RecordBatch], a: str, b: str, index: object, spell: bool, links: bool
 ) -> Iterator[pa.RecordBatch]:
     """Each document's alignment, with counts if there is an index, with its distinct links if not."""
-    aligner = Aligner.get(a, b)
-    aligner.use(index.value if index is not None else None)
+    tokens = Tokens.get(a, b)
     for batch in batches:
         made: list[tuple] = []
-        start = size = 0
-        for row, text in enumerate(batch.column("text")):
-            doc = Document(aligner, text.as_py(), True)
-            told = ";".join(doc.groups)
-            n_a, n_b, groups, best, total = doc.numbers.tolist()
-            some, times = np.unique(doc.links(), return_counts=True) if links else ((), ())
-            digest = hashlib.sha256(told.encode()).hexdigest() if n_a else ""
-            made.append((n_a, n_b, groups, best, total, told if spell else None, digest, some, times))
-            size += len(told) if spell else 0
-            size += 16 * len(some)
-            if size > 8 * WINDOW or row + 1 == batch.num_rows:
-                yield _told(batch.slice(start, row + 1 - start), made)
-                made, start, size = [], row + 1, 0
+        start = 0
+        numbers, digest, groups, pairs = np.zeros(5, np.int64), hashlib.sha256(), [], []
+        for row_of, alignment, ends in _runs(batch, tokens):
+            edge = alignment.links
+            counts, best = index.value.counts(alignment.pairs) if index is not None else (np.zeros(len(alignment.pairs), np.int64),) * 2
+            sums = [np.diff(alignment.first_a), np.diff(alignment.first_b), np.diff(edge)]
+            sums += [np.diff(np.append(0, np.cumsum(x))[edge]) for x in (best, counts)]
+            each = np.column_stack(sums)
+            for at, (row, text, end) in enumerate(zip(row_of, alignment.spelt(), ends)):
+                if numbers[0]:
+                    digest.update(b";")
+                numbers += each[at]
+                digest.update(text.encode())
+                if spell:
+                    groups.append(text)
+                if links:
+                    pairs.append(alignment.pairs[edge[at] : edge[at + 1]])
+                if end:
+                    some, times = np.unique(np.concatenate(pairs), return_counts=True) if links else ((), ())
+                    told = ";".join(groups) if spell else None
+                    made.append((*numbers.tolist(), told, digest.hexdigest() if numbers[0] else "", some, times))
+                    numbers, digest, groups, pairs = np.zeros(5, np.int64), hashlib.sha256(), [], []
+            if made:
+                yield _told(batch.slice(start, len(made)), made)
+                start, made = start + len(made), []
 
 
 def _told(batch: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
@@ -510,8 +553,8 @@ def align_documents(
     other columns are not read.  No rows give no rows.
     """
     scratch = Scratch(spark, "align")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = build_index(spark, plain, scratch, a, b)
+    encoded = scratch.save(encode_documents(docs, a, b).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    index = build_index(encoded, scratch, a, b)
     # One number for each id of B, so its size is that of a vocabulary.
     best = {r.b: r.n for r in pair_counts(index).groupBy("b").agg(F.max("n").alias("n")).collect()}
     size = index.agg(F.sum(F.length("bits") + F.length("keys") + F.length("counts"))).first()[0] or 0
@@ -519,16 +562,15 @@ def align_documents(
     if size <= lookup_bytes:
         rows = index.orderBy("bucket").select("levels", "bits", "keys", "counts").collect()
         sent = spark.sparkContext.broadcast(Index([(r.levels, bytes(r.bits), bytes(r.keys), bytes(r.counts)) for r in rows], best))
-        told = plain.withColumn("row", F.lit(0).cast("long")).mapInArrow(
+        told = encoded.mapInArrow(
             partial(_align_documents, a=a, b=b, index=sent, spell=with_groups, links=False), _TOLD
         )
         return told.select(*columns)
-    numbered = scratch.save(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
     told = scratch.save(
-        numbered.mapInArrow(partial(_align_documents, a=a, b=b, index=None, spell=with_groups, links=True), _TOLD), "told"
+        encoded.mapInArrow(partial(_align_documents, a=a, b=b, index=None, spell=with_groups, links=True), _TOLD), "told"
     )
     buckets = index.count()
-    shares = max(1, -(-numbered.count() // (16 * SHARE)))
+    shares = max(1, -(-encoded.count() // (16 * SHARE)))
 
     def dealt(batches):
         for batch in batches:

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import token_align
@@ -48,7 +49,8 @@ def test_alignments_match_whole_texts(spark, clashing, wanted, monkeypatch, look
 
 def test_pair_counts_match(spark, docs, wanted):
     scratch = token_align.Scratch(spark, "test")
-    index = token_align.build_index(spark, docs, scratch, A, B)
+    encoded = scratch.save(token_align.encode_documents(docs, A, B), "encoded")
+    index = token_align.build_index(encoded, scratch, A, B)
     assert {(r.a, r.b): r.n for r in token_align.pair_counts(index).collect()} == dict(wanted[1])
 
 
@@ -60,27 +62,51 @@ def test_no_rows(spark, empty, lookup):
     assert sorted(tuple(r)[1:] for r in got) == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
-def test_cuts_never_change_ids(monkeypatch):
+def ids(tokens, parts):
+    return np.frombuffer(b"".join(parts), tokens.kind).tolist()
+
+
+@pytest.mark.parametrize("ranks", [True, False])
+def test_cuts_never_change_ids(monkeypatch, ranks):
     monkeypatch.setattr(token_align, "WINDOW", 7)
-    aligner = token_align.Aligner(A, B)
+    tokens = token_align.Tokens(A, B)
+    assert tokens.cuts and tokens.plain is not None
+    if not ranks:
+        tokens.plain = None
     rng = random.Random(5)
-    some = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "the", "Ünï", "中文", "▁", " ", "­", "　", " ", " ", "'s", "'ll", "123", "!!", "<s>",
-            "<0x0A>", "<|endoftext|>", "\U0001f600", "\x00", "é", ".", ",", "Hello", "﻿", "​", "ﬁ", "½"]
+    some = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "the", "Ünï", "中文", "▁", "\u00a0", "\u00ad", "\u3000", "\u2028", "\x85", "'s", "'ll",
+            "123", "!!", "<s>", "<0x0A>", "<|endoftext|>", "\U0001f600", "\x00", "é", ".", ",", "Hello", "\ufeff", "\u200b", "ﬁ", "½"]
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 14))) for _ in range(6000)]
     told = brute.alignments(tokenizer_path(A), tokenizer_path(B), texts)
-    for text, (x, y, groups, links) in zip(texts, told):
-        doc = token_align.Document(aligner, text, True)
-        assert (doc.numbers[:3].tolist(), ";".join(doc.groups)) == ([len(x), len(y), len(links)], groups), repr(text)
-        assert [(p >> 32, p & 0xFFFFFFFF) for p in doc.links().tolist()] == links
+    for text, (of_a, of_b), (x, y, groups, links) in zip(texts, tokens.encode(texts), told):
+        assert (ids(tokens, of_a), ids(tokens, of_b)) == (x, y), repr(text)
+        alignment = tokens.align(of_a, of_b)
+        assert ";".join(alignment.spelt()) == groups
+        assert [(p >> 32, p & 0xFFFFFFFF) for p in alignment.pairs.tolist()] == links
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    text = " ".join(f"word{k % 61}, Wört{k % 7}." for k in range(3000))
+    tokens = token_align.Tokens(A, B)
+    monkeypatch.setattr(token_align, "WINDOW", 500)
+    (of_a, of_b), = tokens.encode([text])
+    assert len(of_a) == len(of_b) > 50
+    batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([of_a]), pa.array([of_b]), pa.array([0])], names=["doc_id", "a", "b", "row"])
+    (x, y, groups, links), = brute.alignments(tokenizer_path(A), tokenizer_path(B), [text])
+    for size in (100, 1 << 19):
+        monkeypatch.setattr(token_align, "TOKENS", size)
+        row, = [r for out in token_align._align_documents(iter([batch]), A, B, None, True, True) for r in out.to_pylist()]
+        assert (row["n_a"], row["n_b"], row["n_links"], row["groups"]) == (len(x), len(y), len(links), groups)
+        assert row["groups_sha256"] == hashlib.sha256(groups.encode()).hexdigest() and sum(row["times"]) == len(links)
 
 
 def test_cache_keeps_its_bound(monkeypatch):
     monkeypatch.setattr(token_align, "CACHE", 3)
-    aligner = token_align.Aligner(A, B)
+    tokens = token_align.Tokens(A, B)
     for text in ("one two three four five six", "six five four seven", "one two eight"):
-        doc = token_align.Document(aligner, text, True)
-        assert ";".join(doc.groups) == brute.alignments(tokenizer_path(A), tokenizer_path(B), [text])[0][2]
-        assert len(aligner.known) <= 3
+        (of_a, of_b), = tokens.encode([text])
+        assert ids(tokens, of_b) == brute.alignments(tokenizer_path(A), tokenizer_path(B), [text])[0][1]
+        assert len(tokens.known) <= 3
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 30_000])
