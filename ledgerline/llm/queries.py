@@ -97,9 +97,9 @@ ORACLE: dict[str, str] = {
     # Products of whole numbers below 2^53 are exact as doubles.
     "op12_metric_tree": """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, c -> floor(64 * c::DOUBLE)) AS x
+  SELECT vec_id, [floor(64 * c::DOUBLE) for c in embedding] AS x
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
   FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
