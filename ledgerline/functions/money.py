@@ -43,6 +43,15 @@ def net_amount(gross: Column, discount: Column, exact: bool = True) -> Column:
     return (gross * (F.lit(1).cast(RATE) - _exact(discount, RATE))).cast(LINE_NET)
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum first, then cast to the report's DECIMAL(12,2) (HALF_UP; raises on overflow)."""
-    return F.sum(amount).cast(REPORT_MONEY)
+def wide_sum(amount: Column) -> Column:
+    """The exact sum in the widest decimal; it fits the report or not (:func:`fits_report`)."""
+    return F.sum(amount)
+
+
+def report_money(total: Column) -> Column:
+    """A sum as the report's DECIMAL(12,2) (HALF_UP); null where it doesn't fit."""
+    return total.try_cast(REPORT_MONEY)
+
+
+def fits_report(total: Column) -> Column:
+    return total.isNull() | report_money(total).isNotNull()

@@ -29,6 +29,44 @@ def _count_if(cond) -> F.Column:
     return F.count_if(F.coalesce(cond, F.lit(False))).cast("bigint")
 
 
+def failing(domains: dict[str, list] | None = None, schema=S.ORDERS_RAW) -> list[tuple[str, F.Column]]:
+    """(check name, whether a row fails it) of all checks on single rows.
+
+    Nulls per column; prices with more than 2 decimals or <= 0; discounts with more than 4
+    decimals or outside [0, 1); quantities < 1; values outside ``domains``.
+    """
+    checks = [(f"null_{f.name}", F.col(f.name).isNull()) for f in schema.fields]
+    price, disc, qty = F.col("unit_price"), F.col("discount_pct"), F.col("quantity")
+    checks += [
+        ("price_decimals", F.round(price, 2) != price),
+        ("price_not_positive", price <= 0),
+        ("discount_decimals", F.round(disc, 4) != disc),
+        ("discount_out_of_range", (disc < 0) | (disc >= 1)),
+        ("quantity_below_one", qty < 1),
+    ]
+    checks += [(f"domain_{column}", ~F.col(column).isin(*allowed)) for column, allowed in (domains or {}).items()]
+    return checks
+
+
+def row_checks(domains: dict[str, list] | None = None, schema=S.ORDERS_RAW) -> list[tuple[str, F.Column]]:
+    """The checks of :func:`failing` as plain counts, which can be observed while the batch is written (``DataFrame.observe``)."""
+    return [(name, _count_if(fails)) for name, fails in failing(domains, schema)]
+
+
+def enforced(orders: DataFrame, domains: dict[str, list] | None = None, schema=S.ORDERS_RAW) -> DataFrame:
+    """The same rows; one that fails a check stops the query, naming the check.  For streams, which have no batch to refuse."""
+    told = F.lit(None).cast("string")
+    for name, fails in reversed(failing(domains, schema)):
+        told = F.when(F.coalesce(fails, F.lit(False)), F.lit(name)).otherwise(told)
+    kept = F.when(told.isNull(), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("row refused: "), told)).cast("string"))
+    return orders.withColumn("status", kept)
+
+
+def duplicate_ids(orders: DataFrame, key: str = "order_id") -> DataFrame:
+    """The number of rows whose id another row has already; reads the id column only."""
+    return orders.agg((F.count(key) - F.count_distinct(key)).cast("bigint").alias("n"))
+
+
 def quality_report(
     orders: DataFrame,
     domains: dict[str, list] | None = None,
@@ -37,23 +75,9 @@ def quality_report(
 ) -> DataFrame:
     """One row per check: ``check_name`` and number of ``failures``.
 
-    Checks: nulls per column; duplicate ``order_id`` (count - count distinct);
-    prices with more than 2 decimals or <= 0; discounts with more than 4
-    decimals or outside [0, 1); quantities < 1; values outside ``domains``.
+    The checks of :func:`row_checks`, and duplicate ``order_id`` (count - count distinct).
     """
-    checks = []
-    for f in schema.fields:
-        checks.append((f"null_{f.name}", _count_if(F.col(f.name).isNull())))
-    price, disc, qty = F.col("unit_price"), F.col("discount_pct"), F.col("quantity")
-    checks += [
-        ("price_decimals", _count_if(F.round(price, 2) != price)),
-        ("price_not_positive", _count_if(price <= 0)),
-        ("discount_decimals", _count_if(F.round(disc, 4) != disc)),
-        ("discount_out_of_range", _count_if((disc < 0) | (disc >= 1))),
-        ("quantity_below_one", _count_if(qty < 1)),
-    ]
-    for column, allowed in (domains or {}).items():
-        checks.append((f"domain_{column}", _count_if(~F.col(column).isin(*allowed))))
+    checks = row_checks(domains, schema)
     if check_unique_ids:
         # One distinct aggregate in the same pass: Spark plans it as a two-phase
         # aggregate keyed by order_id (one shuffle), and the input plan runs once.
@@ -65,7 +89,11 @@ def quality_report(
 
 def assert_clean(report: DataFrame) -> None:
     """Raise :class:`QualityError` listing every check with failures."""
-    bad = report.filter(F.col("failures") > 0).collect()  # at most one row per check
+    refuse({r["check_name"]: r["failures"] for r in report.filter(F.col("failures") > 0).collect()})  # at most one row per check
+
+
+def refuse(failures: dict[str, int]) -> None:
+    """Raise :class:`QualityError` if any count isn't zero."""
+    bad = {name: n for name, n in failures.items() if n}
     if bad:
-        detail = ", ".join(f"{r['check_name']}={r['failures']}" for r in bad)
-        raise QualityError(f"batch refused: {detail}")
+        raise QualityError("batch refused: " + ", ".join(f"{name}={n}" for name, n in bad.items()))

@@ -8,8 +8,9 @@ All of them work on every job and run at once (keyed by ``job_id`` /
 * the last-N sample for duration estimates is a ``row_number`` window with a
   ``<= N`` filter, which Spark plans as a partial + final ``WindowGroupLimit``
   so at most N rows per job per task cross the shuffle;
-* per-run "any failed task?" flags are a ``groupBy`` joined back, not a window,
-  so a run with a huge task list does not end up in one reducer;
+* per-run "any failed task?" flags are a ``groupBy`` joined back in salted shares,
+  so a run with a huge task list does not end up in one reducer; where runs carry
+  their tasks as an array, the choice is made inside the row;
 * task outputs are cut to their last 4000 characters *before* the join.
 """
 
@@ -27,7 +28,10 @@ from ledgerline.functions.text import (
     truthy_text,
 )
 from ledgerline.functions.time import from_epoch_millis
+from ledgerline.operators.joins import spread_join, spread_nulls
 
+# --- fixed values: why a task is reported -------------------------------------------
+REASON_FAILED, REASON_NOT_SUCCESS, REASON_NO_TASKS = "failed", "not_success", "no_tasks"
 FAILED, RUNNING, SUCCESS, OTHER = "FAILED", "RUNNING", "SUCCESS", "OTHER"
 
 
@@ -163,7 +167,8 @@ def run_eta(runs: DataFrame, sample: int = S.ETA_SAMPLE_RUNS, only_success: bool
     usable = F.nullif(F.col("execution_duration"), F.lit(0))
     est = newest.groupBy("job_id").agg(
         F.count(usable).alias("runs_used"),
-        F.avg(usable / 1000.0).alias("eta_seconds"),
+        # Whole milliseconds are summed and divided once, so the order of rows can't matter.
+        (F.sum(usable) / F.count(usable) / 1000.0).alias("eta_seconds"),
     )
     return est.withColumn("eta_text", F.when(F.col("eta_seconds").isNotNull(),
                                              minutes_seconds_text(F.col("eta_seconds").cast("bigint"))))
@@ -214,35 +219,70 @@ def failed_tasks(failed_runs: DataFrame, tasks: DataFrame) -> DataFrame:
     Tasks in a failed result state; if a run has none, every task not in
     SUCCESS (a null state counts); a run without tasks reports itself
     (``task_key`` null, ``task_run_id`` = run id).  ``reason`` says which.
+    Runs are summed up before any join, and the tasks of a heavy run are dealt
+    into shares, so a run with a third of all tasks is many tasks.
     """
-    runs_ = failed_runs.select("run_id").distinct()
-    t = tasks.join(runs_, "run_id", "left_semi").withColumn(
-        "_failed", is_failed_state(F.col("result_state")))
-    flags = t.groupBy("run_id").agg(F.max("_failed").alias("_any_failed"))
+    state = F.col("result_state")
+    per_run = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max(is_failed_state(state)).alias("_any_failed"))
+    flags = failed_runs.select("run_id").distinct().join(per_run, "run_id", "left")
     chosen = (
-        t.join(flags, "run_id")
-        .filter(F.when(F.col("_any_failed"), F.col("_failed"))
-                .otherwise(~F.col("result_state").eqNullSafe(F.lit(SUCCESS))))
+        spread_join(tasks.filter(~state.eqNullSafe(F.lit(SUCCESS))), flags.filter("n is not null").select("run_id", "_any_failed"),
+                    ["run_id"], per_run, by=["task_run_id", "task_key"])
+        .filter(~F.col("_any_failed") | is_failed_state(state))
         .select("run_id", "task_key", "task_run_id", "result_state", "state_message",
                 termination_summary(F.col("termination.code"), F.col("termination.message"))
                 .alias("termination_summary"),
-                F.when(F.col("_any_failed"), F.lit("failed")).otherwise(F.lit("not_success"))
+                F.when(F.col("_any_failed"), F.lit(REASON_FAILED)).otherwise(F.lit(REASON_NOT_SUCCESS))
                 .alias("reason"))
     )
-    runs_with_tasks = tasks.select("run_id").distinct()
-    bare = runs_.join(runs_with_tasks, "run_id", "left_anti").select(
+    bare = flags.filter("n is null").select(
         "run_id", F.lit(None).cast("string").alias("task_key"), F.col("run_id").alias("task_run_id"),
         F.lit(None).cast("string").alias("result_state"), F.lit(None).cast("string").alias("state_message"),
-        F.lit(None).cast("string").alias("termination_summary"), F.lit("no_tasks").alias("reason"))
+        F.lit(None).cast("string").alias("termination_summary"), F.lit(REASON_NO_TASKS).alias("reason"))
     return chosen.unionByName(bare)
 
 
-def task_errors(selected: DataFrame, outputs: DataFrame, tail_chars: int = S.TRACE_TAIL_CHARS) -> DataFrame:
+def with_failed_tasks(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``selected_tasks``: what :func:`failed_tasks` reports of each failed run, from the nested ``tasks``.
+
+    Decided inside the row with array functions: no task is exploded and no run is shuffled.  Runs
+    that didn't fail have a null there; a null or empty ``tasks`` makes the run report itself.
+    """
+    def failed(t: Column) -> Column:
+        return is_failed_state(t["result_state"])
+
+    tasks = F.col("tasks")
+    any_failed = F.exists(tasks, failed)
+    chosen = F.when(any_failed, F.filter(tasks, failed)).otherwise(
+        F.filter(tasks, lambda t: ~t["result_state"].eqNullSafe(F.lit(SUCCESS))))
+    reason = F.when(any_failed, F.lit(REASON_FAILED)).otherwise(F.lit(REASON_NOT_SUCCESS))
+
+    def row(key, run_id, state, message, summary, why) -> Column:
+        return F.struct(key.cast("string").alias("task_key"), run_id.cast("bigint").alias("task_run_id"), state.cast("string").alias("result_state"),
+                        message.cast("string").alias("state_message"), summary.cast("string").alias("termination_summary"), why.alias("reason"))
+
+    none = F.lit(None)
+    selected = F.transform(chosen, lambda t: row(
+        t["task_key"], t["run_id"], t["result_state"], t["state_message"],
+        termination_summary(t["termination"]["code"], t["termination"]["message"]), reason))
+    itself = F.array(row(none, F.col("run_id"), none, none, none, F.lit(REASON_NO_TASKS)))
+    reported = F.when(F.coalesce(F.size(tasks), F.lit(0)) <= 0, itself).otherwise(selected)
+    return runs.withColumn("selected_tasks", F.when(is_failed_run(F.col("result_state"), F.col("life_cycle_state")), reported))
+
+
+def nested_failed_tasks(runs: DataFrame) -> DataFrame:
+    """The rows of :func:`failed_tasks` from runs that carry their tasks; only selected tasks become rows."""
+    return with_failed_tasks(runs).filter("selected_tasks is not null").select("run_id", F.inline("selected_tasks"))
+
+
+def task_errors(selected: DataFrame, outputs: DataFrame, tail_chars: int = S.TRACE_TAIL_CHARS,
+                carry: list[str] | None = None) -> DataFrame:
     """Attach each selected task's output: error, trace tail, notebook result.
 
     ``output_found`` is false when no output row exists; ``note`` carries the
     placeholder when an output exists but records nothing.  Tasks with a
     falsy task run id are not looked up (the run-itself row always is).
+    Columns of ``selected`` named in ``carry`` come along.
     """
     out = outputs.select(
         "task_run_id",
@@ -251,13 +291,15 @@ def task_errors(selected: DataFrame, outputs: DataFrame, tail_chars: int = S.TRA
         truthy_text(F.col("notebook_result")).alias("notebook_result"),
         F.lit(True).alias("_found"),
     )
-    looked_up = (F.col("reason") == F.lit("no_tasks")) | F.coalesce(F.col("task_run_id") != 0, F.lit(False))
-    sel = selected.select("run_id", "task_key", "task_run_id", "reason").withColumn("_lookup", looked_up)
-    j = sel.join(out, (sel["task_run_id"] == out["task_run_id"]) & sel["_lookup"], "left")
+    looked_up = (F.col("reason") == F.lit(REASON_NO_TASKS)) | F.coalesce(F.col("task_run_id") != 0, F.lit(False))
+    sel = selected.select("run_id", "task_key", "task_run_id", "reason", *(carry or [])).withColumn("_lookup", looked_up)
+    # Rows that aren't looked up have no key; they are spread over all tasks.
+    sel = sel.withColumn("_asked", F.when(F.col("_lookup"), F.col("task_run_id")))
+    j = spread_nulls(sel, out.withColumnRenamed("task_run_id", "_asked"), "_asked", by=["run_id", "task_key"])
     found = F.coalesce(F.col("_found"), F.lit(False))
     details = F.col("error").isNotNull() | F.col("trace_tail").isNotNull() | F.col("notebook_result").isNotNull()
     return j.select(
-        "run_id", "task_key", sel["task_run_id"].alias("task_run_id"), "reason",
+        "run_id", "task_key", "task_run_id", "reason", *(carry or []),
         "error", "trace_tail", "notebook_result",
         found.alias("output_found"),
         F.when(found & ~details, F.lit(S.NO_TRACE_NOTE)).alias("note"),

@@ -28,9 +28,9 @@ orders_raw AS (
 PRICED = ORDERS_RAW + """,
 priced AS (
   SELECT *,
-         CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(11,2)) AS gross_revenue,
-         CAST(CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(11,2))
-              * (CAST(1 AS DECIMAL(5,4)) - CAST(discount_pct AS DECIMAL(5,4))) AS DECIMAL(18,6)) AS net_revenue
+         CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(23,2)) AS gross_revenue,
+         CAST(CAST(CAST(unit_price AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(23,2))
+              * (CAST(1 AS DECIMAL(5,4)) - CAST(discount_pct AS DECIMAL(5,4))) AS DECIMAL(29,6)) AS net_revenue
   FROM orders_raw WHERE status = 'completed'
 )"""
 
@@ -58,12 +58,6 @@ jobs_b AS (
   FROM part
 )"""
 
-WANTED_FIXED = r"""
-wanted AS (
-  SELECT * FROM (VALUES ('cold', 'Brand#13'), ('small_widget', 'Brand#13'),
-                        ('nope', 'Brand#13'), ('large', 'Brand#13')) AS t(wanted, principal)
-)"""
-
 WANTED_DERIVED = r"""
 wanted AS (
   SELECT wanted, 'Brand#13' AS principal FROM (
@@ -75,39 +69,55 @@ wanted AS (
   )
 )"""
 
+WANTED_MIXED = r"""
+wanted AS (
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hot' WHEN p_partkey % 17 = 1 THEN NULL WHEN p_partkey % 19 = 1 THEN ''
+              WHEN p_partkey % 3 = 1 THEN j.name ELSE regexp_replace(j.name, '^\[[^\]]*\]\s*', '') END AS wanted,
+         CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN 'Brand#13' WHEN 3 THEN '' END AS principal
+  FROM part JOIN jobs_b j ON p_partkey = j.job_id
+)"""
+
+ROUTED = r"""
+routed AS (
+  SELECT CASE WHEN event_id % 3 = 1 THEN 0 WHEN event_id % 10 = 0 THEN -event_id ELSE event_id END AS run_id,
+         event_type AS wanted, 'Brand#13' AS principal
+  FROM events
+)"""
+
+# Requests are resolved one by one: windows over the matches of one (name, caller).
 NARROW = r"""
+asked AS (SELECT DISTINCT wanted, lower(COALESCE(principal, '')) AS caller FROM wanted),
 matched AS (
-  SELECT w.wanted, w.principal, j.*
-  FROM wanted w
+  SELECT w.wanted, w.caller, j.*
+  FROM asked w
   JOIN (SELECT *, regexp_replace(name, '^\[[^\]]*\]\s*', '') AS base
         FROM jobs_b WHERE name IS NOT NULL AND name <> '') j
     ON j.name = w.wanted OR j.base = w.wanted OR starts_with(j.base, w.wanted || '_')
 ),
 flagged AS (
-  SELECT wanted, job_id, name, deployment_kind IS NOT NULL AS managed,
-         COALESCE(lower(NULLIF(principal, '')) IN (lower(COALESCE(creator_user_name, '')),
-                                                  lower(COALESCE(run_as_user_name, ''))), false) AS owned
+  SELECT wanted, caller, job_id, name, deployment_kind IS NOT NULL AS managed,
+         caller <> '' AND caller IN (lower(COALESCE(creator_user_name, '')), lower(COALESCE(run_as_user_name, ''))) AS owned
   FROM matched
 ),
-s1 AS (SELECT *, count(*) OVER (PARTITION BY wanted) AS c1,
-              bool_or(managed) OVER (PARTITION BY wanted) AS any_m FROM flagged),
+s1 AS (SELECT *, count(*) OVER (PARTITION BY wanted, caller) AS c1,
+              bool_or(managed) OVER (PARTITION BY wanted, caller) AS any_m FROM flagged),
 f1 AS (SELECT * FROM s1 WHERE c1 <= 1 OR NOT any_m OR managed),
-s2 AS (SELECT *, count(*) OVER (PARTITION BY wanted) AS c2,
-              bool_or(owned) OVER (PARTITION BY wanted) AS any_o FROM f1),
-f2 AS (SELECT *, count(*) OVER (PARTITION BY wanted) AS c3 FROM s2 WHERE c2 <= 1 OR NOT any_o OR owned)"""
+s2 AS (SELECT *, count(*) OVER (PARTITION BY wanted, caller) AS c2,
+              bool_or(owned) OVER (PARTITION BY wanted, caller) AS any_o FROM f1),
+f2 AS (SELECT *, count(*) OVER (PARTITION BY wanted, caller) AS c3 FROM s2 WHERE c2 <= 1 OR NOT any_o OR owned)"""
 
 RESOLVE = """
-agg AS (SELECT wanted, count(*) AS n, min(job_id) AS jid, min(name) AS nm FROM f2 GROUP BY wanted),
+agg AS (SELECT wanted, caller, count(*) AS n, min(job_id) AS jid, min(name) AS nm FROM f2 GROUP BY wanted, caller),
 res AS (
   SELECT w.wanted,
          CASE WHEN agg.n IS NULL THEN 'NOT_FOUND' WHEN agg.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status,
          CAST(COALESCE(agg.n, 0) AS BIGINT) AS n_candidates,
          CASE WHEN agg.n = 1 THEN agg.jid END AS job_id,
          CASE WHEN agg.n = 1 THEN agg.nm END AS job_name
-  FROM wanted w LEFT JOIN agg ON w.wanted = agg.wanted
+  FROM wanted w LEFT JOIN agg ON w.wanted = agg.wanted AND lower(COALESCE(w.principal, '')) = agg.caller
 )"""
 
-JOBS = JOBS_B + "," + WANTED_FIXED + "," + NARROW
+JOBS = JOBS_B + "," + WANTED_MIXED + "," + NARROW
 
 FAILED_STATES = "('FAILED', 'TIMEDOUT', 'SUCCESS_WITH_FAILURES', 'UPSTREAM_FAILED')"
 ACTIVE_STATES = "('QUEUED', 'PENDING', 'RUNNING', 'TERMINATING', 'BLOCKED', 'WAITING_FOR_RETRY')"
@@ -256,8 +266,9 @@ def oracle_sql() -> dict[str, str]:
         "SELECT *, TIMESTAMP '2025-01-01 00:00:00' AS ingested_at FROM sales")
     q["stream_sales"] = q["publish_sales"]
     q["published_count"] = _with(SALES) + "SELECT count(*) AS published_rows FROM sales"
-    q["contract_schema"] = (
-        "SELECT * FROM (VALUES "
+    q["published_contract"] = _with(SALES) + (
+        "SELECT t.*, CASE WHEN col_name = 'latest_order' THEN n_latest WHEN col_name = 'avg_order_value' THEN n_mean ELSE n END AS n_values "
+        "FROM (VALUES "
         "('region', 'string', 'Sales region the order was placed in'), "
         "('product', 'string', 'Product SKU'), "
         "('order_count', 'bigint', 'Number of completed orders'), "
@@ -266,7 +277,25 @@ def oracle_sql() -> dict[str, str]:
         "('avg_order_value', 'double', 'Mean net revenue per completed order'), "
         "('latest_order', 'timestamp', 'Timestamp of the most recent order'), "
         "('ingested_at', 'timestamp', 'When this snapshot was published')"
-        ") AS t(col_name, data_type, comment)")
+        ") AS t(col_name, data_type, comment), "
+        "(SELECT count(*) AS n, count(latest_order) AS n_latest, count(avg_order_value) AS n_mean FROM sales)")
+    q["rerun_fingerprint"] = _with(SALES) + (
+        "SELECT 'n_rows' AS metric, count(*) AS value FROM sales UNION ALL SELECT * FROM (VALUES "
+        "('equal_runs', 1), ('equal_changed', 0), ('ingested_values', 1), ('ingested_nulls', 0))")
+    wide = _with(PRICED.replace("JOIN part p ON l.l_partkey = p.p_partkey\n)", "JOIN part p ON l.l_partkey = p.p_partkey\n),\n"
+                                "scaled AS (SELECT * REPLACE (CASE WHEN region = 'ASIA' THEN quantity * 1000000 ELSE quantity END AS quantity)"
+                                " FROM orders_raw)").replace("FROM orders_raw WHERE", "FROM scaled WHERE") + """,
+totals AS (
+  SELECT region, product, COUNT(order_id) AS order_count, CAST(SUM(gross_revenue) AS DECIMAL(38,6)) AS gross_revenue,
+         CAST(SUM(net_revenue) AS DECIMAL(38,6)) AS net_revenue,
+         CAST(SUM(net_revenue) AS DOUBLE) / COUNT(net_revenue) AS avg_order_value, MAX(order_date) AS latest_order
+  FROM priced GROUP BY region, product
+),
+told AS (SELECT *, round(gross_revenue, 2) < 10000000000 AND round(net_revenue, 2) < 10000000000 AS fits FROM totals)""")
+    q["refused_sales"] = wide + "SELECT region, product, order_count, gross_revenue, net_revenue FROM told WHERE NOT fits"
+    q["sales_beside_refused"] = wide + (
+        "SELECT region, product, order_count, CAST(gross_revenue AS DECIMAL(12,2)) AS gross_revenue, "
+        "CAST(net_revenue AS DECIMAL(12,2)) AS net_revenue, avg_order_value, latest_order FROM told WHERE fits")
     q["pipeline_sales"] = _with(SALES) + """
 SELECT 'landed_rows' AS metric, CAST(count(*) AS DECIMAL(20,2)) AS value FROM orders_raw
 UNION ALL SELECT 'completed_rows', CAST(count_if(status = 'completed') AS DECIMAL(20,2)) FROM orders_raw
@@ -290,18 +319,10 @@ UNION ALL SELECT 'published_net', CAST(sum(net_revenue) AS DECIMAL(20,2)) FROM s
         "ON COLUMNS(*) INTO NAME check_name VALUE failures) "
         "UNION ALL SELECT 'duplicate_order_id', CAST(count(order_id) - count(DISTINCT order_id) AS BIGINT) "
         "FROM orders_raw")
-    q["gen_profile"] = """
-WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem)
-SELECT 'n_rows' AS metric, n AS value FROM n
-UNION ALL SELECT 'distinct_ids', n FROM n
-UNION ALL SELECT metric, CAST(value AS BIGINT) FROM (VALUES
-  ('min_quantity', 1), ('max_quantity', 20), ('price_out_of_range', 0), ('price_decimals', 0),
-  ('date_out_of_range', 0), ('off_hour', 0), ('region_values', 5), ('product_values', 5),
-  ('channel_values', 3), ('status_values', 4), ('discount_pct_values', 5)) AS t(metric, value)"""
     # ---- names --------------------------------------------------------------------
     q["normalize_name"] = _with(JOBS) + (
         "SELECT job_id, name, regexp_replace(name, '^\\[[^\\]]*\\]\\s*', '') AS base_name FROM jobs_b")
-    q["match_names"] = _with(JOBS) + "SELECT wanted, job_id, name FROM matched"
+    q["match_names"] = _with(JOBS) + "SELECT DISTINCT wanted, job_id, name FROM matched"
     q["resolve_jobs"] = _with(JOBS, RESOLVE) + "SELECT * FROM res"
     q["ambiguous_names"] = _with(JOBS) + (
         "SELECT wanted, job_id, name, '     - ' || name || ' (ID: ' || CAST(job_id AS VARCHAR) || ')'"
@@ -366,12 +387,19 @@ SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name,
 FROM res r
 LEFT JOIN active a ON r.job_id = a.job_id AND a.rn = 1
 LEFT JOIN eta_t e ON r.job_id = e.job_id"""
-    q["status_requests"] = _with(*req, """
+    newest = """
 newest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_time DESC NULLS LAST,
                                                                      run_id DESC) AS rn
                  FROM classified) WHERE rn = 1
-)""") + f"""
+)"""
+    by_id = ROUTED + """,
+direct AS (
+  SELECT q.wanted, CASE WHEN c.run_id IS NULL THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS status,
+         CAST(0 AS BIGINT) AS n_candidates, c.job_id, j.name AS job_name, c.run_id AS found
+  FROM routed q LEFT JOIN classified c ON q.run_id = c.run_id LEFT JOIN jobs_b j ON c.job_id = j.job_id
+)"""
+    header = f"""
 SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name, n.run_id,
        CASE WHEN n.run_id IS NOT NULL THEN COALESCE(NULLIF(n.run_name, ''), r.wanted) END AS run_label,
        CASE WHEN n.run_id IS NOT NULL THEN COALESCE(n.life_cycle_state, 'UNKNOWN') END AS life_cycle,
@@ -386,13 +414,35 @@ SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name, n.run_id,
        CASE WHEN n.run_id IS NOT NULL AND n.is_failed
             THEN NULLIF(concat_ws(' - ', NULLIF(n.term_code, ''), NULLIF(n.term_message, '')), '') END
          AS termination_summary
-FROM res r LEFT JOIN newest n ON r.job_id = n.job_id"""
+"""
+    by_name_status = header + "FROM res r LEFT JOIN newest n ON r.job_id = n.job_id"
+    q["status_requests"] = _with(*req, newest) + by_name_status
+    q["status_by_run"] = (_with(*req, newest, by_id) + by_name_status + "\nUNION ALL"
+                          + header + "FROM direct r LEFT JOIN classified n ON r.found = n.run_id")
+    q["status_details"] = _with(*req, newest, by_id, TASKS, OUTPUTS, """
+about AS (
+  SELECT r.wanted, n.run_id FROM res r JOIN newest n ON r.job_id = n.job_id WHERE n.is_failed
+  UNION ALL SELECT r.wanted, c.run_id FROM direct r JOIN classified c ON r.found = c.run_id WHERE c.is_failed
+)""") + """
+SELECT a.wanted, s.run_id, s.task_key, s.task_run_id, s.reason, s.result_state, s.state_message, s.termination_summary,
+       o.error, o.trace_tail, o.notebook_result, o.task_run_id IS NOT NULL AS output_found,
+       CASE WHEN o.task_run_id IS NOT NULL AND o.error IS NULL AND o.trace_tail IS NULL
+                 AND o.notebook_result IS NULL THEN '(No exception trace recorded for this task.)' END AS note
+FROM about a JOIN selected s ON a.run_id = s.run_id
+LEFT JOIN outs o ON s.task_run_id = o.task_run_id AND (s.reason = 'no_tasks' OR COALESCE(s.task_run_id <> 0, false))"""
+    q["nested_status_details"] = q["status_details"]
+    q["nested_failed_tasks"] = q["failed_tasks"]
     q["cancel_requests"] = _with(*req) + """
 SELECT r.wanted, r.status, r.n_candidates, r.job_id, r.job_name,
        a.run_id AS cancel_run_id, epoch_ms(NULLIF(a.start_time, 0)) AS cancel_run_started,
        CASE WHEN r.status <> 'RESOLVED' THEN r.status WHEN a.run_id IS NULL THEN 'NO_ACTIVE_RUN'
             ELSE 'CANCEL' END AS action
 FROM res r LEFT JOIN active a ON r.job_id = a.job_id AND a.rn = 1"""
+    q["cancel_by_run"] = q["cancel_requests"].replace("WITH ", "WITH " + ROUTED.strip() + ", ", 1) + """
+UNION ALL
+SELECT q.wanted, CASE WHEN c.run_id IS NULL THEN 'NOT_FOUND' ELSE 'RESOLVED' END, CAST(0 AS BIGINT), c.job_id, j.name,
+       c.run_id, epoch_ms(NULLIF(c.start_time, 0)), CASE WHEN c.run_id IS NULL THEN 'NOT_FOUND' ELSE 'CANCEL' END
+FROM routed q LEFT JOIN classified c ON q.run_id = c.run_id LEFT JOIN jobs_b j ON c.job_id = j.job_id"""
     q["task_errors"] = _with(RUNS, TASKS, OUTPUTS) + """
 SELECT s.run_id, s.task_key, s.task_run_id, s.reason, o.error, o.trace_tail, o.notebook_result,
        o.task_run_id IS NOT NULL AS output_found,
@@ -411,6 +461,19 @@ SELECT target, job_key,
                                  OR COALESCE(TRY_CAST(id_text AS DOUBLE) = 0, false))
             THEN id_text END AS job_id
 FROM ji"""
-    for name in ("gen_profile", "contract_schema"):  # library helpers, not registered
-        del q[name]
+    q["flatten_typed"] = """
+WITH summ AS (
+  SELECT event_id, 't' || CAST(event_id AS VARCHAR) AS target, 'job_' || CAST(user_id AS VARCHAR) AS job_key,
+         CAST(CASE event_id % 12 WHEN 0 THEN '0' WHEN 1 THEN '"0"' WHEN 2 THEN 'false' WHEN 3 THEN '"false"' WHEN 4 THEN 'null'
+              WHEN 5 THEN '[]' WHEN 6 THEN '{}' WHEN 7 THEN '""' WHEN 8 THEN '0.0' WHEN 9 THEN 'true' WHEN 10 THEN '"[]"'
+              ELSE CAST(user_id AS VARCHAR) END AS JSON) AS id,
+         CAST(CASE event_id % 4 WHEN 0 THEN '""' WHEN 1 THEN '0' WHEN 2 THEN 'null' ELSE '"' || event_type || '"' END AS JSON) AS name
+  FROM events
+)
+SELECT target, job_key,
+       CASE WHEN json_type(name) = 'VARCHAR' AND name ->> '$' <> '' THEN name ->> '$' ELSE job_key END AS job_name,
+       CASE json_type(id) WHEN 'VARCHAR' THEN NULLIF(id ->> '$', '') WHEN 'BOOLEAN' THEN NULLIF(id ->> '$', 'false')
+            WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN NULLIF(id ->> '$', '[]') WHEN 'OBJECT' THEN NULLIF(id ->> '$', '{}')
+            ELSE CASE WHEN CAST(id ->> '$' AS DOUBLE) <> 0 THEN id ->> '$' END END AS job_id
+FROM summ"""
     return q

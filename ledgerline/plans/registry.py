@@ -22,7 +22,6 @@ from ledgerline.operators.summaries import flatten_summary
 from ledgerline.plans import tables
 from ledgerline.plans.pipeline import run_pipeline
 from ledgerline.sources import bindings as B
-from ledgerline.sources.generate import synthetic_orders
 from ledgerline.sources.tables import read_table
 from ledgerline.session import work_dir
 
@@ -52,47 +51,6 @@ def _ntz(df: DataFrame, cols) -> DataFrame:
                        for c in df.columns])
 
 
-# ---- generated source -------------------------------------------------------------
-
-def _generated(spark, base_dir):
-    n = read_table(spark, base_dir, "lineitem").count()
-    return synthetic_orders(spark, n)
-
-
-def q_gen_orders(spark, base_dir):
-    """One generated order per line item (the feed is as large as the fact table)."""
-    return _generated(spark, base_dir)
-
-
-def q_gen_profile(spark, base_dir):
-    """Profile of the generated batch: size, unique ids, domain coverage, range checks."""
-    g = _generated(spark, base_dir)
-    start = F.lit(S.ORDER_START).cast("timestamp_ntz")
-    end = F.timestamp_add("HOUR", F.lit(S.ORDER_HOURS), start)
-    price, date = F.col("unit_price"), F.col("order_date")
-    flat = g.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("quantity").cast("bigint").alias("min_quantity"),
-        F.max("quantity").cast("bigint").alias("max_quantity"),
-        F.count_if((price < S.ORDER_PRICE_MIN) | (price > S.ORDER_PRICE_MAX)).alias("price_out_of_range"),
-        F.count_if(F.round(price, 2) != price).alias("price_decimals"),
-        F.count_if((date < start) | (date > end)).alias("date_out_of_range"),
-        F.count_if(F.date_format(date, "mm:ss.SSSSSS") != F.lit("00:00.000000")).alias("off_hour"),
-    )
-    ids = g.agg(F.count_distinct("order_id").alias("distinct_ids"))
-    # Domain sizes from the (small) set of value combinations, so no row is expanded.
-    combos = g.groupBy("region", "product", "channel", "status", "discount_pct").count()
-    doms = combos.agg(*[F.count_distinct(c).alias(f"{c}_values") for c in
-                        ["region", "product", "channel", "status", "discount_pct"]])
-    parts = [flat, ids, doms]
-    out = None
-    for p in parts:
-        longp = p.select(*[F.col(c).cast("bigint").alias(c) for c in p.columns]).unpivot(
-            [], p.columns, "metric", "value")
-        out = longp if out is None else out.unionByName(longp)
-    return out
-
-
 # ---- order checks, landing, publish --------------------------------------------------
 
 @register("conform_orders")
@@ -147,16 +105,39 @@ def q_stream_sales(spark, base_dir):
     return _ntz(spark.table(report), {"latest_order", "ingested_at"})
 
 
-def q_contract_schema(spark, base_dir):
-    return tables.describe_contract(spark, _publish(spark, base_dir))
+@register("published_contract")
+def q_published_contract(spark, base_dir):
+    """Types and comments of the published table as the catalog holds them, and how many values each column got."""
+    report = _publish(spark, base_dir)
+    published = spark.table(report)
+    filled = published.agg(*[F.count(c).alias(c) for c in published.columns]).unpivot([], published.columns, "col_name", "n_values")
+    return tables.describe_contract(spark, report).join(filled, "col_name")
+
+
+@register("rerun_fingerprint")
+def q_rerun_fingerprint(spark, base_dir):
+    """Two publishes of the same orders at their own times: rows, equal content, and what ``ingested_at`` holds."""
+    schema = tables.scratch_schema(spark)
+    names = [tables.table_name(schema, f"{S.REPORT_TABLE}_{k}") for k in (1, 2)]
+    for name in names:
+        tables.publish(sales_ops.sales_by_region(B.orders_raw(spark, base_dir)), name)
+    first, second = (tables.fingerprint(spark.table(n).drop("ingested_at")) for n in names)
+    other = tables.fingerprint(spark.table(names[0]).drop("ingested_at").withColumn("order_count", F.col("order_count") + 1))
+    a, b, c = (df.select(F.struct(*df.columns).alias(k)) for k, df in zip("abc", (first, second, other)))
+    times = spark.table(names[0]).agg(F.count_distinct("ingested_at").alias("ingested_values"),
+                                      F.count_if(F.col("ingested_at").isNull()).alias("ingested_nulls"))
+    row = times.select("*", a.scalar().alias("a"), b.scalar().alias("b"), c.scalar().alias("c")).select(
+        F.col("a.n_rows").alias("n_rows"), (F.col("a") == F.col("b")).cast("bigint").alias("equal_runs"),
+        (F.col("a") == F.col("c")).cast("bigint").alias("equal_changed"), "ingested_values", "ingested_nulls")
+    return row.unpivot([], row.columns, "metric", "value")
 
 
 @register("pipeline_sales")
 def q_pipeline_sales(spark, base_dir):
     """Run the two-step job on the bound orders; reconcile raw and published tables."""
     schema = tables.scratch_schema(spark)
-    res = run_pipeline(spark, schema, source=B.orders_raw(spark, base_dir), as_of=AS_OF,
-                       domains={"status": S.ORDER_STATUSES}, check_unique_ids=False)
+    res = run_pipeline(spark, schema, source=B.orders_raw(spark, base_dir, unique_ids=True), as_of=AS_OF,
+                       domains={"status": S.ORDER_STATUSES})
     money = "decimal(20,2)"
     raw = spark.table(res.raw_table).agg(
         F.count(F.lit(1)).cast(money).alias("landed_rows"),
@@ -193,6 +174,18 @@ def q_sales_by_region(spark, base_dir):
     return sales_ops.sales_by_region(B.orders_raw(spark, base_dir), with_ingested_at=False)
 
 
+@register("refused_sales")
+def q_refused_sales(spark, base_dir):
+    """Groups that the report can't hold, by name, from orders of which one region's are too large."""
+    return sales_ops.refused_groups(sales_ops.sales_totals(B.overflowing_orders(spark, base_dir)))
+
+
+@register("sales_beside_refused")
+def q_sales_beside_refused(spark, base_dir):
+    """The report of the same orders: all other groups."""
+    return sales_ops.sales_by_region(B.overflowing_orders(spark, base_dir), with_ingested_at=False, overflow="refuse")
+
+
 @register("sales_ranked")
 def q_sales_ranked(spark, base_dir):
     return sales_ops.sales_ranked(
@@ -208,18 +201,19 @@ def q_normalize_name(spark, base_dir):
 
 @register("match_names")
 def q_match_names(spark, base_dir):
-    m = name_ops.match_names(B.jobs(spark, base_dir), B.name_requests(spark).select("wanted"))
+    wanted = B.mixed_name_requests(spark, base_dir).select("wanted").distinct()
+    m = name_ops.match_names(B.jobs(spark, base_dir), wanted)
     return m.select("wanted", "job_id", "name")
 
 
 @register("resolve_jobs")
 def q_resolve_jobs(spark, base_dir):
-    return name_ops.resolve_jobs(B.jobs(spark, base_dir), B.name_requests(spark))
+    return name_ops.resolve_jobs(B.jobs(spark, base_dir), B.mixed_name_requests(spark, base_dir))
 
 
 @register("ambiguous_names")
 def q_ambiguous_names(spark, base_dir):
-    return name_ops.ambiguous_candidates(B.jobs(spark, base_dir), B.name_requests(spark))
+    return name_ops.ambiguous_candidates(B.jobs(spark, base_dir), B.mixed_name_requests(spark, base_dir))
 
 
 # ---- request flows (resolve -> act) --------------------------------------------------------
@@ -248,6 +242,39 @@ def q_cancel_requests(spark, base_dir):
                            B.derived_name_requests(spark, base_dir))
 
 
+@register("status_by_run")
+def q_status_by_run(spark, base_dir):
+    """Status answers to requests by run id and by name."""
+    from ledgerline.operators.requests import status_requests
+
+    return status_requests(B.jobs(spark, base_dir), B.runs(spark, base_dir), B.routed_requests(spark, base_dir))
+
+
+@register("status_details")
+def q_status_details(spark, base_dir):
+    """The failed tasks behind those answers, with their outputs."""
+    from ledgerline.operators.requests import status_details
+
+    return status_details(B.jobs(spark, base_dir), B.runs(spark, base_dir), B.run_tasks(spark, base_dir),
+                          B.task_outputs(spark, base_dir), B.routed_requests(spark, base_dir))
+
+
+@register("nested_status_details")
+def q_nested_status_details(spark, base_dir):
+    """The same from runs that carry their tasks."""
+    from ledgerline.operators.requests import status_details
+
+    return status_details(B.jobs(spark, base_dir), B.nested_runs(spark, base_dir), None,
+                          B.task_outputs(spark, base_dir), B.routed_requests(spark, base_dir))
+
+
+@register("cancel_by_run")
+def q_cancel_by_run(spark, base_dir):
+    from ledgerline.operators.requests import cancel_requests
+
+    return cancel_requests(B.jobs(spark, base_dir), B.runs(spark, base_dir), B.routed_requests(spark, base_dir))
+
+
 # ---- runs ----------------------------------------------------------------------------------
 
 @register("allowed_requests")
@@ -304,6 +331,12 @@ def q_failed_tasks(spark, base_dir):
     return _failed_tasks(spark, base_dir)
 
 
+@register("nested_failed_tasks")
+def q_nested_failed_tasks(spark, base_dir):
+    """Failed tasks from runs that carry them as an array."""
+    return run_ops.nested_failed_tasks(B.nested_runs(spark, base_dir))
+
+
 @register("termination_text")
 def q_termination_text(spark, base_dir):
     return run_ops.termination_text(B.runs(spark, base_dir))
@@ -326,4 +359,10 @@ def q_flatten_summary(spark, base_dir):
     return flatten_summary(B.deploy_summaries(spark, base_dir))
 
 
+@register("flatten_typed")
+def q_flatten_typed(spark, base_dir):
+    """Summaries whose ids and names are JSON values of every kind."""
+    return flatten_summary(B.typed_summaries(spark, base_dir))
+
+
 __all__ = ["QUERIES", "flagship", "register"]

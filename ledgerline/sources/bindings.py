@@ -37,6 +37,11 @@ DEV_EVERY = 3
 WANTED_NAMES = ["cold", "small_widget", "nope", "large"]
 PRINCIPAL = "Brand#13"
 TASKS_PER_RUN = 4
+OVERFLOW_REGION, OVERFLOW_FACTOR = "ASIA", 1_000_000
+HOT_NAME = "hot"
+# JSON values of a summary's id, by event id; the last case is the user's id.
+ID_CASES = ["0", '"0"', "false", '"false"', "null", "[]", "{}", '""', "0.0", "true", '"[]"']
+NAME_CASES = ['""', "0", "null"]
 
 
 def _map_value(col: Column, mapping: dict) -> Column:
@@ -47,9 +52,12 @@ def _map_value(col: Column, mapping: dict) -> Column:
     return expr
 
 
-def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
+def orders_raw(spark: SparkSession, base_dir: str, unique_ids: bool = False) -> DataFrame:
     """B1: one order row per line item, in the ``orders_raw`` shape.
 
+    Line numbers repeat within an order of the test tables, so ``order_id`` does too; with
+    ``unique_ids`` the id also names part, supplier, ship day and price in cents.
+
     Join order: the order dimension (orders -> customer -> nation -> region) is
     built first, so at scale the line items are shuffled once by order key and
     once by part key, never by customer key.  There are no hints: the planner and
@@ -68,12 +76,16 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
         .select(o.o_orderkey, geo.r_name, c.c_mktsegment,
                 _map_value(o.o_orderstatus, ORDER_STATUS_BY_CODE).alias("status"), o.o_orderdate)
     )
+    more = []
+    if unique_ids:
+        more = [F.lit("-"), li.l_partkey.cast("string"), F.lit("-"), li.l_suppkey.cast("string"), F.lit("-"),
+                F.date_format(li.l_shipdate, "yyyyMMdd"), F.lit("-"), F.round(li.l_extendedprice * 100).cast("bigint").cast("string")]
     return (
         li.join(order_dim, li.l_orderkey == order_dim.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
         .select(
             F.concat(F.lit("order-"), li.l_orderkey.cast("string"), F.lit("-"),
-                     li.l_linenumber.cast("string")).alias("order_id"),
+                     li.l_linenumber.cast("string"), *more).alias("order_id"),
             order_dim.r_name.alias("region"),
             p.p_type.alias("product"),
             order_dim.c_mktsegment.alias("channel"),
@@ -86,6 +98,13 @@ def orders_raw(spark: SparkSession, base_dir: str) -> DataFrame:
     )
 
 
+def overflowing_orders(spark: SparkSession, base_dir: str) -> DataFrame:
+    """B1 with the quantities of one region a million times as large, so that most of its sums pass DECIMAL(12,2)."""
+    o = orders_raw(spark, base_dir)
+    return o.withColumn("quantity", F.when(F.col("region") == F.lit(OVERFLOW_REGION), F.col("quantity") * OVERFLOW_FACTOR)
+                        .otherwise(F.col("quantity")))
+
+
 def jobs(spark: SparkSession, base_dir: str) -> DataFrame:
     """B2: one job per part.  Every third part is a dev deploy with a ``[dev uN]``
     prefix; parts larger than 25 are bundle-managed; the brand is the creator and,
@@ -110,6 +129,34 @@ def name_requests(spark: SparkSession, names=None, principal: str | None = PRINC
                          [("wanted", "string"), ("principal", "string")])
 
 
+def mixed_name_requests(spark: SparkSession, base_dir: str) -> DataFrame:
+    """A request per part, from several callers: a third want one hot name, others a job's name as
+    deployed or its base name, some nothing; the brand calls in two spellings, a fixed caller, or none."""
+    from ledgerline.functions.text import deployed_base
+
+    p = read_table(spark, base_dir, "part").select("p_partkey", "p_brand")
+    j = jobs(spark, base_dir).select(F.col("job_id").alias("p_partkey"), "name")
+    k = F.col("p_partkey")
+    wanted = (F.when(F.pmod(k, F.lit(3)) == 0, F.lit(HOT_NAME))
+              .when(F.pmod(k, F.lit(17)) == 1, F.lit(None).cast("string")).when(F.pmod(k, F.lit(19)) == 1, F.lit(""))
+              .when(F.pmod(k, F.lit(3)) == 1, F.col("name")).otherwise(deployed_base(F.col("name"))))
+    principal = (F.when(F.pmod(k, F.lit(5)) == 0, F.col("p_brand")).when(F.pmod(k, F.lit(5)) == 1, F.upper("p_brand"))
+                 .when(F.pmod(k, F.lit(5)) == 2, F.lit(PRINCIPAL)).when(F.pmod(k, F.lit(5)) == 3, F.lit("")))
+    return p.join(j, "p_partkey").select(wanted.alias("wanted"), principal.alias("principal"))
+
+
+def routed_requests(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``run_id, wanted, principal``: a request by run id per event (a third for one run, some for runs
+    that don't exist), and the name requests of :func:`derived_name_requests` without one."""
+    e = read_table(spark, base_dir, "events")
+    k = e.event_id
+    by_id = e.select(
+        F.when(F.pmod(k, F.lit(3)) == 1, F.lit(0).cast("bigint")).when(F.pmod(k, F.lit(10)) == 0, -k).otherwise(k).alias("run_id"),
+        e.event_type.alias("wanted"), F.lit(PRINCIPAL).alias("principal"))
+    by_name = derived_name_requests(spark, base_dir).select(F.lit(None).cast("bigint").alias("run_id"), "wanted", "principal")
+    return by_id.unionByName(by_name)
+
+
 def derived_name_requests(spark: SparkSession, base_dir: str, principal: str | None = PRINCIPAL) -> DataFrame:
     """Requests for every distinct job name of B2 as deployed (raw) and as its base
     name, plus the fixed wanted names."""
@@ -195,6 +242,14 @@ def failed_parent_runs(spark: SparkSession, base_dir: str) -> DataFrame:
     return classify_runs(runs(spark, base_dir)).filter("is_failed").select("run_id")
 
 
+def nested_runs(spark: SparkSession, base_dir: str) -> DataFrame:
+    """B3 runs that carry the tasks of B4 (at most four) as an array, as the runs' records do; without any it is null."""
+    t = run_tasks(spark, base_dir)
+    nested = t.groupBy("run_id").agg(F.collect_list(F.struct(
+        "task_key", F.col("task_run_id").alias("run_id"), "result_state", "state_message", "termination")).alias("tasks"))
+    return runs(spark, base_dir).join(nested, "run_id", "left")
+
+
 def task_outputs(spark: SparkSession, base_dir: str) -> DataFrame:
     """Task outputs keyed by doc id: error text, the document as stack trace, result."""
     d = read_table(spark, base_dir, "documents")
@@ -225,3 +280,20 @@ def deploy_summaries(spark: SparkSession, base_dir: str) -> DataFrame:
           .when(sel == 2, F.lit('{"resources":{"jobs":{}}}'))
           .otherwise(full))
     return e.select(F.concat(F.lit("t"), rid.cast("string")).alias("target"), js.alias("summary_json"))
+
+
+def _by_number(key: Column, cases: list[str], otherwise: Column) -> Column:
+    value = otherwise
+    for k, text in enumerate(cases):
+        value = F.when(F.pmod(key, F.lit(len(cases) + 1)) == k, F.lit(text)).otherwise(value)
+    return value
+
+
+def typed_summaries(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Bundle summaries whose ids and names are JSON values of every kind, one per event."""
+    e = read_table(spark, base_dir, "events")
+    job_id = _by_number(e.event_id, ID_CASES, e.user_id.cast("string"))
+    name = _by_number(e.event_id, NAME_CASES, F.concat(F.lit('"'), e.event_type, F.lit('"')))
+    text = F.concat(F.lit('{"resources":{"jobs":{"job_'), e.user_id.cast("string"), F.lit('":{"id":'), job_id,
+                    F.lit(',"name":'), name, F.lit("}}}}"))
+    return e.select(F.concat(F.lit("t"), e.event_id.cast("string")).alias("target"), text.alias("summary_json"))

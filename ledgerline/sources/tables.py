@@ -6,7 +6,7 @@ itself, so readers return the plain scan and callers select what they need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 # --- fixed values: schemas of the input tables --------------------------------------
@@ -34,12 +34,47 @@ def table_path(base_dir: str, name: str) -> str:
     return f"{base_dir.rstrip('/')}/{name}.parquet"
 
 
+class SchemaDrift(ValueError):
+    """A file's columns are not those declared for its table."""
+
+
+# What a reader may widen: the declared type of a column, and the file types it also takes.
+_WIDER = {"bigint": {"int", "smallint", "tinyint"}, "int": {"smallint", "tinyint"}, "double": {"float"},
+          "timestamp_ntz": {"timestamp"}, "timestamp": {"timestamp_ntz"}}
+_checked: set[tuple] = set()
+
+
+def check_drift(spark: SparkSession, path: str, declared: T.StructType) -> None:
+    """Raise :class:`SchemaDrift` if one footer lacks a declared column or has it in another type.
+
+    With a declared schema a missing or renamed column would be read as nulls without a word.
+    Other columns may come along.  A folder is looked at again when it has changed.
+    """
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found)
+    mark = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen(), declared.simpleString())
+    if mark in _checked:
+        return
+    have = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema}
+    wrong = []
+    for field in declared:
+        want = field.dataType.simpleString()
+        if field.name not in have:
+            wrong.append(f"{field.name} is missing")
+        elif have[field.name] != want and have[field.name] not in _WIDER.get(want, ()):
+            wrong.append(f"{field.name} is {have[field.name]}, not {want}")
+    if wrong:
+        raise SchemaDrift(f"{path}: {', '.join(wrong)}")
+    _checked.add(mark)
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """One parquet table ``<base_dir>/<name>.parquet``, with its declared schema if known."""
-    reader = spark.read
-    if name in TABLE_SCHEMAS:
-        reader = reader.schema(TABLE_SCHEMAS[name])
-    return reader.parquet(table_path(base_dir, name))
+    """One parquet table ``<base_dir>/<name>.parquet``, with its declared schema if known; drift from that raises."""
+    path = table_path(base_dir, name)
+    if name not in TABLE_SCHEMAS:
+        return spark.read.parquet(path)
+    check_drift(spark, path, T.StructType.fromDDL(TABLE_SCHEMAS[name]))
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:

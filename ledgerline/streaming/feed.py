@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline import schemas as S
+from ledgerline.operators import quality
 from ledgerline.operators.sales import ingest_time, sales_by_region
 from ledgerline.plans import tables
 from ledgerline.session import work_dir
@@ -37,6 +38,7 @@ def stream_sales_rollup(
     available_now: bool = True,
     processing_time: str | None = None,
     state_partitions: int | None = 16,
+    domains: dict | None = None,
 ):
     """Start the streaming publish; returns the ``StreamingQuery``.
 
@@ -46,12 +48,14 @@ def stream_sales_rollup(
     holds one row per (region, product) group whatever the input volume, so a
     handful of partitions is right (the session default, often 200, would run
     that many near-empty state tasks per micro-batch).  The value is fixed in
-    the checkpoint on the first run.
+    the checkpoint on the first run.  A row that fails the input checks (``domains``: see
+    ``operators.quality.failing``) stops the query and is named; the report stays as it was.
     """
     if checkpoint is None:
         name = report_table.replace("`", "").replace(".", "_")
         checkpoint = f"{work_dir(spark)}/streams/{name}"
-    rollup = sales_by_region(order_stream(spark, source_path), exact=exact, with_ingested_at=False)
+    orders = quality.enforced(order_stream(spark, source_path), domains)
+    rollup = sales_by_region(orders, exact=exact, with_ingested_at=False)
 
     def publish_batch(batch: DataFrame, _epoch_id: int) -> None:
         tables.publish(batch.withColumn("ingested_at", ingest_time(as_of)), report_table)

@@ -10,7 +10,8 @@ from tests.oracle_compare import assert_same, duck
 SQL = E.oracle_sql()
 QUERIES = E.queries()
 HEADLINE = ["sales_by_region", "resolve_jobs", "run_eta", "failed_tasks", "match_names",
-            "ambiguous_names", "task_errors", "flatten_summary"]
+            "ambiguous_names", "task_errors", "flatten_summary", "nested_failed_tasks", "status_by_run", "status_details",
+            "cancel_by_run", "flatten_typed", "refused_sales", "rerun_fingerprint", "pipeline_sales"]
 
 
 def test_every_query_has_an_oracle_except_rows_only():
