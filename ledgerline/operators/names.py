@@ -116,7 +116,7 @@ def resolve_requests(jobs: DataFrame, requests: DataFrame, principal: str | None
     the ownership filter.  ``job_id`` is the key of ``jobs``; the resolved job's name is attached
     to the distinct (name, caller) pairs, before the requests meet them.  Equal requests are
     answered once and repeated in the answer; a name that a third of all others want is dealt
-    into shares.
+    into shares, if they have other columns than name and caller.
     """
     asked = counted(_with_caller(requests, principal))
     sizes = asked.groupBy("key", "caller").agg(F.count(F.lit(1)).alias("n"))
@@ -136,7 +136,10 @@ def resolve_requests(jobs: DataFrame, requests: DataFrame, principal: str | None
     nameless = asked.filter(F.col("key").isNull()).withColumns({
         "status": F.lit(NOT_FOUND), "n_candidates": F.lit(0).cast("bigint"),
         "job_id": F.lit(None).cast("bigint"), "job_name": F.lit(None).cast("string")})
-    met = spread_join(asked, outcome, ["key", "caller"], sizes, by=requests.columns)
+    if set(requests.columns) <= {"wanted", "principal"}:  # then only spellings of the caller share a (name, caller)
+        met = asked.join(outcome, ["key", "caller"])
+    else:
+        met = spread_join(asked, outcome, ["key", "caller"], sizes, by=requests.columns)
     return repeated(met.select(*columns, "_times").unionByName(nameless.select(*columns, "_times")))
 
 

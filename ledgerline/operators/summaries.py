@@ -19,18 +19,13 @@ SUMMARY_SCHEMA = "struct<resources:struct<jobs:map<string,variant>>>"
 TEXT_SCHEMA = "struct<resources:struct<jobs:map<string,string>>>"
 
 
-def _kind(value: Column) -> Column:
-    """``OBJECT``, ``STRING``, ``BIGINT``, ...: the JSON type without its details."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
 def truthy_variant(value: Column) -> Column:
     """The value as text, or null where Python would read it as false."""
-    kind, text = _kind(value), value.try_cast("string")
+    kind, text = F.schema_of_variant(value), value.try_cast("string")
     empty = (
         F.when(kind == F.lit("STRING"), text == F.lit(""))
         .when(kind == F.lit("BOOLEAN"), text == F.lit("false"))
-        .when(kind.isin("ARRAY", "OBJECT"), text.isin("[]", "{}"))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), text.isin("[]", "{}"))
         .when(kind == F.lit("VOID"), F.lit(True))
         .otherwise(text.try_cast("double") == 0)
     )
@@ -69,9 +64,7 @@ def flatten_summary(summaries: DataFrame, json_col: str = "summary_json") -> Dat
     typed = F.transform(_entries(F.col("_jobs")), lambda e: F.struct(e["key"].alias("job_key"), e["value"].alias("_info")))
     refused = F.transform(_entries(F.col("_raw")), lambda e: F.struct(e["key"].alias("job_key"), _info_as_variant(e["value"]).alias("_info")))
     entries = parsed.select(*keep, F.inline(F.coalesce(typed, refused)))
-    is_object = _kind(F.col("_info")) == F.lit("OBJECT")
-
-    def member(name: str) -> Column:
-        return F.when(is_object, truthy_variant(F.try_variant_get(F.col("_info"), f"$.{name}", "variant")))
-
-    return entries.select(*keep, "job_key", F.coalesce(member("name"), F.col("job_key")).alias("job_name"), member("id").alias("job_id"))
+    # A member of anything but an object is null.
+    members = entries.select(*keep, "job_key", *[F.try_variant_get("_info", f"$.{m}", "variant").alias(f"_{m}") for m in ("name", "id")])
+    return members.select(*keep, "job_key", F.coalesce(truthy_variant(F.col("_name")), F.col("job_key")).alias("job_name"),
+                          truthy_variant(F.col("_id")).alias("job_id"))
