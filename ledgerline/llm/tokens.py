@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -19,6 +20,8 @@ FRONT, BACK = 1 << 15, 1_500_000
 #: Longer pieces aren't cached.
 LONGEST = 64
 
+#: Pieces of letters whose normal form is their lower case and which byte-level splitting keeps whole.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3]+")
 _ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 _ENDS = tuple(a + b for a in " \n" for b in " \n")
@@ -41,6 +44,7 @@ class PieceTokenizer:
         self.model, self.norm, self.pre = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
         # Whether a space belongs to the ids of the word after it, or white space has no ids.
         self.spaced = bool(self.encode_whole(" "))
+        self.table = self._byte_characters()
         self.front: dict[str, bytes] = {}
         self.back: dict[str, bytes] = {}
 
@@ -51,6 +55,22 @@ class PieceTokenizer:
             _made[path] = cls(path)
         return _made[path]
 
+    def _byte_characters(self) -> dict[int, str] | None:
+        """The character that stands for each byte of a letter, if the steps for letters are lower case and these; None if not."""
+        lead = " " if self.spaced else ""
+        letters = [chr(c) for c in range(32, 0x1C4) if _LETTERS.fullmatch(chr(c)) and chr(c) != " "]
+        table: dict[int, str] = {}
+        for c in letters:
+            text = lead + c
+            words = self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)
+            raw = (lead + c.lower() if self.norm is not None else text).encode()
+            if len(words) != 1 or len(words[0][0]) != len(raw):
+                return None
+            for byte, stands in zip(raw, words[0][0]):
+                if table.setdefault(byte, stands) != stands:
+                    return None
+        return table
+
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
@@ -58,6 +78,9 @@ class PieceTokenizer:
         """The tokenizer's own steps for one piece: normalise, split, look up merges."""
         if len(piece) > LONGEST or "<|" in piece or not piece.isprintable():
             return self.encode_whole(piece)
+        if self.table is not None and _LETTERS.fullmatch(piece):
+            raw = (piece.lower() if self.norm is not None else piece).encode().decode("latin-1")
+            return array("H", [t.id for t in self.model.tokenize(raw.translate(self.table))]).tobytes()
         text = self.norm.normalize_str(piece) if self.norm is not None and not (piece.isascii() and piece.islower()) else piece
         if text.isascii() and text.isalpha() and not self.spaced:
             return np.array([t.id for t in self.model.tokenize(text)], dtype="<u2").tobytes()
