@@ -146,7 +146,7 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int, boundary:
     """Join keys of each set; of equal sets in a task, only the first posts."""
     seen: set[int] = set()
     for batch in batches:
-        sig, cls, size, held = [], [], [], 0
+        sig, cls, held = [], [], 0
         for _, values in _rows(batch, width):
             if not len(values):
                 continue
@@ -159,21 +159,18 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int, boundary:
             for k in keys:
                 sig.append(k.view(np.int64))
                 cls.append(np.full(len(k), own, np.int64))
-                size.append(np.full(len(k), len(values), np.int32))
                 held += len(k)
             if held > 200_000:
-                yield _key_batch(sig, cls, size)
-                sig, cls, size, held = [], [], [], 0
+                yield _key_batch(sig, cls)
+                sig, cls, held = [], [], 0
         if held:
-            yield _key_batch(sig, cls, size)
+            yield _key_batch(sig, cls)
         if len(seen) > 2_000_000:
             seen.clear()
 
 
-def _key_batch(sig: list, cls: list, size: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(x)) for x in (sig, cls, size)], names=["sig", "cls", "n"]
-    )
+def _key_batch(sig: list, cls: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls)], names=["sig", "cls"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +241,7 @@ def link_documents(
     )
     boundary = choose_boundary(sizes, percent)
     posted = base.select("text").mapInArrow(
-        partial(_keys, width=width, percent=percent, boundary=boundary), "sig long, cls long, n int"
+        partial(_keys, width=width, percent=percent, boundary=boundary), "sig long, cls long"
     )
     of_list = W.partitionBy("sig")
     lists = scratch.save(
@@ -254,16 +251,14 @@ def link_documents(
     )
     scratch.release()
 
-    members = sizes.join(lists.select("cls").distinct(), "cls", "left_semi")
-    none = F.lit(-(2**63))
-    chosen = scratch.save(members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), none).alias("doc_id"), F.max("n_shingles").alias("n"), *[F.max(w).alias(w) for w in WORDS]), "chosen")
-    own = F.coalesce(F.col("doc_id").cast("long"), none)
-    near = with_maybe(base, own, key_filter(chosen, "doc_id"), "_maybe").filter("_maybe").select("text")
-    known = scratch.save(
-        near.mapInArrow(partial(_sets, width=width), "cls long, n long, members array<long>, wide array<long>")
-        .groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "members", "wide")]),
-        "sets",
+    listed = scratch.save(lists.select("cls").distinct(), "listed")
+    chosen = scratch.save(
+        sizes.join(listed, "cls", "left_semi").groupBy("cls")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.max("n_shingles").alias("n"), *[F.max(w).alias(w) for w in WORDS]),
+        "chosen",
     )
+    scratch.release()
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
     # A linked pair has at most (n + nx) * (100 - percent) / (100 + percent) different elements.
     apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
@@ -274,16 +269,26 @@ def link_documents(
     x_marks = marks.select(F.col("cls").alias("x"), F.col("n").alias("nx"), *[F.col(w).alias(f"x_{w}") for w in WORDS])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """``pairs`` (a, b), saved, with whether they link; their classes' sets come from one document each."""
+        needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        documents = chosen.join(needed, "cls", "left_semi").select(F.xxhash64("of.doc_id", "of.text_key").alias("key"))
+        near = with_maybe(base, own, key_filter(scratch.save(documents, f"needed-{name}"), "key"), "_maybe").filter("_maybe").select("text")
+        # Rows that pass by chance, or repeat, add sets that no pair needs or has already: pairs are made distinct again.
+        known = scratch.save(near.mapInArrow(partial(_sets, width=width), "cls long, n long, members array<long>, wide array<long>"), f"sets-{name}")
         wide_a = known.select(F.col("cls").alias("a"), "n", "wide")
         wide_b = known.select(F.col("cls").alias("b"), F.col("n").alias("nx"), F.col("wide").alias("x_wide"))
-        pairs = scratch.save(pairs.join(wide_a, "a").join(wide_b, "b").filter(still_near).select("a", "b"), f"near-{name}")
+        pairs = scratch.save(pairs.join(wide_a, "a").join(wide_b, "b").filter(still_near).select("a", "b").distinct(), f"near-{name}")
         scratch.release()
         a = known.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
         b = known.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - F.col("both")
         full = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-        return scratch.save(full.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked")), name)
+        checked = scratch.save(full.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked")).distinct(), name)
+        for old in (f"sets-{name}", f"near-{name}", f"needed-{name}"):
+            scratch.drop(old)
+        scratch.release()
+        return checked
 
     first = lists.filter("cls <> rep").groupBy(F.col("cls").alias("b")).agg(F.min("rep").alias("a"))
     weights = scratch.save(lists.groupBy("cls").agg(F.sum("held").alias("weight")), "weights")
@@ -309,10 +314,10 @@ def link_documents(
     main = parts.groupBy("sig").agg(
         F.max(F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     ).filter("roots > 1").select("sig", F.col("main.root").alias("main"))
-    open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "n", "root", "main"), "open")
+    open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "root", "main"), "open")
     scratch.drop("lists")
     scratch.release()
-    mixed = scratch.save(open_lists.join(marks.drop("n"), "cls"), "mixed")
+    mixed = scratch.save(open_lists.join(marks, "cls"), "mixed")
     scratch.drop("open")
     scratch.release()
     minor = mixed.filter("root <> main").select(
@@ -336,7 +341,7 @@ def link_documents(
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(rooted.join(named, "root").select("cls", "root", "component_id"), "lookup")
-    for name in ("sets", "chosen", "asked", "close", "pairs"):
+    for name in ("listed", "chosen", "asked", "close", "pairs"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(

@@ -76,7 +76,29 @@ MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in row order, and each row's first word (one more entry ends it)."""
+    """The hashes of all words in row order, and each row's first word (one more entry ends it).
+
+    A long text is hashed in parts that end where a word does: a word's hash depends on its bytes only.
+    """
+    if len(offsets) == 2 and len(raw) > 2 * CHUNK:
+        parts, at = [], 0
+        while at < len(raw):
+            end = at + CHUNK
+            while end < len(raw):  # to the next byte between words
+                gap = np.flatnonzero(between[raw[end : end + CHUNK]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end += CHUNK
+            end = min(end, len(raw))
+            parts.append(_word_hashes(raw[at:end], np.array([0, end - at]), between)[0])
+            at = end
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
+    return _word_hashes(raw, offsets, between)
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -112,6 +134,9 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     A row with fewer words than ``width`` has one shingle of all its words; without words, none.
     """
     counts = np.diff(firsts)
+    if len(counts) == 1 and counts[0] >= width:  # a long text by itself: no need to place its runs among others
+        run = _fold([hashes[j : len(hashes) - width + 1 + j] for j in range(width)])
+        return run, np.array([0, len(run)])
     made = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     out_first = np.zeros(len(firsts), np.int64)
     np.cumsum(made, out=out_first[1:])

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import langid, license_scan, mixing, ngram_join, packing, sharding, suffix_dedup, token_files
@@ -457,3 +458,43 @@ def test_license_scan_finds_whole_licences_without_the_notices(spark):
     got = {(r.doc_id, r.template_id) for r in license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(k, n) for k, n in enumerate(names)} <= got
     assert not {d for d, n in got if d == 99 and n == "MIT"}
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from ledgerline.llm import words
+
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(30_000)) + " " + "y" * 5000 + "\n end"
+    column = pa.array([text, "a b"])
+    (_, raw, offsets), = words.text_chunks(column)
+    want, firsts = words.word_hashes(raw, offsets)
+    monkeypatch.setattr(words, "CHUNK", 1000)
+    (_, raw, offsets), _ = words.text_chunks(column)
+    got, ends = words.word_hashes(raw, offsets)
+    assert np.array_equal(got, want[: firsts[1]]) and ends.tolist() == [0, len(got)]
+    shingles, edges = words.shingles(got, ends, 5)
+    both, starts = words.shingles(want, firsts, 5)
+    assert np.array_equal(shingles, both[: starts[1]]) and edges.tolist() == [0, len(shingles)]
+
+
+def test_a_text_of_80_mb_takes_less_than_a_gigabyte(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from ledgerline.llm import ngram_join
+words = [str(k) * 2 for k in range(99991)]
+text = " ".join(words[k * 7919 % 99991] for k in range(7_600_000))
+assert len(text) > 80_000_000
+batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for row, values in ngram_join._rows(batch, 5):
+    assert len(values) > 7_000_000 or len(values) == 99991
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
