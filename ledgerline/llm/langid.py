@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.llm.common import tidied
+
 #: Bytes of a language's dictionary, sampled documents, and characters of one that go in.
 DICTIONARY, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 17, 256, 4000
 #: Bytes compressed at a time, and zstandard's level, the cheapest of the best by held-out errors
@@ -56,6 +58,7 @@ def train(labelled: DataFrame, *, dictionary: int = DICTIONARY) -> dict[str, byt
     return {lang: b"\n".join(reversed(parts))[-dictionary:] for lang, parts in sorted(texts.items())}
 
 
+@tidied
 def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text: str) -> Iterator[pa.RecordBatch]:
     import zstandard
 

@@ -9,8 +9,9 @@ CONTAINED * m / (m + s - 1 + (1 - CONTAINED) * m) for m shingles; there are as m
 MinHash value as give such a window a collision with probability GUARANTEE.  A window that
 collides is verified: the share of the template's shingles that it holds.
 
-Only rows that hold enough of a template's shingles anywhere are looked at in windows, which
-loses none: a window's shingles are the row's.  Nothing moves between tasks: templates are a small checked table that goes with the function.
+The minima of all windows of a band come from minima of runs of 1, 2, 4 ... shingles, which all
+families of one shingle width share.  A row with fewer shingles than a match needs has no windows.
+Nothing moves between tasks: templates are a small checked table that goes with the function.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import pack
+from ledgerline.llm.common import pack, tidied
 from ledgerline.llm.words import MARKS, mix, shingles, text_chunks, word_hashes
 
 _U = np.uint64
 WIDTH, CONTAINED, GUARANTEE = 5, 0.8, 0.9999
 #: Templates and words of all of them that a scan takes.
 MAX_TEMPLATES, MAX_WORDS = 5_000, 2_000_000
+#: Shingles whose windows are looked at together.
+PART = 1 << 18
 
 #: Public licence notices, as their owners ask to write them.
 NOTICES = (
@@ -99,64 +102,75 @@ def families(templates: list[tuple[str, str]]) -> list[Family]:
     return out
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each run of ``width`` values."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        values = np.minimum(values[: len(values) - step], values[step:])
-        have += step
-    return values
+def _windows(counts: np.ndarray, starts: np.ndarray, f: Family) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first shingle, end) of a family's windows over rows of so many shingles; a row that can't hold enough has none.
 
-
-def _matches(made: np.ndarray, f: Family) -> Iterator[tuple[int, int, float]]:
-    """(first shingle, template, containment) of verified windows over one run of shingles."""
+    A row of at most one window's shingles is one window; else the last window ends with the row.
+    """
     span = max(1, f.words + f.stride - 1 - f.width + 1)
-    if len(made) < span:  # the end of a short text is one window of its own
-        made = np.concatenate([made, np.full(span - len(made), made[-1])])
-    met: set[tuple[int, int]] = set()
-    tail = len(made) - span
-    for band in range(f.bands):
-        least = _least(_permuted(made, band), span)
-        starts = np.arange(0, len(least), f.stride)
-        if starts[-1] != tail:
-            starts = np.append(starts, tail)
-        least = least[starts]
-        for k in range(len(f.ids)) if len(f.ids) <= 4 else ():
-            met.update((int(starts[i]), k) for i in np.flatnonzero(least == f.values[band, k]))
-        if len(f.ids) > 4:
-            order = np.argsort(f.values[band])
-            sorted_values = f.values[band][order]
-            low, high = np.searchsorted(sorted_values, least, "left"), np.searchsorted(sorted_values, least, "right")
-            for i in np.flatnonzero(high > low):
-                met.update((int(starts[i]), int(order[j])) for j in range(low[i], high[i]))
-    for start, k in sorted(met):
-        share = float(np.isin(f.members[k], made[start : start + span]).mean())
-        if share >= CONTAINED - 1e-12:
-            yield start, k, share
-
-
-def _held(made: np.ndarray, starts: np.ndarray, group: list[Family]) -> list[np.ndarray]:
-    """For each family, the rows that hold at least the share CONTAINED of one of its templates."""
-    known = np.unique(np.concatenate([m for f in group for m in f.members]))
-    at = np.minimum(np.searchsorted(known, made), len(known) - 1)
-    hit = np.flatnonzero(known[at] == made)
-    owner = np.searchsorted(starts, hit, side="right") - 1
-    # (row, shingle) once each: a template needs so many different ones.
-    pairs = np.unique(owner * len(known) + at[hit])
-    owner, which = np.divmod(pairs, len(known))
-    out = []
-    for f in group:
-        rows: set[int] = set()
-        for m in f.members:
-            mine = np.zeros(len(known), bool)
-            mine[np.searchsorted(known, m)] = True
-            found, count = np.unique(owner[mine[which]], return_counts=True)
-            rows.update(found[count >= ceil(CONTAINED * len(m) - 1e-9)].tolist())
-        out.append(np.array(sorted(rows), np.int64))
+    least = min(ceil(CONTAINED * len(m) - 1e-9) for m in f.members)
+    rows = np.flatnonzero(counts >= least)
+    room = np.maximum(counts[rows] - span, 0)
+    number = -(-room // f.stride) + 1
+    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    begin = np.minimum(place * f.stride, np.repeat(room, number))
+    row = np.repeat(rows, number)
+    return row, starts[row] + begin, starts[row] + np.minimum(begin + span, counts[row])
+
+
+def _least_of(values: np.ndarray, low: np.ndarray, high: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The minimum of values[low:high] for each pair, from minima of runs of 1, 2, 4 ... that ``levels`` gathers."""
+    if not levels:
+        levels.append(values)
+    top = np.frexp(high - low)[1] - 1
+    while len(levels) <= top.max(initial=0):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    out = np.empty(len(low), np.uint64)
+    for k in np.unique(top):
+        at = np.flatnonzero(top == k)
+        out[at] = np.minimum(levels[k][low[at]], levels[k][high[at] - (1 << int(k))])
     return out
 
 
+def _retrieved(made: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], group: list[Family]) -> list[np.ndarray]:
+    """For each family the (window, template) pairs that share a MinHash value in some band.
+
+    ``made`` is gone through PART shingles at a time, with the windows that begin there.
+    """
+    met: list[list[np.ndarray]] = [[] for _ in group]
+    for part in range(0, max(len(made), 1), PART):
+        inside = [np.arange(*np.searchsorted(low, [part, part + PART])) if np.all(low[1:] >= low[:-1]) else np.flatnonzero((low >= part) & (low < part + PART))
+                  for _, low, _ in windows]
+        end = max([int(high[at].max()) for at, (_, _, high) in zip(inside, windows) if len(at)], default=part)
+        for band in range(max(f.bands for f in group)):
+            levels: list[np.ndarray] = []
+            values = None
+            for f, at, (_, low, high), out in zip(group, inside, windows, met):
+                if band >= f.bands or not len(at):
+                    continue
+                if values is None:
+                    values = _permuted(made[part:end], band)
+                least = _least_of(values, low[at] - part, high[at] - part, levels)
+                order = np.argsort(f.values[band])
+                ranked = f.values[band][order]
+                first, last = np.searchsorted(ranked, least, "left"), np.searchsorted(ranked, least, "right")
+                for i in np.flatnonzero(last > first):
+                    out += [np.array([at[i], order[j]]) for j in range(first[i], last[i])]
+    return [np.unique(np.array(m).reshape(-1, 2), axis=0) for m in met]
+
+
+def _matches(made: np.ndarray, counts: np.ndarray, starts: np.ndarray, group: list[Family]) -> Iterator[tuple[Family, int, int, int, float]]:
+    """(family, row, template, first shingle in the row, containment) of the retrieved windows that hold enough."""
+    windows = [_windows(counts, starts, f) for f in group]
+    for f, (row, low, high), met in zip(group, windows, _retrieved(made, windows, group)):
+        for window, k in met.tolist():
+            share = float(np.isin(f.members[k], made[low[window] : high[window]]).mean())
+            if share >= CONTAINED - 1e-12:
+                yield f, int(row[window]), k, int(low[window] - starts[row[window]]), share
+
+
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
     by_width: dict[int, list[Family]] = {}
     for f in families(templates):
@@ -165,25 +179,23 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]]) -
         out: list[list] = [[] for _ in range(5)]
         for first, raw, offsets in text_chunks(batch.column("text")):
             hashes, firsts = word_hashes(raw, offsets, MARKS)
-            counts = np.diff(firsts)
+            words = np.diff(firsts)
             for width, group in by_width.items():
-                if not (counts >= width).any():
+                if not (words >= width).any():
                     continue
                 made, starts = shingles(hashes, firsts, width)
-                for f, rows in zip(group, _held(made, starts, group)):
-                    for row in rows:
-                        if counts[row] < width:
-                            continue
-                        best: dict[int, list] = {}
-                        for start, k, share in _matches(made[starts[row] : starts[row + 1]], f):
-                            best.setdefault(k, []).append((start, share))
-                        for k, windows in best.items():
-                            spans, at = 0, -f.words
-                            for start, _ in windows:
-                                if start - at >= f.words:
-                                    spans, at = spans + 1, start
-                            for column, value in zip(out, (first + row, f.ids[k], spans, max(s for _, s in windows), windows[0][0])):
-                                column.append(value)
+                counts = np.where(words >= width, np.diff(starts), 0)
+                found: dict[tuple[int, str], list] = {}
+                for f, row, k, start, share in _matches(made, counts, starts, group):
+                    found.setdefault((row, f.ids[k]), []).append((start, share, f.words))
+                for (row, name), places in sorted(found.items()):
+                    places.sort()
+                    spans, at = 0, -places[0][2]
+                    for start, _, length in places:
+                        if start - at >= length:
+                            spans, at = spans + 1, start
+                    for column, value in zip(out, (first + row, name, spans, max(s for _, s, _ in places), places[0][0])):
+                        column.append(value)
         take = pa.array(out[0], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(take), batch.column("_rest").take(take), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int64())],
@@ -197,7 +209,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: DataFrame | N
     ``templates`` has (template_id, text), by default ``licences()``; MAX_TEMPLATES and MAX_WORDS bound
     it, more is an error.  ``containment`` is the best window's share of the template's shingles,
     ``first_word`` where the first such window starts, ``n_spans`` counts places that lie apart.
-    Null and empty texts and templates match nothing.  Repeated rows have rows of their own;
+    Null and empty texts and templates match nothing; a null doc_id stays null.  Repeated rows have rows of their own;
     ``_rest`` holds the table's other columns.
     """
     rows = licences()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, components, key_filter, pack, unpack, with_maybe
+from ledgerline.llm.common import Scratch, components, key_filter, pack, tidied, unpack, with_maybe
 from ledgerline.llm.words import mix, shingles, text_chunks, word_hashes
 
 _U = np.uint64
@@ -80,6 +80,7 @@ def _sketch(values: np.ndarray, wide: int = SKETCH) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+@tidied
 def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -142,6 +143,7 @@ def _heavy_keys(values: np.ndarray, percent: int, boundary: int) -> list[np.ndar
     return keys
 
 
+@tidied
 def _keys(batches: Iterator[pa.RecordBatch], width: int, percent: int, boundary: int) -> Iterator[pa.RecordBatch]:
     """Join keys of each set; of equal sets in a task, only the first posts."""
     seen: set[int] = set()
@@ -173,6 +175,7 @@ def _key_batch(sig: list, cls: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls)], names=["sig", "cls"])
 
 
+@tidied
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls, sets, wide, held = [], [], [], 0

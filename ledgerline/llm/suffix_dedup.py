@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, key_filter, pack, unpack, with_maybe
+from ledgerline.llm.common import Scratch, key_filter, pack, tidied, unpack, with_maybe
 from ledgerline.llm.words import _BYTE, CHUNK, _power_table, mix, text_chunks
 
 _U = np.uint64
@@ -106,6 +106,7 @@ def _combine(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     )
 
 
+@tidied
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for batch in batches:
@@ -122,6 +123,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _combine(parts)
 
 
+@tidied
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of listed runs of each text."""
     for batch in batches:
@@ -212,6 +214,7 @@ def earlier_matches(ranks: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return found
 
 
+@tidied
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs in order of (anchor, doc_id, tie, lo) to removed spans; anchors are sorted together until SORT_BYTES."""
     held: list[tuple] = []
@@ -250,6 +253,7 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+@tidied
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the runs of hot anchors with two hashes."""
     for batch in batches:
@@ -272,6 +276,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@tidied
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and their spans to the bytes that stay, a few megabytes at a time."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -434,6 +439,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return unpack(trimmed.mapInArrow(_decode, ddl), docs.columns, ["doc_id", "text"])
 
 
+@tidied
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = [k.as_py().decode("utf-8", "ignore") for k in batch.column("kept")]

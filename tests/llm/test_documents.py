@@ -498,3 +498,67 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) < 1000
+
+
+def brute_scan(rows, templates):
+    """(doc_id, template) -> (spans, best share, first word) over every window, by plain sets."""
+    import re
+
+    split = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+    def cut(text):
+        return split.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+    out = {}
+    for name, text in templates:
+        t = cut(text)
+        width, stride = min(5, len(t)), max(1, len(t) // 4)
+        have = {tuple(t[k : k + width]) for k in range(len(t) - width + 1)}
+        for doc_id, body, *_ in rows:
+            w = cut(body)
+            made = [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+            if not made or not have.intersection(made):
+                continue
+            span = len(t) + stride - width
+            starts = sorted({*range(0, max(len(made) - span, 0) + 1, stride), max(len(made) - span, 0)})
+            shares = [(s, len(have.intersection(made[s : s + span])) / len(have)) for s in starts]
+            shares = [(s, x) for s, x in shares if x >= 0.8 - 1e-12]
+            if shares:
+                spans, at = 0, -len(t)
+                for s, _ in shares:
+                    if s - at >= len(t):
+                        spans, at = spans + 1, s
+                out[doc_id, name] = (spans, max(x for _, x in shares), shares[0][0])
+    return out
+
+
+def test_license_scan_of_all_templates_equals_every_window(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    whole = license_scan.licences()
+    filler = [f"word{k}" for k in range(400)]
+    rows = []
+    for k, (name, text) in enumerate(whole):
+        words = text.split()
+        kept = [w for w in words if rng.random() > 0.01]
+        before, after = (" ".join(rng.choice(filler, rng.integers(0, 300))) for _ in "ab")
+        rows += [(10 * k, text), (10 * k + 1, f"{before} {text} {after} {text}"), (10 * k + 2, f"{before} {' '.join(kept)} {after}"),
+                 (10 * k + 3, " ".join(words[: int(len(words) * 0.85)])), (10 * k + 4, " ".join(words[: int(len(words) * 0.6)])),
+                 (10 * k + 5, " ".join(rng.permutation(words)))]
+    rows += [(None, whole[0][1]), (5001, None), (5002, ""), (5003, "one")]
+    want = brute_scan(rows, whole)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part in (1 << 18, 1000):
+        monkeypatch.setattr(license_scan, "PART", part)
+        got = license_scan._scan(iter([pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.nulls(len(rows), pa.int64())], names=["doc_id", "text", "_rest"])]), whole)
+        found = {(r["doc_id"], r["template_id"]): (r["n_spans"], pytest.approx(r["containment"]), r["first_word"]) for b in got for r in b.to_pylist()}
+        assert found == want
+    monkeypatch.undo()
+    assert {(r.doc_id, r.template_id) for r in license_scan.scan_licenses(spark, df).collect()} == set(want)
+    # Nothing is found but through the bands.
+    made = license_scan.families(whole)
+    for f in made:
+        f.values[:] = 0
+    monkeypatch.setattr(license_scan, "families", lambda _: made)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([whole[0][1]]), pa.nulls(1, pa.int64())], names=["doc_id", "text", "_rest"])
+    assert sum(b.num_rows for b in license_scan._scan(iter([batch]), whole)) == 0
