@@ -35,8 +35,14 @@ BLOCK, QUERIES = 8192, 2048
 TOGETHER, SAMPLE = 64, 256
 
 
-def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, ids, distances) of the k nearest that the collision counts find in a block."""
+def search_block(
+    data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int, own: tuple[np.ndarray, np.ndarray] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, block rows, distances) of the k nearest that the collision counts find in a block.
+
+    ``own`` names the vectors and the queries; one of a query's name isn't its candidate (by default: of its id).
+    """
+    names, skipped = own or (ids, query_ids)
     n, d = data.shape
     axes = np.random.default_rng(seed).standard_normal((d, PROJECTIONS))
     values = np.ascontiguousarray((data @ axes).T)
@@ -51,7 +57,7 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
         low = np.stack([np.searchsorted(a, c) for a, c in zip(arrays, centres[:, rows])])
         high = low.copy()
         counts = np.zeros((len(rows), n), np.int32)
-        tested = ids[None, :] == query_ids[rows][:, None]
+        tested = names[None, :] == skipped[rows][:, None]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(rows)
         active = np.arange(len(rows))
         while len(active):
@@ -68,10 +74,10 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
                 new = np.flatnonzero((counts[q] >= needed) & ~tested[q])
                 if len(new):
                     tested[q, new] = True
-                    gap = data[new] - queries[rows[q]]
-                    dist = np.concatenate([best[q][0], np.sqrt(np.einsum("ij,ij->i", gap, gap))])
-                    found = np.concatenate([best[q][1], ids[new]])
-                    keep = np.lexsort((found, dist))[:k]
+                    gap = data[new] - queries[rows[q]]  # squares are added up from the first component on
+                    dist = np.concatenate([best[q][0], np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])])
+                    found = np.concatenate([best[q][1], new])
+                    keep = np.lexsort((names[found], ids[found], dist))[:k]
                     best[q] = dist[keep], found[keep]
                 full = len(best[q][0]) >= k and best[q][0][-1] <= radius[q]
                 # With every array open, every vector has met the query in all of them.
@@ -96,47 +102,60 @@ def first_radii(data: np.ndarray, queries: np.ndarray, k: int, seed: int) -> np.
     return 0.5 * np.sqrt(np.where(squares > least, squares, least + np.finfo(np.float64).tiny).min(axis=1))
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("asker", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
 
-def _search(key: tuple, left: pa.Table, right: pa.Table, k: int, seed: int) -> pa.Table:
+def _search(left: pa.Table, right: pa.Table, k: int, seed: int, by_row: bool) -> pa.Table:
     """One block and one group of queries."""
     if not len(left) or not len(right):
         return _FOUND.empty_table()
     data, queries = matrix(left.column("embedding")), matrix(right.column("embedding"))
-    ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-    out: list[list[np.ndarray]] = [[], [], []]
-    for q, found, dist in search_block(data, ids, queries, query_ids, k, seed):
-        out[0].append(np.full(len(found), query_ids[q]))
-        out[1].append(found)
-        out[2].append(dist)
+    ids, query_ids, rows, askers = (t.column(c).to_numpy() for t, c in ((left, "vec_id"), (right, "vec_id"), (left, "row"), (right, "row")))
+    out: list[list[np.ndarray]] = [[np.empty(0, f.type.to_pandas_dtype())] for f in _FOUND]
+    for q, found, dist in search_block(data, ids, queries, query_ids, k, seed, (rows, askers) if by_row else None):
+        told = (np.full(len(found), askers[q]), np.full(len(found), query_ids[q]), ids[found], rows[found], dist)
+        for column, values in zip(out, told):
+            column.append(values)
     return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(out, _FOUND)], schema=_FOUND)
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: int = 10, seed: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found by Euclidean distance, the query's own id left out.
+def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame | str, *, k: int = 10, seed: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest found by Euclidean distance.
 
-    Both tables have (vec_id, embedding).  Vectors that are null, empty, zero or hold null or
+    ``vectors`` has (vec_id, embedding).  ``queries`` is a condition on its rows, and a query's own
+    row is no candidate (another row of its id is); or a table of its own (vec_id, embedding), and
+    the vectors of a query's id are left out.  Vectors that are null, empty, zero or hold null or
     non-finite components take no part; vectors of another length than a query's aren't its
     candidates.  Ties go to the smaller vec_id.  A query with fewer candidates than k gets all
-    of them; without candidates it has no row.  Repeated ids among the vectors are candidates
-    of their own; a null vec_id takes no part.  Other columns are ignored.
+    of them; without candidates it has no row.  Rows of one id are queries and candidates of their
+    own; a null vec_id takes no part.  Other columns are read by the condition only.
     """
     scratch = Scratch(spark, "collision-ann")
-    data = scratch.save(taking_part(vectors).filter("vec_id is not null").withColumn("dim", F.size("embedding")), "vectors")
-    asked = scratch.save(taking_part(queries).filter("vec_id is not null").withColumn("dim", F.size("embedding")), "queries")
+    by_row = isinstance(queries, str)
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        kept = df.filter("vec_id is not null").withColumn("dim", F.size("embedding"))
+        return scratch.save(kept.withColumn("row", F.monotonically_increasing_id()), name)
+
+    if by_row:
+        asks = F.coalesce(F.expr(queries), F.lit(False))
+        data = numbered(taking_part(vectors.withColumn("_asks", asks), "_asks"), "vectors")
+        asked = scratch.save(data.filter("_asks").drop("_asks"), "queries")
+        data = data.drop("_asks")
+    else:
+        data, asked = numbered(taking_part(vectors), "vectors"), numbered(taking_part(queries), "queries")
     blocks = max(1, -(-data.count() // BLOCK))
     groups = max(1, -(-asked.count() // QUERIES))
-    left = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn(
+    left = data.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
-    right = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int")).withColumn(
+    right = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(groups)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     )
     keys = ["dim", "block", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        lambda key, left, right: _search(key, left, right, k, seed), "query_id long, vec_id long, score double"
+        lambda key, left, right: _search(left, right, k, seed, by_row), "asker long, query_id long, vec_id long, row long, score double"
     )
-    of_query = W.partitionBy("query_id").orderBy("score", "vec_id")
+    of_query = W.partitionBy("asker").orderBy("score", "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -50,8 +50,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = embeddings(spark, sf_dir)
-    return collision_ann.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+    return collision_ann.nearest(spark, embeddings(spark, sf_dir), "vec_id % 100 = 0", k=10)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +93,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The other queries have no SQL form that runs over whole tables; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
+    # Shingles are texts of three words; pairs meet on shingles they share, components by following links.
+    "op2_ngram_join": r"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) END AS s
+  FROM cut
+), classes AS (
+  SELECT list_sort(s) AS s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL
+), numbered AS (SELECT row_number() OVER () AS k, * FROM classes
+), shared AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS i
+  FROM (SELECT k, n, unnest(s) AS t FROM numbered) a JOIN (SELECT k, n, unnest(s) AS t FROM numbered) b ON a.t = b.t AND a.k <> b.k
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN numbered a ON x = a.k JOIN numbered b ON y = b.k WHERE 100 * i >= 90 * (a.n + b.n - i)
+), reach AS (
+  SELECT k AS x, k AS y FROM numbered UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), named AS (SELECT x AS k, min(c) AS component_id FROM reach JOIN numbered ON y = k GROUP BY x)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, COALESCE(named.component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN numbered ON list_sort(sets.s) = numbered.s LEFT JOIN named USING (k)""",
+    # Distances and cosines in double precision; the search finds all of them on these tables.
+    "op6_collision_ann": """
+WITH good AS (
+  SELECT vec_id, [c::DOUBLE for c in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
+    AND len([c for c in embedding if c <> 0]) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
+WHERE rank <= 10""",
+    "op8_rabitq_dedup": """
+WITH RECURSIVE good AS (
+  SELECT vec_id, [c::DOUBLE for c in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
+    AND len([c for c in embedding if c <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), named AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named""",
     # Products of whole numbers below 2^53 are exact as doubles.
     "op12_metric_tree": """
 WITH whole AS (

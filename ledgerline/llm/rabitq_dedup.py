@@ -50,27 +50,32 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Unit vector bytes and the key of each table."""
+    """The vector's own numbers and its key in each table."""
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         keys = np.zeros((batch.num_rows, tables), np.int64)
-        units: list[bytes] = [b""] * batch.num_rows
+        raw: list[bytes] = [b""] * batch.num_rows
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
             data = matrix(batch.column("embedding").take(pa.array(rows)))
-            unit = data / np.abs(data).max(axis=1, keepdims=True)
-            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            unit = _unit(data)
             planes = np.random.default_rng([seed, int(dim), 1]).standard_normal((int(dim), bits * tables))
             signs = (unit @ planes > 0).reshape(len(rows), tables, bits)
             keys[rows] = signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-            for row, u in zip(rows, unit):
-                units[row] = u.tobytes()
+            short = data.astype("<f4")
+            for row, single, double in zip(rows, short, data):  # half the bytes where they lose nothing
+                raw[row] = single.tobytes() if np.array_equal(single, double) else double.astype("<f8").tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("copies"), batch.column("dim"), pa.array(units, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-            names=["node", "copies", "dim", "unit", "keys"],
+            [batch.column("node"), batch.column("copies"), batch.column("dim"), pa.array(raw, pa.binary()), pa.array(list(keys.astype(np.uint32)), pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))],
+            names=["node", "copies", "dim", "raw", "keys"],
         )
 
 
+def _unit(data: np.ndarray) -> np.ndarray:
+    unit = data / np.abs(data).max(axis=1, keepdims=True)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
 def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows (i, j) of unit vectors with an inner product of the threshold or more, and the pairs computed exactly."""
     dim = x.shape[1]
@@ -112,8 +117,9 @@ def _compare(key: tuple, table: pa.Table, threshold: float, seed: int) -> pa.Tab
     side = table.column("side").to_numpy()
     keys = matrix(table.column("keys")).astype(np.int64)
     nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-    units = table.column("unit").combine_chunks()
-    x = np.frombuffer(b"".join(u.as_py() for u in units), np.float64).reshape(len(nodes), -1)
+    dim = table.column("dim")[0].as_py()
+    raw = table.column("raw").to_pylist()
+    x = _unit(np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(np.float64) for r in raw]))
     left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
     if not len(left) or not len(right):
         return _LINKS.empty_table()
@@ -140,23 +146,26 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, *, threshold: float =
     ignored; an empty table gives no rows.
     """
     scratch = Scratch(spark, "rabitq")
-    own = F.xxhash64("embedding").bitwiseAND(F.lit((1 << 63) - 1))
-    good = taking_part(vectors).withColumns({"node": own, "dim": F.size("embedding")})
-    rows = scratch.save(good.select("vec_id", "node"), "rows")
+    # Equal vectors are told by 128 bits of two hashes; their node is a number of its own.
+    alike = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(seed), "embedding"), "dim": F.size("embedding")}
+    good = taking_part(vectors).withColumns(alike)
+    rows = scratch.save(good.select("vec_id", *alike), "rows")
     nodes = scratch.save(
-        good.groupBy("node").agg(
-            F.first("embedding").alias("embedding"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("copies"),
-            F.min("vec_id").alias("first_id"),
-        ),
+        good.groupBy(*alike).agg(
+            F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     n = nodes.count()
     bits, tables = plan_tables(n, threshold)
-    keyed = nodes.select("node", "copies", "dim", "embedding").repartition(max(8, n // 4096)).mapInArrow(
-        partial(_keys, bits=bits, tables=tables, seed=seed), "node long, copies long, dim int, unit binary, keys array<long>"
+    keyed = scratch.save(
+        nodes.select("node", "copies", "dim", "embedding").repartition(max(8, n // 4096)).mapInArrow(
+            partial(_keys, bits=bits, tables=tables, seed=seed), "node long, copies long, dim int, raw binary, keys array<long>"
+        ),
+        "keyed",
     )
-    posted = keyed.select("node", "copies", "dim", "unit", "keys", F.posexplode("keys").alias("number", "key"))
-    posted = scratch.save(posted, "posted")
+    # Only numbers are posted; a vector's own data joins the tiles that it is in.
+    posted = keyed.select("node", "dim", F.posexplode("keys").alias("number", "key"))
     # A key with up to TILE vectors is one tile; a larger one has tiles that meet two by two.
     held = posted.groupBy("dim", "number", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     tiled = posted.join(held, ["dim", "number", "key"]).withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
@@ -165,7 +174,7 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, *, threshold: float =
         {"a": F.least("side", "with"), "b": F.greatest("side", "with")}
     )
     found = scratch.save(
-        meets.select("number", "a", "b", "key", "dim", "node", "copies", "unit", "keys", "side")
+        meets.select("number", "a", "b", "key", "dim", "node", "side").join(keyed.drop("dim"), "node")
         .groupBy("number", "a", "b", "key", "dim")
         .applyInArrow(lambda key, table: _compare(key, table, threshold, seed), "node long, links long, other long"),
         "found",
@@ -173,15 +182,15 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, *, threshold: float =
     roots = components(spark, found.select(F.col("node").alias("u"), F.col("other").alias("v")), scratch)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = scratch.save(
-        nodes.select("node", "copies", "first_id").join(sums, "node", "left").join(roots, "node", "left")
-        .select("node", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")),
+        nodes.select("node", *alike, "copies", "first_id").join(sums, "node", "left").join(roots, "node", "left")
+        .select(*alike, "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")),
         "rooted",
     )
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(
-        rooted.join(named, "root").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "lookup"
+        rooted.join(named, "root").select(*alike, (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "lookup"
     )
-    linked = rows.join(lookup, "node").select("vec_id", "n_links", "component_id")
+    linked = rows.join(lookup, [*alike]).select("vec_id", "n_links", "component_id")
     bad = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     alone = bad.filter(~usable("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     whole = linked.unionByName(alone)

@@ -15,10 +15,10 @@ def usable(column: str) -> Column:
     return F.coalesce(c.isNotNull() & ~bad & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def taking_part(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part, components as doubles."""
+def taking_part(vectors: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, embedding, more ...) of the rows that take part, components as doubles."""
     return vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *more
     ).filter(usable("embedding"))
 
 

@@ -65,3 +65,35 @@ def test_neighbours_reach_the_recall(spark, table, vectors):
     few = collision_ann.nearest(spark, table.filter("vec_id < 4"), table.filter("vec_id = 0"), k=10).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert collision_ann.nearest(spark, table.filter("vec_id < 0"), table, k=3).count() == 0
+
+
+def test_repeated_query_ids_are_searched_by_row(spark):
+    rng = np.random.default_rng(9)
+    data = rng.standard_normal((60, 6))
+    rows = [(k % 50, [float(x) for x in v]) for k, v in enumerate(data)]  # ids 0-9 stand twice
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collision_ann.nearest(spark, table, "vec_id % 5 = 0", k=4).collect()
+    want = []
+    for q, (name, _) in enumerate(rows):
+        if name % 5 == 0:
+            near = sorted((np.sqrt(((data[q] - data[j]) ** 2).sum()), rows[j][0]) for j in range(60) if j != q)[:4]
+            want += [(name, rank, v, round(float(d), 9)) for rank, (d, v) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_links_near_the_threshold_and_mixed_precision(spark):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((120, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((120, 64))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.linspace(0.93, 0.97, 120)[:, None]
+    data = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other, base[:10], base[:10] * 3])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
+    got = {r.vec_id: r for r in rabitq_dedup.link_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    sure = np.abs(unit @ unit.T - 0.95).min(axis=1) > 1e-12
+    assert all(got[k].n_links == linked[k].sum() for k in range(len(rows)) if sure[k]) and 60 < linked.sum() / 2 < 150
