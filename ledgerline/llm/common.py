@@ -43,11 +43,20 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+#: What Python workers keep from task to task; functions that don't need it let it go.
+CACHES: list[dict] = []
+
+
 def tidied(batches: Callable) -> Callable:
-    """A batch function that gives freed memory back when a task of it ends, as Python workers live on after it."""
+    """A batch function that lets other functions' caches go, and gives freed memory back when a task of it ends.
+
+    Python workers live on after a task, and hold what it held.
+    """
 
     @functools.wraps(batches)
     def run(*args, **kwargs):
+        for cache in CACHES:
+            cache.clear()
         try:
             yield from batches(*args, **kwargs)
         finally:

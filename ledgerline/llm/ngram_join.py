@@ -48,7 +48,7 @@ _U = np.uint64
 #: Boundaries that are compared, in units of 100 / (100 - percent) shingles.
 BOUNDARIES = (1, 2, 3)
 #: Cells of a set's odd sketch, in 64-bit words.
-SKETCH = 1024
+SKETCH = 2048
 #: Cells of the sketch that pairs are held against before their sets are fetched (1 KB a set).
 WIDE = 8192
 WORDS = [f"s{k}" for k in range(SKETCH // 64)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, heads_first, past_heads
+from ledgerline.llm.common import CACHES, Scratch, heads_first, past_heads
 from ledgerline.llm.words import mix
 
 #: Pairs in a bucket of the hash function, on average.
@@ -58,6 +58,7 @@ _VISIBLE = "[!-~\u00a1-\u167f]"
 _CUT = re.compile(f"(?<={_VISIBLE})(?=[ \\n])")
 _UNCUT = re.compile(f"(?<!{_VISIBLE})[ \\n]|\x00")
 _made: dict[tuple[str, str], Tokens] = {}
+CACHES.append(_made)
 
 
 def _file(name: str) -> str:

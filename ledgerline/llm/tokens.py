@@ -15,6 +15,8 @@ from collections import Counter
 
 import numpy as np
 
+from ledgerline.llm.common import CACHES
+
 #: Pieces in the small first cache, and in the large second one (about 200 bytes each).
 FRONT, BACK = 1 << 15, 1_500_000
 #: Longer pieces aren't cached.
@@ -26,6 +28,7 @@ _ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 _ENDS = tuple(a + b for a in " \n" for b in " \n")
 _made: dict[str, PieceTokenizer] = {}
+CACHES.append(_made)
 
 
 def tokenizer_path(name: str) -> str:
