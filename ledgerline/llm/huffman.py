@@ -81,22 +81,34 @@ class Codebook:
         return words[:-2].astype(">u4").tobytes(), bits, at[::STRIDE].astype(np.int64)
 
     def decode(self, payload: bytes, n: int, checkpoints: np.ndarray) -> np.ndarray:
-        """All ids of a block: every checkpoint starts a lane, and all lanes step together."""
-        out = np.zeros((len(checkpoints), STRIDE), np.uint32)
-        words = np.frombuffer(payload, ">u4").astype(np.uint64)
-        words = np.concatenate([words, np.zeros(2, np.uint64)])
-        pairs = (words[:-1] << np.uint64(32)) | words[1:]
-        at = np.asarray(checkpoints, np.int64).copy()
-        left = 64 - self.top
-        last = n - (len(checkpoints) - 1) * STRIDE if len(checkpoints) else 0
-        mask = np.uint64((1 << self.top) - 1)
-        for step in range(min(STRIDE, n)):
-            lanes = len(at) if step < last else len(at) - 1
-            if not lanes:
-                break
-            here = at[:lanes]
+        """All ids of a block."""
+        return self.decode_blocks([(payload, n, checkpoints)])[0]
+
+    def decode_blocks(self, blocks: list[tuple[bytes, int, np.ndarray]]) -> list[np.ndarray]:
+        """All ids of each block (payload, number of ids, checkpoints): every checkpoint starts a lane, and all lanes step together."""
+        words, starts, counts, base = [], [], [], 0
+        for payload, n, checkpoints in blocks:
+            mine = np.frombuffer(payload, ">u4").astype(np.uint64)
+            words += [mine, np.zeros(2, np.uint64)]  # a window may reach past the end
+            starts.append(np.asarray(checkpoints, np.int64) + 32 * base)
+            lanes = np.full(len(checkpoints), STRIDE, np.int64)
+            if len(lanes):
+                lanes[-1] = n - (len(lanes) - 1) * STRIDE
+            counts.append(lanes)
+            base += len(mine) + 2
+        joined = np.concatenate(words + [np.zeros(2, np.uint64)])
+        pairs = (joined[:-1] << np.uint64(32)) | joined[1:]
+        at, lanes = np.concatenate(starts + [np.zeros(0, np.int64)]), np.concatenate(counts + [np.zeros(0, np.int64)])
+        out = np.zeros((len(at), STRIDE), np.uint32)
+        left, mask = 64 - self.top, np.uint64((1 << self.top) - 1)
+        live, shortest = np.arange(len(at)), int(lanes.min(initial=STRIDE))
+        for step in range(int(lanes.max(initial=0))):
+            if step >= shortest:
+                live = live[lanes[live] > step]
+            here = at[live]
             window = (pairs[here >> 5] >> (left - (here & 31)).astype(np.uint64)) & mask
             entry = self.table[window]
-            out[:lanes, step] = entry >> np.uint32(5)
-            here += entry & np.uint32(31)
-        return out.reshape(-1)[:n]
+            out[live, step] = entry >> np.uint32(5)
+            at[live] = here + (entry & np.uint32(31))
+        edges = np.cumsum([0] + [len(c) for c in counts])
+        return [out[low:high].reshape(-1)[:n] for low, high, (_, n, _) in zip(edges, edges[1:], blocks)]

@@ -34,6 +34,8 @@ from ledgerline.llm.tokens import PieceTokenizer
 
 #: Ids in a block.
 BLOCK = 1 << 16
+#: Blocks whose lanes are decoded in step.
+TOGETHER = 16
 #: Documents' text bytes aimed at for a shard.
 SHARD_BYTES = 24 << 20
 
@@ -170,7 +172,10 @@ def _decode(batches: Iterator[pa.RecordBatch], lengths: bytes, with_ids: bool) -
     for batch in batches:
         for k in range(batch.num_rows):
             row = {c: batch.column(c)[k] for c in batch.schema.names}
-            ids = book.decode(row["payload"].as_buffer().to_pybytes(), row["n_ids"].as_py(), row["checkpoints"].values.to_numpy())
+            if k % TOGETHER == 0:
+                some = [{c: batch.column(c)[j] for c in ("payload", "n_ids", "checkpoints")} for j in range(k, min(k + TOGETHER, batch.num_rows))]
+                decoded = book.decode_blocks([(r["payload"].as_buffer(), r["n_ids"].as_py(), r["checkpoints"].values.to_numpy()) for r in some])
+            ids = decoded[k % TOGETHER]
             shard, first, at = row["shard"].as_py(), row["first"].as_py(), 0
             out: list[list] = [[] for _ in _PARTS]
             for ordinal, doc_id, n in zip(*(row[c].as_py() for c in ("ordinals", "doc_ids", "lengths"))):
