@@ -124,7 +124,7 @@ WITH good AS (
   WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
     AND len([c for c in embedding if c <> 0]) > 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum([(q.e[k] - c.e[k]) * (q.e[k] - c.e[k]) for k in range(1, len(q.e) + 1)])) AS score
   FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
