@@ -23,8 +23,10 @@ checked against these, the classes found linked are joined to components, and on
 list that lie in different components are checked after that.  Of those, a pair leaves the join
 only if the odd sketches of its sets (parities of their elements in SKETCH cells) differ in no
 more cells than a linked pair has different elements: each of them flips one cell, so no linked
-pair is lost.  In large sets most of these cells are even odds, so the pairs left are held against
-sketches of WIDE cells, by the same bound, before any whole set is sent for a pair.
+pair is lost.  Cells that are few for a set's size are even odds and tell nothing, so sets of LONG
+shingles and more are joined apart, with sketches whose cells grow with the set (a sketch of more
+cells folds to one of fewer); the pairs left are held against sketches of WIDE cells or more, by the
+same bound, before any whole set is sent for a pair.
 Components are whole: a pair left out joins two sets that are linked already.
 """
 
@@ -49,7 +51,9 @@ _U = np.uint64
 BOUNDARIES = (1, 2, 3)
 #: Cells of a set's odd sketch, in 64-bit words.
 SKETCH = 2048
-#: Cells of the sketch that pairs are held against before their sets are fetched (1 KB a set).
+#: Sets from which on a list's entries carry sketches of as many cells as half their shingles, or more.
+LONG = 2 * SKETCH
+#: Least cells of the sketch that pairs are held against before their sets are fetched (1 KB a set).
 WIDE = 8192
 WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
@@ -80,16 +84,40 @@ def _sketch(values: np.ndarray, wide: int = SKETCH) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def sketch_cells(n: int, least: int) -> int:
+    """Cells for a set of n: a power of two that is half of n or more, so that sketches of two sizes fold."""
+    return max(least, 1 << max(0, (n + 1) // 2 - 1).bit_length())
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: cells in which two sketches differ, the longer folded to the shorter one's cells."""
+    bits = "aggregate(zip_with({}, {}, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)"
+    fold = (
+        "aggregate(sequence(0, size({0}) div size({1}) - 1), array_repeat(0L, size({1})), "
+        "(f, i) -> zip_with(f, slice({0}, i * size({1}) + 1, size({1})), (p, q) -> p ^ q))"
+    )
+    return (
+        f"case when size({a}) = size({b}) then {bits.format(a, b)} when size({a}) > size({b}) "
+        f"then {bits.format(fold.format(a, b), b)} else {bits.format(a, fold.format(b, a))} end"
+    )
+
+
 @tidied
-def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch], width: int, enough: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        more: list[np.ndarray | None] = [None] * batch.num_rows
         n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         words = np.zeros((batch.num_rows, len(WORDS)), np.int64)
         for row, values in _rows(batch, width):
             n[row], cls[row], words[row] = len(values), _class_of(values), _sketch(values)
+            if len(values) >= enough:
+                more[row] = _sketch(values, sketch_cells(len(values), SKETCH))
         rest = [batch.column(c) for c in batch.schema.names if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(cls), *map(pa.array, words.T)], names=[*names, "n_shingles", "cls", *WORDS])
+        yield pa.RecordBatch.from_arrays(
+            [*rest, pa.array(n), pa.array(cls), pa.array(more, pa.list_(pa.int64())), *map(pa.array, words.T)],
+            names=[*names, "n_shingles", "cls", "more", *WORDS],
+        )
 
 
 def allowed(n: int, percent: int) -> int:
@@ -183,8 +211,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             if len(values):
                 cls.append(_class_of(values))
                 sets.append(values.view(np.int64))
-                wide.append(_sketch(values, WIDE))
-                held += len(values) + WIDE // 64
+                wide.append(_sketch(values, sketch_cells(len(values), WIDE)))
+                held += len(values) + len(wide[-1])
             if held > 1 << 18:
                 yield _set_batch(cls, sets, wide)
                 cls, sets, wide, held = [], [], [], 0
@@ -239,8 +267,13 @@ def link_documents(
     base = docs.select("doc_id", "text")
     keyed = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     words = ", ".join(f"{w} long" for w in WORDS)
+    enough = -(-percent * LONG // 100)  # partners of the sets of LONG shingles
     sizes = scratch.save(
-        keyed.mapInArrow(partial(_sizes, width=width), f"doc_id long, text_key long, n_shingles long, cls long, {words}"), "sizes"
+        keyed.mapInArrow(
+            partial(_sizes, width=width, enough=enough),
+            f"doc_id long, text_key long, n_shingles long, cls long, more array<long>, {words}",
+        ),
+        "sizes",
     )
     boundary = choose_boundary(sizes, percent)
     posted = base.select("text").mapInArrow(
@@ -257,7 +290,7 @@ def link_documents(
     listed = scratch.save(lists.select("cls").distinct(), "listed")
     chosen = scratch.save(
         sizes.join(listed, "cls", "left_semi").groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.max("n_shingles").alias("n"), *[F.max(w).alias(w) for w in WORDS]),
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.max("n_shingles").alias("n"), F.max("more").alias("more"), *[F.max(w).alias(w) for w in WORDS]),
         "chosen",
     )
     scratch.release()
@@ -267,7 +300,7 @@ def link_documents(
     apart = " + ".join(f"bit_count({w} ^ x_{w})" for w in WORDS)
     bound = f"* {100 + percent} <= (n + nx) * {100 - percent}"
     near_enough = f"({apart}) {bound}"
-    still_near = f"aggregate(zip_with(wide, x_wide, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k) {bound}"
+    still_near = f"({differing('wide', 'x_wide')}) {bound}"
     marks = chosen.select("cls", "n", *WORDS)
     x_marks = marks.select(F.col("cls").alias("x"), F.col("n").alias("nx"), *[F.col(w).alias(f"x_{w}") for w in WORDS])
 
@@ -320,20 +353,28 @@ def link_documents(
     open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "root", "main"), "open")
     scratch.drop("lists")
     scratch.release()
-    mixed = scratch.save(open_lists.join(marks, "cls"), "mixed")
+    # Short sets carry their sketch in columns, long ones in an array; each kind has its own join.
+    long_marks = chosen.filter(f"n >= {enough}").select("cls", "n", "more")
+    kinds = {
+        "short": (marks.filter(f"n < {LONG}"), near_enough, WORDS),
+        "long": (long_marks, f"greatest(n, nx) >= {LONG} and ({differing('more', 'x_more')}) {bound}", ["more"]),
+    }
+    found = []
+    for kind, (of_kind, alike, sketch) in kinds.items():
+        mixed = scratch.save(open_lists.join(of_kind, "cls"), f"mixed-{kind}")
+        minor = mixed.filter("root <> main").select(
+            "sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(w).alias(f"x_{w}") for w in sketch]
+        )
+        pairs = (
+            minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {alike}")
+            .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+            .join(close, ["a", "b"], "left_anti")
+        )
+        found.append(scratch.save(pairs, f"pairs-{kind}"))
+        scratch.drop(f"mixed-{kind}")
+        scratch.release()
     scratch.drop("open")
-    scratch.release()
-    minor = mixed.filter("root <> main").select(
-        "sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(w).alias(f"x_{w}") for w in WORDS]
-    )
-    pairs = (
-        minor.join(mixed, "sig").filter(f"root <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {near_enough}")
-        .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-        .join(close, ["a", "b"], "left_anti")
-    )
-    pairs = scratch.save(pairs, "pairs")
-    scratch.drop("mixed")
-    scratch.release()
+    pairs = found[0].unionByName(found[1])
     more = verified(pairs, "checked-1")
     scratch.release()
     again = edges.unionByName(more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -344,7 +385,7 @@ def link_documents(
     rooted = scratch.save(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = scratch.save(rooted.join(named, "root").select("cls", "root", "component_id"), "lookup")
-    for name in ("listed", "chosen", "asked", "close", "pairs"):
+    for name in ("listed", "chosen", "asked", "close", "pairs-short", "pairs-long"):
         scratch.drop(name)
     joined = sizes.join(lookup, "cls", "left")
     return joined.select(

@@ -136,6 +136,51 @@ def test_sketches_never_differ_more_than_the_sets(wide):
             assert flipped <= len(np.setxor1d(one, other))
 
 
+def test_sketches_fold_to_fewer_cells(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for size in (10, 900, 5000, 21_000):
+        one = np.sort(rng.integers(0, 2**63, size).astype(np.uint64))
+        for cut in (0, size // 20, size // 5):
+            other = one[cut:]
+            for wide, x_wide in ((2048, 2048), (4096, 2048), (2048, 8192), (ngram_join.sketch_cells(size, 64), ngram_join.sketch_cells(len(other), 64))):
+                rows.append([ngram_join._sketch(v, w).tolist() for v, w in ((one, wide), (other, x_wide))])
+                same = [ngram_join._sketch(v, min(wide, x_wide)) for v in (one, other)]
+                want.append(int(np.unpackbits((same[0] ^ same[1]).view(np.uint8)).sum()))
+                assert want[-1] <= cut
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<long>, b array<long>")
+    got = table.selectExpr("k", f"{ngram_join.differing('a', 'b')} as d").orderBy("k").collect()
+    assert [r.d for r in got] == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 130, 4096, 4097, 100_000])
+def test_sketches_have_cells_for_half_their_set(n):
+    made = ngram_join.sketch_cells(n, 64)
+    assert made >= 64 and made & (made - 1) == 0 and 2 * made >= n and (made == 64 or made < n)
+
+
+@pytest.mark.parametrize("from_size,width,percent", [(40, 5, 80), (200, 3, 90)])
+def test_ngram_join_of_long_sets_apart(spark, from_size, width, percent, monkeypatch):
+    """Near copies at every side of the border between short and long sets, a shared passage in unlinked texts."""
+    monkeypatch.setattr(ngram_join, "LONG", from_size)
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, texts = word(150), []
+    for k in range(40):
+        base = word(int(rng.integers(20, 300))) + passage * int(k % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(4):
+            edit = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(edit) // 30))):
+                edit[int(rng.integers(0, len(edit)))] = f"v{rng.integers(0, 10**6)}"
+            texts.append(" ".join(edit))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sizes, root = brute.jaccard_groups(texts, width, percent)
+    smallest = {g: min(v) for g, v in brute.grouped((root[k], k) for k in range(len(texts))).items()}
+    got = ngram_join.link_documents(spark, df, width=width, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, sizes[k], smallest[root[k]]) for k in range(len(texts))]
+
+
 def test_keep_first_keeps_one_of_each_group(spark, clashing, rows, empty):
     kept = ngram_join.keep_first(spark, clashing)
     assert kept.columns == clashing.columns
