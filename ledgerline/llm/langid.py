@@ -7,7 +7,8 @@ point.  A text is rejected when the runner-up's total is within ``margin`` of th
 
 The fit takes a bounded sample: for each language the training documents of least hash, until
 they fill DICTIONARY bytes (SAMPLE_CHARS characters of a document at most count here; predictions
-read whole texts).
+read whole texts).  Any number of languages will do: beyond MODEL_BYTES / DICTIONARY of them (256),
+each has an equal share of MODEL_BYTES, so the model that travels to the tasks never grows past it.
 """
 
 from __future__ import annotations
@@ -31,14 +32,17 @@ DICTIONARY, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 17, 256, 4000
 CHUNK, LEVEL = 4096, 11
 #: Bytes by which a dictionary must win for the score to double its odds.
 BYTES_PER_DOUBLING = 1.0
-#: Languages that a model may have; their dictionaries are broadcast.
-MAX_LANGUAGES = 256
+#: Bytes of all dictionaries, which travel with the tasks.
+MODEL_BYTES = 256 * DICTIONARY
+#: Languages whose coders a worker holds at a time, and texts times languages whose sizes it holds.
+CODERS, SIZES = 256, 1 << 22
 
 
 def train(labelled: DataFrame, *, dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries from (doc_id, text, lang) rows; null or empty texts and null lang are left out.
 
-    At most SAMPLE_DOCS documents of SAMPLE_CHARS characters reach the driver for a language.
+    At most SAMPLE_DOCS documents of SAMPLE_CHARS characters reach the driver for a language, a
+    partition at a time; it keeps what dictionaries can hold.  No rows give an empty model.
     """
     least = F.struct(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")).alias("h"), F.col("doc_id").cast("string").alias("d"))
     rows = labelled.filter("lang is not null and length(text) > 0").select(
@@ -50,46 +54,67 @@ def train(labelled: DataFrame, *, dictionary: int = DICTIONARY) -> dict[str, byt
     best = W.partitionBy("lang").orderBy("least", "text")
     chosen = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= SAMPLE_DOCS)
     texts: dict[str, list[bytes]] = {}
-    for r in chosen.orderBy("lang", "n").select("lang", "text").collect():
-        texts.setdefault(r.lang, []).append(r.text.encode())
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; a model holds {MAX_LANGUAGES}")
+    held: dict[str, int] = {}
+    share = lambda: min(dictionary, max(1, MODEL_BYTES // len(texts)))
+    for r in chosen.orderBy("lang", "n").select("lang", "text").toLocalIterator():
+        parts = texts.setdefault(r.lang, [])
+        if held.get(r.lang, 0) < share():
+            parts.append(r.text.encode())
+            held[r.lang] = held.get(r.lang, 0) + len(parts[-1])
     # zstandard's matcher prefers what stands last, so the first of the sample come last.
-    return {lang: b"\n".join(reversed(parts))[-dictionary:] for lang, parts in sorted(texts.items())}
+    return {lang: b"\n".join(reversed(parts))[-share():] for lang, parts in sorted(texts.items())}
 
 
-@tidied
-def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text: str) -> Iterator[pa.RecordBatch]:
+def _coders(model: dict[str, bytes], names: list[str]) -> list:
     import zstandard
 
-    names = sorted(model)
-    coders = []
+    out = []
     for name in names:
         content = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         content.precompute_compress(level=LEVEL)
-        coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
-    for batch in batches:
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return out
+
+
+@tidied
+def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text: str) -> Iterator[pa.RecordBatch]:
+    names = sorted(model)
+    groups = [names[k : k + CODERS] for k in range(0, len(names), CODERS)]
+    coders = _coders(model, groups[0]) if groups else []
+    for batch in (part for whole in batches for part in _slices(whole, max(1, SIZES // max(1, len(names))))):
+        texts = [value.as_py() for value in batch.column(text)]
+        told = [bool(names) and raw is not None and any(map(str.isalpha, raw)) for raw in texts]
+        sizes = np.zeros((batch.num_rows, len(names)))
+        for g, group in enumerate(groups):
+            if len(groups) > 1:
+                coders = _coders(model, group)
+            for row, raw in enumerate(texts):
+                if told[row]:
+                    raw = raw.encode()
+                    chunks = range(0, len(raw), CHUNK)
+                    sizes[row, g * CODERS : g * CODERS + len(group)] = [sum(len(c.compress(raw[k : k + CHUNK])) for k in chunks) for c in coders]
         best, score, margin = [], [], []
-        for value in batch.column(text):
-            raw = value.as_py()
-            if raw is None or not names or not any(map(str.isalpha, raw)):
+        for known, size in zip(told, sizes):
+            if not known:
                 best.append("und")
                 score.append(0.0)
                 margin.append(0.0)
                 continue
-            raw = raw.encode()
-            sizes = np.array([sum(len(c.compress(raw[k : k + CHUNK])) for k in range(0, len(raw), CHUNK)) for c in coders], float)
-            order = np.argsort(sizes, kind="stable")
-            odds = np.exp2(-np.minimum((sizes - sizes[order[0]]) / BYTES_PER_DOUBLING, 1000))
+            order = np.argsort(size, kind="stable")
+            odds = np.exp2(-np.minimum((size - size[order[0]]) / BYTES_PER_DOUBLING, 1000))
             best.append(names[order[0]])
             score.append(float(1 / odds.sum()))
-            margin.append(float(sizes[order[1]] / sizes[order[0]] - 1) if len(order) > 1 else 1.0)
+            margin.append(float(size[order[1]] / size[order[0]] - 1) if len(order) > 1 else 1.0)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())],
             names=[*batch.schema.names, "lang_pred", "score", "margin"],
         )
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def classify(packed: DataFrame, model: dict[str, bytes], *, text: str = "text") -> DataFrame:
     """The rows with lang_pred, score and margin.
 
@@ -97,7 +122,7 @@ def classify(packed: DataFrame, model: dict[str, bytes], *, text: str = "text")
     ``score`` is the winner's share when each byte more halves a language's odds; ``margin`` is
     the runner-up's size over the winner's, less 1.
     """
-    # Dictionaries travel with the function: MAX_LANGUAGES * DICTIONARY bytes at most.
+    # Dictionaries travel with the function: MODEL_BYTES at most.
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]
     schema = T.StructType([*packed.schema.fields, *more])
     return packed.mapInArrow(partial(_classify, model=model, text=text), schema)
@@ -111,7 +136,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def predict_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, margin) of each row, learnt from rows not held out.
 
-    A null doc_id is not held out.  Other columns than doc_id, text and lang are ignored.
+    A null doc_id is not held out.  Other columns than doc_id, text and lang are ignored.  Repeated
+    rows are told alike, a row each; no rows give none.
     """
     model = train(docs.filter(~held_out()))
     return classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")), model).drop("text").select(

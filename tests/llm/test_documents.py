@@ -382,6 +382,37 @@ def test_language_id_learns_and_rejects(spark, docs, rows, clashing, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_id_of_many_languages(spark, monkeypatch):
+    """More languages than a worker holds coders for; a plain coder for each text gives the same answers."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang in range(300):
+        own = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(30)]
+        rows += [(lang * 3 + k, " ".join(rng.choice(own, 40)), f"l{lang:03}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df)
+    assert len(model) == 300
+    some = spark.createDataFrame(rows[::40], df.schema)
+    got = {r.doc_id: r for r in langid.classify(some, model).collect()}
+    assert len(got) == len(rows[::40])
+    for doc_id, text, lang in rows[::40]:
+        sizes = []
+        for name in sorted(model):
+            content = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = text.encode()
+            sizes.append((sum(len(coder.compress(raw[k : k + langid.CHUNK])) for k in range(0, len(raw), langid.CHUNK)), name))
+        sizes.sort()
+        assert got[doc_id].lang_pred == sizes[0][1] == lang
+        assert got[doc_id].margin == sizes[1][0] / sizes[0][0] - 1
+    monkeypatch.setattr(langid, "MODEL_BYTES", 300 * 50)
+    small = langid.train(df)
+    assert len(small) == 300 and {len(v) for v in small.values()} == {50}
+    assert all(model[k].endswith(v) for k, v in small.items())
+
+
 def test_language_id_tells_short_texts_and_keeps_clean_ones(spark, sf01):
     import corpus_pipeline
 
