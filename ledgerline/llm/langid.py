@@ -82,17 +82,18 @@ def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text:
     groups = [names[k : k + CODERS] for k in range(0, len(names), CODERS)]
     coders = _coders(model, groups[0]) if groups else []
     for batch in (part for whole in batches for part in _slices(whole, max(1, SIZES // max(1, len(names))))):
-        texts = [value.as_py() for value in batch.column(text)]
-        told = [bool(names) and raw is not None and any(map(str.isalpha, raw)) for raw in texts]
+        told = np.zeros(batch.num_rows, bool)
         sizes = np.zeros((batch.num_rows, len(names)))
         for g, group in enumerate(groups):
             if len(groups) > 1:
                 coders = _coders(model, group)
-            for row, raw in enumerate(texts):
-                if told[row]:
-                    raw = raw.encode()
-                    chunks = range(0, len(raw), CHUNK)
-                    sizes[row, g * CODERS : g * CODERS + len(group)] = [sum(len(c.compress(raw[k : k + CHUNK])) for k in chunks) for c in coders]
+            for row, value in enumerate(batch.column(text)):
+                raw = value.as_py()
+                if raw is None or not any(map(str.isalpha, raw)):
+                    continue
+                raw, told[row] = raw.encode(), True
+                own = [sum(len(c.compress(raw[k : k + CHUNK])) for k in range(0, len(raw), CHUNK)) for c in coders]
+                sizes[row, g * CODERS : g * CODERS + len(group)] = own
         best, score, margin = [], [], []
         for known, size in zip(told, sizes):
             if not known:
