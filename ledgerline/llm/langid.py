@@ -82,18 +82,17 @@ def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text:
     groups = [names[k : k + CODERS] for k in range(0, len(names), CODERS)]
     coders = _coders(model, groups[0]) if groups else []
     for batch in (part for whole in batches for part in _slices(whole, max(1, SIZES // max(1, len(names))))):
-        told = np.zeros(batch.num_rows, bool)
+        texts = batch.column(text)
+        told = np.array([value.is_valid and any(map(str.isalpha, value.as_py())) for value in texts], bool)
         sizes = np.zeros((batch.num_rows, len(names)))
         for g, group in enumerate(groups):
             if len(groups) > 1:
                 coders = _coders(model, group)
-            for row, value in enumerate(batch.column(text)):
-                raw = value.as_py()
-                if raw is None or not any(map(str.isalpha, raw)):
-                    continue
-                raw, told[row] = raw.encode(), True
-                own = [sum(len(c.compress(raw[k : k + CHUNK])) for k in range(0, len(raw), CHUNK)) for c in coders]
-                sizes[row, g * CODERS : g * CODERS + len(group)] = own
+            # One coder after another: its tables then stay in the processor's caches from text to text.
+            for at, coder in enumerate(coders, start=g * CODERS):
+                for row in np.flatnonzero(told):
+                    raw = memoryview(texts[row].as_buffer())
+                    sizes[row, at] = sum(len(coder.compress(raw[k : k + CHUNK])) for k in range(0, len(raw), CHUNK))
         best, score, margin = [], [], []
         for known, size in zip(told, sizes):
             if not known:
