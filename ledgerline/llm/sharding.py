@@ -15,6 +15,8 @@ sum over the buckets before.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,17 +25,21 @@ from ledgerline.llm.common import Scratch
 
 #: Bytes each document counts besides its text.
 OVERHEAD = 16
-#: Rounds at most; buckets that split hot groups; rows for each bucket that shares a shard's quota.
-ROUNDS, BUCKETS, QUOTA_ROWS = 6, 64, 50_000
+#: Buckets that split hot groups; rows for each bucket that shares a shard's quota.
+BUCKETS, QUOTA_ROWS = 64, 50_000
 
 
 def _propagate(spark: SparkSession, pieces: DataFrame, quotas: list[int], scratch: Scratch) -> DataFrame:
-    """(g, shard, n) after label propagation of (g, shard, n); linked rows of a shard stay in its quota."""
+    """(g, shard, n) after label propagation of (g, shard, n); linked rows of a shard stay in its quota.
+
+    Rounds go on until none has a move.  A move takes rows of a group to a shard that has at least as
+    many of it, so the sum of squares of n rises with each round and they come to an end.
+    """
     n_shards = len(quotas)
     smallest = max(1, min(quotas))
     buckets = max(1, min(4096, sum(quotas) // QUOTA_ROWS))
     group = W.partitionBy("g")
-    for step in range(ROUNDS):
+    for step in count():
         linked = {r.shard: r.n for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         room = F.array(*[F.lit(max(0, quotas[s] - linked.get(s, 0))) for s in range(n_shards)])
         ranked = pieces.withColumns({
@@ -96,8 +102,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, *, n_shards: int = 40)
     pieces = rows.filter("g is not null").groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"))
     totals = W.partitionBy("g")
     linked = scratch.save(pieces.withColumn("total", F.sum("n").over(totals)).filter("total > 1").select("g", "shard", "n"), "linked")
-    count = rows.count()
-    quotas = [count // n_shards + (s < count % n_shards) for s in range(n_shards)]
+    total = rows.count()
+    quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 
     # Groups whose first places hold more than the quota go through the quota as moves do: start from none.
     placed = scratch.save(_fit(linked, quotas, scratch), "fitted")
