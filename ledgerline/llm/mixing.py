@@ -182,28 +182,41 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, seed: int = 42) -> Data
     return laid.select("doc_id", "size", F.col("src").alias("source"), "source_size", "target", taken.cast("long").alias("taken"), "doc_key")
 
 
+def _numbered_within(rows: DataFrame, key: str, number: str, order: Column, several: DataFrame) -> DataFrame:
+    """``rows`` numbered from 1 among those of a key that ``several`` lists; the others aren't moved by a window."""
+    of_key = (F.col(f"{key}.id").eqNullSafe(F.col("_several.id"))) & (F.col(f"{key}.hash") == F.col("_several.hash"))
+    again = rows.join(several, of_key, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(order)))
+    return rows.join(several, of_key, "left_anti").unionByName(again)
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, *, seed: int = 42) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs``.
 
     A document taken whole n times has n rows; one taken in part has one more, whose text is the
     original text up to the end of the last word taken.  Documents without words stay as they
-    are, once.
+    are, once.  Rows that repeat doc_id, text and source are numbered in the order of their other
+    columns and have a decision each.
     """
     scratch = Scratch(spark, "mixed")
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
-    plan = mix_sources(spark, docs, seed=seed).select("doc_key", "size", "taken")
-    plan = scratch.save(plan, "plan")
-    keyed = pack(docs, ["doc_id", "text", "source"]).withColumn("_doc_key", F.xxhash64(doc_id, "text", source))
-    if plan.groupBy("doc_key").count().filter("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["_doc_key"])  # equal rows: each has its own decision
+    key = F.struct(doc_id.alias("id"), F.xxhash64(doc_id, "text", source).alias("hash"))
+    plan = mix_sources(spark, docs, seed=seed).select(F.struct(F.col("doc_id").alias("id"), F.col("doc_key").alias("hash")).alias("key"), "size", "taken")
+    plan = scratch.save(plan.withColumn("number", F.lit(1)), "plan")
+    keyed = pack(docs, ["doc_id", "text", "source"]).withColumns({"_key": key, "_number": F.lit(1)})
+    several = plan.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col("key").alias("_several"))
+    if several.limit(1).count():
+        several = scratch.save(several, "several")
+        plan = _numbered_within(plan, "key", "number", F.col("taken"), several)
+        keyed = _numbered_within(keyed, "_key", "_number", F.to_json(F.struct("_rest")), several)
     part = F.col("taken") % F.col("size")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size")))
     takes = F.concat(
         F.array_repeat(F.lit(0).cast("long"), copies.cast("int")),
         F.when((F.col("size") > 0) & (part > 0), F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
-    decided = plan.withColumn("take", F.explode(takes)).select("doc_key", "take")
-    joined = keyed.join(decided, F.col("_doc_key") == F.col("doc_key"))
+    decided = plan.withColumn("take", F.explode(takes)).select("key", "number", "take")
+    same = F.col("_key.id").eqNullSafe(F.col("key.id")) & (F.col("_key.hash") == F.col("key.hash")) & (F.col("_number") == F.col("number"))
+    joined = keyed.join(decided, same)
     # Each word with the white space before it.
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")
