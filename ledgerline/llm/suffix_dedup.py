@@ -353,7 +353,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         numbered = scratch.save(with_n.filter("n is not null").withColumn("_number", number).drop("n"), "numbered")
         first = with_n.filter("n is null").drop("n").unionByName(numbered.filter("_number = 1").drop("_number"))
         later = later.unionByName(numbered.filter("_number > 1").drop("_number"))
-    play = alone.unionByName(first)
+    # A task of step 2 marks what it has met before.  Rows that come from a shuffle are put in order, so that
+    # a task run again after a lost executor meets them alike and marks the same runs.
+    play = alone.unionByName(first.sortWithinPartitions("_h1", "_h2", "_id"))
 
     # Rows of one doc_id with different texts get a number (their order by hash); else it is 0.
     ids = firsts.groupBy(F.col("first").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -362,7 +364,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ties = firsts.withColumn("tie", F.row_number().over(order).cast("long") - 1).filter("tie > 0")
         ties = scratch.save(ties.select(F.col("_h1").alias("t1"), F.col("_h2").alias("t2"), "tie"), "ties")
         play = play.join(ties, (F.col("_h1") == F.col("t1")) & (F.col("_h2") == F.col("t2")), "left").drop("t1", "t2")
-        play = play.withColumn("tie", F.coalesce("tie", F.lit(0).cast("long")))
+        play = play.withColumn("tie", F.coalesce("tie", F.lit(0).cast("long"))).sortWithinPartitions("_h1", "_h2", "_id")
     else:
         play = play.withColumn("tie", F.lit(0).cast("long"))
 
