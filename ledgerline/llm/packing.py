@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.tokens import PieceTokenizer
 
-#: Columns generated at most, and the gap to the linear program's bound that ends it sooner.
+#: Columns generated at most, and the gap to the linear program's bound that ends it sooner.  The plan
+#: of any round places every item; ``Plan.gap`` tells how far above the bound it may be.
 ROUNDS, GAP = 300, 0.0005
 
 
@@ -90,6 +91,8 @@ class Plan:
     sequences: int = 0
     padding: int = 0
     columns: int = 0
+    #: The linear program's objective over its lower bound, less 1, where column generation ended.
+    gap: float = 0.0
 
     def tail_ends(self) -> list[int]:
         at = self.spare_ids // self.size * self.size
@@ -141,6 +144,7 @@ def solve(histogram: dict[int, int], size: int) -> Plan:
     inverse = np.linalg.inv(basis)
     uses = inverse @ demand
     powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    bound = 0.0
     for _ in range(ROUNDS):
         value = cost @ inverse
         best, last = _price(lengths, value, size)
@@ -149,6 +153,7 @@ def solve(histogram: dict[int, int], size: int) -> Plan:
         gain, price, fill = max(offers, key=lambda o: o[0] - o[1])
         plan.columns += 1
         ratio = max(o[0] / o[1] for o in offers)
+        bound = max(bound, float(cost @ uses) / max(ratio, 1.0))
         if gain - price <= 1e-7 or ratio <= 1 + GAP:  # the bound is the objective / ratio
             break
         column = np.zeros(len(lengths))
@@ -170,6 +175,7 @@ def solve(histogram: dict[int, int], size: int) -> Plan:
         inverse -= np.outer(step, row)
         inverse[out] = row
         basis[:, out], cost[out] = column, price
+    plan.gap = float(cost @ uses) / bound - 1
     times = np.floor(np.maximum(uses, 0) + 1e-7).astype(np.int64)
     used = (basis * times).sum(axis=1).round().astype(np.int64)
     while (used > demand).any():  # rounding noise only
