@@ -69,6 +69,20 @@ def repeats(ordered_texts, depth=100):
     return out
 
 
+def kept_bytes(ordered_texts, depth=100):
+    """The bytes that stay of texts in order."""
+    seen, out = set(), []
+    for text in ordered_texts:
+        raw = (text or "").encode()
+        gone = [False] * len(raw)
+        for k in range(len(raw) - depth + 1):
+            if raw[k : k + depth] in seen:
+                gone[k : k + depth] = [True] * depth
+            seen.add(raw[k : k + depth])
+        out.append(bytes(b for b, g in zip(raw, gone) if not g))
+    return out
+
+
 def tokens(path, texts, end):
     from tokenizers import Tokenizer
 

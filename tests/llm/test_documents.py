@@ -308,6 +308,15 @@ def test_column_generation_beats_greedy_filling():
     histogram = {700: 300, 500: 300, 524: 300, 324: 300, 348: 300, 676: 300}
     plan = packing.solve(histogram, 1024)
     assert plan.sequences * 1024 <= sum(n * c for n, c in histogram.items()) + 2 * 1024
+    assert 0 <= plan.gap <= packing.GAP
+
+
+def test_a_plan_that_ends_early_tells_its_gap(monkeypatch):
+    histogram = {k: 200 + 37 * k % 101 for k in range(300, 800, 7)}
+    full = packing.solve(histogram, 1024)
+    monkeypatch.setattr(packing, "ROUNDS", 1)
+    early = packing.solve(histogram, 1024)
+    assert early.gap > packing.GAP and early.gap > full.gap >= 0
 
 
 # Suffix-array dedup
@@ -350,6 +359,17 @@ def test_repeats_of_tied_and_repeated_rows(spark, clashing, rows, empty):
     assert left.columns == clashing.columns and left.count() <= len(rows)
 
 
+def test_texts_without_repeats_match_brute_force(spark, rows):
+    plain = sorted((r for r in rows if r[0] not in (None, 900_016)), key=lambda r: r[0])
+    df = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    want = {}
+    for r, rest, n in zip(plain, brute.kept_bytes([r[1] for r in plain]), (len((r[1] or "").encode()) for r in plain)):
+        if rest or not n:
+            want[r[0]] = rest.decode("utf-8", "ignore")
+    got = {r.doc_id: r.text or "" for r in suffix_dedup.without_repeats(spark, df).collect()}
+    assert got == want and len(got) < len(plain)
+
+
 def test_smaller_neighbours():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 400):
@@ -472,6 +492,43 @@ def test_mixed_documents_keep_white_space(spark):
     assert cut
 
 
+def test_rows_equal_but_for_other_columns_are_all_mixed(spark):
+    rows = [(7, "a b c d", "s0", x) for x in "xyz"] + [(None, "q r", "s0", x) for x in "uv"] + [(k, f"w{k} v u", "s1", "o") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string").repartition(3)
+    taken = brute.grouped(((r.doc_id, r.source), (r["size"], r.taken)) for r in mixing.mix_sources(spark, df).collect())
+    got = brute.grouped(((r.doc_id, r.source), r) for r in mixing.mixed_documents(spark, df).collect())
+    for k, decisions in taken.items():
+        assert sorted(len(r.text.split()) for r in got[k]) == sorted(n for size, t in decisions for n in [size] * (t // size) + [t % size] * (t % size > 0))
+    for k, extras in (((7, "s0"), "xyz"), ((None, "s0"), "uv")):
+        assert len({r.extra for r in got[k]}) == sum(t > 0 for _, t in taken[k]) and {r.extra for r in got[k]} <= set(extras)
+    assert len(taken[(7, "s0")]) == 3 and got[(7, "s0")]
+
+
+def test_words_taken_follow_from_quotas(spark, docs):
+    got = mixing.mix_sources(spark, docs).collect()
+    whole = {s: min(int(t // n), 3) if n else 0 for s, t, n in {(r.source, r.target, r.source_size) for r in got}}
+    parts = brute.grouped((r.source, (r.taken - whole[r.source] * r["size"], r["size"])) for r in got)
+    blocks = {s: sum(p for p, _ in v) for s, v in parts.items()}
+    for s, v in parts.items():
+        n = sum(size for _, size in v)
+        # A source of one shard has one border: all before it are taken whole, all after it not.
+        if n <= mixing.SHARD_WORDS and whole[s] < 3:
+            assert sum(0 < p < size for p, size in v) <= 1
+            assert blocks[s] == n or blocks[s] % mixing.BLOCK == 0
+        assert all(0 <= p <= size for p, size in v)
+
+
+@pytest.mark.parametrize("seats", [[0, 3, 10], [1, 57, 400]])
+def test_sainte_lague_within_gives_highest_quotients(spark, seats):
+    votes = {f"g{g}": {f"s{k:02d}": v for k, v in enumerate(vs)} for g, vs in enumerate(([5, 5, 5, 0], [53, 24, 23, 1, 999], [7, 300]))}
+    df = spark.createDataFrame([(g, k, float(v), seats[int(g[1])]) for g, ps in votes.items() for k, v in ps.items()], "grp string, key string, votes double, seats long")
+    got = {(r.grp, r.key): r.quota for r in mixing.sainte_lague_within(df, "grp", "votes", "seats").collect()}
+    for g, ps in votes.items():
+        n = seats[int(g[1])]
+        want = Counter(k for _, k in sorted((-v / (2 * i + 1), k) for k, v in ps.items() for i in range(n) if v)[:n])
+        assert {k: got[(g, k)] for k in ps} == {k: want[k] for k in ps}
+
+
 def test_sainte_lague_gives_highest_quotients(spark):
     votes = {f"s{k:02d}": v for k, v in enumerate([53, 24, 23, 0, 1, 999, 7, 7, 7, 300])}
     df = spark.createDataFrame([(k, float(v)) for k, v in votes.items()], "key string, votes double")
