@@ -83,7 +83,7 @@ def _classify(batches: Iterator[pa.RecordBatch], model: dict[str, bytes], text:
     coders = _coders(model, groups[0]) if groups else []
     for batch in (part for whole in batches for part in _slices(whole, max(1, SIZES // max(1, len(names))))):
         texts = batch.column(text)
-        told = np.array([value.is_valid and any(map(str.isalpha, value.as_py())) for value in texts], bool)
+        told = np.array([bool(names) and value.is_valid and any(map(str.isalpha, value.as_py())) for value in texts], bool)
         sizes = np.zeros((batch.num_rows, len(names)))
         for g, group in enumerate(groups):
             if len(groups) > 1:
