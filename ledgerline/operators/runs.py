@@ -219,15 +219,21 @@ def failed_tasks(failed_runs: DataFrame, tasks: DataFrame) -> DataFrame:
     Tasks in a failed result state; if a run has none, every task not in
     SUCCESS (a null state counts); a run without tasks reports itself
     (``task_key`` null, ``task_run_id`` = run id).  ``reason`` says which.
-    Runs are summed up before any join, and the tasks of a heavy run are dealt
-    into shares, so a run with a third of all tasks is many tasks.
+    Runs and tasks are summed up by run in one aggregate, so the failed runs are never sorted nor
+    joined to find those without tasks, and the tasks of a heavy run are dealt into shares, so a
+    run with a third of all tasks is many tasks.
     """
     state = F.col("result_state")
-    per_run = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max(is_failed_state(state)).alias("_any_failed"))
-    flags = failed_runs.select("run_id").distinct().join(per_run, "run_id", "left")
+    # A task without a run belongs to none, also not to a failed run without an id.
+    tasks = tasks.filter("run_id is not null")
+    asked = failed_runs.select("run_id", F.lit(True).alias("_asked"), F.lit(None).cast("boolean").alias("_failed"))
+    known = asked.unionByName(tasks.select("run_id", F.lit(False).alias("_asked"), is_failed_state(state).alias("_failed")))
+    flags = known.groupBy("run_id").agg(F.max("_asked").alias("_asked"), F.max("_failed").alias("_any_failed")).filter("_asked")
+    sizes = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     chosen = (
-        spread_join(tasks.filter(~state.eqNullSafe(F.lit(SUCCESS))), flags.filter("n is not null").select("run_id", "_any_failed"),
-                    ["run_id"], per_run, by=["task_run_id", "task_key"])
+        spread_join(tasks.filter(~state.eqNullSafe(F.lit(SUCCESS))),
+                    flags.filter("_any_failed is not null").select("run_id", "_any_failed"),
+                    ["run_id"], sizes, by=["task_run_id", "task_key"])
         .filter(~F.col("_any_failed") | is_failed_state(state))
         .select("run_id", "task_key", "task_run_id", "result_state", "state_message",
                 termination_summary(F.col("termination.code"), F.col("termination.message"))
@@ -235,7 +241,9 @@ def failed_tasks(failed_runs: DataFrame, tasks: DataFrame) -> DataFrame:
                 F.when(F.col("_any_failed"), F.lit(REASON_FAILED)).otherwise(F.lit(REASON_NOT_SUCCESS))
                 .alias("reason"))
     )
-    bare = flags.filter("n is null").select(
+    # Dealt out anew, by another key than they are grouped by: within the union the aggregate would get few
+    # partitions of many ids, as ids alone shuffle small.
+    bare = flags.filter("_any_failed is null").select("run_id").repartition(F.xxhash64("run_id")).select(
         "run_id", F.lit(None).cast("string").alias("task_key"), F.col("run_id").alias("task_run_id"),
         F.lit(None).cast("string").alias("result_state"), F.lit(None).cast("string").alias("state_message"),
         F.lit(None).cast("string").alias("termination_summary"), F.lit(REASON_NO_TASKS).alias("reason"))
