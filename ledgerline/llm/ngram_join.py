@@ -20,7 +20,10 @@ for each possible boundary (multiples of 100 / (100 - percent), where the subset
 Work is done on classes of equal sets, so copies never multiply.  Every list names its smallest
 member and its hub, the member that meets most others in all its lists; candidates are first
 checked against these, the classes found linked are joined to components, and only pairs of a
-list that lie in different components are checked after that.  Of those, a pair leaves the join
+list that lie in different components are checked after that.  The pairs of a list grow with the
+square of its members, so a set leaves the lists of MANY members and more when it has more elements
+of its own, that no other set of such lists has, than a linked partner may lack (first counted over
+a share of the hash range, which only counts fewer).  Of the pairs left, one leaves the join
 only if the odd sketches of its sets (parities of their elements in SKETCH cells) differ in no
 more cells than a linked pair has different elements: each of them flips one cell, so no linked
 pair is lost.  Cells that are few for a set's size are even odds and tell nothing, so sets of LONG
@@ -53,6 +56,8 @@ BOUNDARIES = (1, 2, 3)
 SKETCH = 2048
 #: Sets from which on a list's entries carry sketches of as many cells as half their shingles, or more.
 LONG = 2 * SKETCH
+#: Members from which on a list's sets are first asked for elements of their own.
+MANY = 32
 #: Least cells of the sketch that pairs are held against before their sets are fetched (1 KB a set).
 WIDE = 8192
 WORDS = [f"s{k}" for k in range(SKETCH // 64)]
@@ -203,6 +208,34 @@ def _key_batch(sig: list, cls: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls)], names=["sig", "cls"])
 
 
+@tidied
+def _elements(batches: Iterator[pa.RecordBatch], width: int, below: int) -> Iterator[pa.RecordBatch]:
+    """The members under ``below`` of each set; of equal sets in a task, only the first sends them."""
+    seen: set[int] = set()
+    for batch in batches:
+        member, cls, held = [], [], 0
+        for _, values in _rows(batch, width):
+            own = _class_of(values)
+            if not len(values) or own in seen:
+                continue
+            seen.add(own)
+            part = values[: np.searchsorted(values, _U(below))]
+            member.append(part.view(np.int64))
+            cls.append(np.full(len(part), own, np.int64))
+            held += len(part)
+            if held > 200_000:
+                yield _element_batch(member, cls)
+                member, cls, held = [], [], 0
+        if held:
+            yield _element_batch(member, cls)
+        if len(seen) > 2_000_000:
+            seen.clear()
+
+
+def _element_batch(member: list, cls: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (member, cls)], names=["member", "cls"])
+
+
 @tidied
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -250,6 +283,29 @@ def choose_boundary(sizes: DataFrame, percent: int) -> int:
     return min(costs, key=lambda x: (costs[x], x))
 
 
+def contested(placed: DataFrame) -> DataFrame:
+    """Rows (sig, cls, root) of the lists with classes of several roots, with ``main``, the root of most of them, and ``listed``, their number."""
+    parts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("held"))
+    main = parts.groupBy("sig").agg(
+        F.max(F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("held").alias("listed")
+    ).filter("roots > 1").select("sig", F.col("main.root").alias("main"), "listed")
+    return placed.join(main, "sig").select("sig", "cls", "root", "main", "listed")
+
+
+def apart_from_all(texts: DataFrame, sizes: DataFrame, width: int, percent: int, share: int) -> DataFrame:
+    """Classes (cls) that link with no other set of ``texts``, by their own elements; ``sizes`` has (cls, n).
+
+    A set links with none if it has more elements that no other set has than a linked set may lack.
+    Only those in ``share`` 200ths of the hash range are counted: fewer than all, so no link is lost.
+    Nor is one by rows that repeat or by sets that nothing asks for: with them fewer elements count.
+    """
+    below = (1 << 64) * share // 200 - 1
+    members = texts.mapInArrow(partial(_elements, width=width, below=below), "member long, cls long")
+    owners = members.groupBy("member").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).filter("cls = other")
+    alone = owners.groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
+    return alone.join(sizes, "cls").filter(f"100 * alone > {100 - percent} * n").select("cls")
+
+
 def link_documents(
     spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -304,11 +360,15 @@ def link_documents(
     marks = chosen.select("cls", "n", *WORDS)
     x_marks = marks.select(F.col("cls").alias("x"), F.col("n").alias("nx"), *[F.col(w).alias(f"x_{w}") for w in WORDS])
 
+    def texts_of(needed: DataFrame, name: str) -> DataFrame:
+        """A text of each class of ``needed`` (cls), and some that pass by chance, or repeat."""
+        documents = chosen.join(needed, "cls", "left_semi").select(F.xxhash64("of.doc_id", "of.text_key").alias("key"))
+        return with_maybe(base, own, key_filter(scratch.save(documents, f"needed-{name}"), "key"), "_maybe").filter("_maybe").select("text")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """``pairs`` (a, b), saved, with whether they link; their classes' sets come from one document each."""
         needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        documents = chosen.join(needed, "cls", "left_semi").select(F.xxhash64("of.doc_id", "of.text_key").alias("key"))
-        near = with_maybe(base, own, key_filter(scratch.save(documents, f"needed-{name}"), "key"), "_maybe").filter("_maybe").select("text")
+        near = texts_of(needed, name)
         # Rows that pass by chance, or repeat, add sets that no pair needs or has already: pairs are made distinct again.
         known = scratch.save(near.mapInArrow(partial(_sets, width=width), "cls long, n long, members array<long>, wide array<long>"), f"sets-{name}")
         wide_a = known.select(F.col("cls").alias("a"), "n", "wide")
@@ -346,13 +406,24 @@ def link_documents(
 
     # The rest: pairs of a list in different components, the smaller side against the whole list.
     placed = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    parts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("held"))
-    main = parts.groupBy("sig").agg(
-        F.max(F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
-    ).filter("roots > 1").select("sig", F.col("main.root").alias("main"))
-    open_lists = scratch.save(placed.join(main, "sig").select("sig", "cls", "root", "main"), "open")
+    met = scratch.save(contested(placed), "met")
     scratch.drop("lists")
     scratch.release()
+    # Sets that link with none of the long lists' sets go from these lists, before their pairs are met: most by a
+    # share of their elements, then by all of those that the sets left have.
+    few = [met.filter(F.col("listed") < MANY)]
+    crowd = met.filter(F.col("listed") >= MANY)
+    for step, share in enumerate((min(200, 3 * (100 - percent)), 200)):
+        texts = texts_of(crowd.select("cls").distinct(), f"crowd-{step}")
+        alone = scratch.save(apart_from_all(texts, chosen.select("cls", "n"), width, percent, share), f"alone-{step}")
+        crowd = scratch.save(contested(crowd.select("sig", "cls", "root").join(alone, "cls", "left_anti")), f"crowd-left-{step}")
+        few.append(crowd.filter(F.col("listed") < MANY))
+        crowd = crowd.filter(F.col("listed") >= MANY)
+        scratch.release()
+    open_lists = scratch.save(few[0].unionByName(few[1]).unionByName(few[2]).unionByName(crowd).drop("listed"), "open")
+    for old in ("met", "needed-crowd-0", "needed-crowd-1", "alone-0", "alone-1", "crowd-left-0", "crowd-left-1"):
+        scratch.drop(old)
+    scratch.release()
     # Short sets carry their sketch in columns, long ones in an array; each kind has its own join.
     long_marks = chosen.filter(f"n >= {enough}").select("cls", "n", "more")
     kinds = {

@@ -181,6 +181,41 @@ def test_ngram_join_of_long_sets_apart(spark, from_size, width, percent, monkeyp
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, sizes[k], smallest[root[k]]) for k in range(len(texts))]
 
 
+@pytest.mark.parametrize("many,width,percent", [(32, 5, 80), (2, 3, 90)])
+def test_ngram_join_meets_few_pairs_of_unlinked_near_copies(spark, many, width, percent, monkeypatch):
+    """A large group of texts that share lists but not links, with links of their own; the pairs of long lists are counted."""
+    monkeypatch.setattr(ngram_join, "MANY", many, raising=False)
+    rng = np.random.default_rng(11)
+    edited = lambda words, n: [f"v{rng.integers(0, 10**6)}" if k in some else w for some in [set(rng.choice(len(words), n, False))] for k, w in enumerate(words)]
+    base, texts = [f"w{x}" for x in rng.integers(0, 10**6, 300)], []
+    for k in range(220):
+        copy = edited(base, 16)
+        texts.append(" ".join(copy))
+        if k % 10 == 0:
+            texts += [" ".join(edited(copy, 2)), " ".join(edited(copy, 6))]
+    met = []
+    save = Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "open":
+            listed = Counter(), Counter()
+            for r in out.collect():
+                listed[0][r.sig] += 1
+                listed[1][r.sig] += r.root != r.main
+            met.append(sum(n * listed[1][sig] for sig, n in listed[0].items() if n >= many))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sizes, root = brute.jaccard_groups(texts, width, percent)
+    smallest = {g: min(v) for g, v in brute.grouped((root[k], k) for k in range(len(texts))).items()}
+    got = ngram_join.link_documents(spark, df, width=width, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, sizes[k], smallest[root[k]]) for k in range(len(texts))]
+    assert 1 < len(smallest) < len(texts)
+    assert len(met) == 1 and met[0] < len(texts) * 40
+
+
 def test_keep_first_keeps_one_of_each_group(spark, clashing, rows, empty):
     kept = ngram_join.keep_first(spark, clashing)
     assert kept.columns == clashing.columns
